@@ -1,6 +1,13 @@
 """All registered queries and their oracles."""
 
-from . import catalog_email, catalog_logs  # noqa: F401
+from . import (  # noqa: F401
+    catalog_email,
+    catalog_intel,
+    catalog_kpi,
+    catalog_logs,
+    catalog_reports,
+    catalog_streams,
+)
 from .lens import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

@@ -192,16 +192,16 @@ def _(t):
     return L.frequency_anomalies(counts_of(t), "source_ip", "ip", Z).select("artifact_id", "rule")
 
 
-# The whole log as one artifact: every user is far above the floor, so only the factor decides.
+# The whole log as one artifact: every name is far above the floor, so only the factor decides.
 _WHOLE = LOG_CTE.replace("logs AS (SELECT", "logs AS (SELECT * REPLACE ('all' AS artifact_id) FROM (SELECT", 1) + ")"
 
 
-@query("a6_frequency_spikes", f"""WITH {_WHOLE}, c AS (SELECT artifact_id, concat(event_name, '@', k) AS key, count(*) AS c FROM logs GROUP BY ALL),
+@query("a6_frequency_spikes", f"""WITH {_WHOLE}, c AS (SELECT artifact_id, event_name AS key, count(*) AS c FROM logs GROUP BY ALL),
   s AS (SELECT artifact_id, list_sort(list(c))[count(*) // 2 + 1] AS median FROM c GROUP BY ALL)
   SELECT key, CAST(c AS BIGINT) AS c FROM c JOIN s USING (artifact_id) WHERE c >= greatest(15, 5.0 * median)""")
 def _(t):
-    """Spikes among (event, k) pairs of the whole log, with the anomaly threshold out of reach."""
-    keyed = t.logs.select(F.lit("all").alias("artifact_id"), F.concat_ws("@", "event_name", F.col("k").cast("string")).alias("user_name"))
+    """Spikes among event names of the whole log, with the anomaly threshold out of reach."""
+    keyed = t.logs.select(F.lit("all").alias("artifact_id"), F.col("event_name").alias("user_name"))
     counts = keyed.groupBy("artifact_id", "user_name").agg(F.count("*").alias("n"))
     hits = L.frequency_anomalies(counts, "user_name", "user", float("inf"))
     count = F.regexp_extract("rule", r":count=(\d+)$", 1).cast("bigint")
