@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_, or_
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import network
-from .text import as_col, compact, first_or_null, is_blank, let, strip, truncate
+from .text import as_col, compact, compact_names, first_or_null, is_blank, let, strip, truncate
 
 # Authentication protocols and the results that count as failure.
 AUTH_PROTOCOLS = ["spf", "dkim", "dmarc"]
@@ -33,26 +36,29 @@ PHISHING_RULES: list[tuple[str, str]] = [
     ("device_login_scare", r"\b(login\s+from.{0,30}(device|location|ip)|secure\s+your\s+account|review\s+(the|your)\s+logs)\b"),
 ]
 
-# Literals of which a text must hold at least one for the rule above to be able to match. They are
-# searched first, so that benign text never reaches the seventeen patterns.
-_GUARDS: dict[str, list[str]] = {
-    "urgent_action_required": ["urgent", "action", "act"],
-    "verify_account": ["verify", "confirm"],
-    "password_reset": ["password"],
-    "suspended_account": ["account"],
-    "click_link": ["click", "follow"],
-    "fake_login_page": ["log", "sign"],
-    "financial_threat": ["bank", "credit", "payment", "unauthorized", "wire"],
-    "reward_lure": ["you", "congratulations", "claim"],
-    "personal_info_request": ["social", "ssn", "birth", "maiden", "number"],
-    "attachment_lure": ["attach", "download"],
-    "time_pressure": ["within", "expire", "final"],
-    "security_alert": ["security", "unusual", "unrecognized", "unauthorized", "suspicious"],
-    "credential_harvest": ["credential", "enter"],
-    "impersonation_authority": ["federal", "regulatory", "compliance", "internal", "ceo", "finance", "swift"],
-    "compliance_pressure": ["mandatory", "must", "require", "immediately"],
-    "ip_in_url_lure": ["://"],
-    "device_login_scare": ["login", "secure", "review"],
+# Literals without which a rule cannot match: all of one of its groups must occur. They are searched
+# first, so that benign text rarely reaches the patterns.
+_GUARDS: dict[str, list[tuple[str, ...]]] = {
+    "urgent_action_required": [("urgent",), ("immediate", "action"), ("act", "now"), ("action", "required")],
+    "verify_account": [("verify", "your"), ("confirm", "your")],
+    "password_reset": [("password",)],
+    "suspended_account": [("account", w) for w in ("suspended", "locked", "disabled", "compromised", "permanently")],
+    "click_link": [("click",), ("follow", "link")],
+    "fake_login_page": [(a, b) for a in ("log", "sign") for b in ("your", "page", "portal")],
+    "financial_threat": [("bank", "account"), ("credit", "card"), ("payment",), ("unauthorized",), ("wire", "transfer")],
+    "reward_lure": [("you", "have", "won"), ("congratulations",), ("claim", "your")],
+    "personal_info_request": [("social", "security"), ("ssn",), ("birth",), ("maiden",), ("number",)],
+    "attachment_lure": [("attach",), ("download",)],
+    "time_pressure": [("within", "hour"), ("expire",), ("final", "warning")],
+    "security_alert": [("security", "alert"), ("unusual", "login"), ("unrecognized",), ("unauthorized",), ("suspicious", "activity")],
+    "credential_harvest": [("credential",), ("enter", "password")],
+    "impersonation_authority": [
+        ("federal", "reserve"), ("regulatory",), ("compliance", "update"), ("internal", "audit"), ("ceo",),
+        ("finance", "officer"), ("swift", "transfer"),
+    ],
+    "compliance_pressure": [("mandatory",), ("must", "applied"), ("require", "update"), ("immediately",)],
+    "ip_in_url_lure": [("://",)],
+    "device_login_scare": [("login", "from"), ("secure", "account"), ("review", "logs")],
 }
 
 # Domain shapes that are suspicious by themselves, on the lower-cased domain.
@@ -162,7 +168,7 @@ def auth_checks(auth: Column) -> Column:
 
 
 def auth_rules(auth: Column) -> Column:
-    return compact(*[F.when(auth[p].isin(*AUTH_FAILURES), F.lit(f"{p}_fail")) for p in AUTH_PROTOCOLS])
+    return compact_names(*[F.when(auth[p].isin(*AUTH_FAILURES), F.lit(f"{p}_fail")) for p in AUTH_PROTOCOLS])
 
 
 def check(name: Column, result: Column, detail: Column) -> Column:
@@ -178,12 +184,12 @@ def keyword_rules(text: Column | str) -> Column:
     lowered = F.lower(as_col(text))
 
     def fire(name: str, pattern: str) -> Column:
-        guard = F.contains(lowered, F.lit(_GUARDS[name][0]))
-        for literal in _GUARDS[name][1:]:
-            guard = guard | F.contains(lowered, F.lit(literal))
+        guard = reduce(or_, [
+            reduce(and_, [F.contains(lowered, F.lit(word)) for word in group]) for group in _GUARDS[name]
+        ])
         return F.when(guard & F.rlike(lowered, F.lit("(?dU)" + pattern)), F.lit(name))
 
-    return compact(*[fire(n, p) for n, p in PHISHING_RULES])
+    return compact_names(*[fire(n, p) for n, p in PHISHING_RULES])
 
 
 def has_ip_url(text: Column | str) -> Column:

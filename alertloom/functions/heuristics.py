@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .network import url_host
-from .text import as_col, clamp, compact, let, strip
+from .text import as_col, clamp, compact_names, let, strip
 
 # Address prefixes, top-level domains, words and domains the scores depend on.
 TOR_PREFIXES = [
@@ -54,7 +54,7 @@ def score_ip(ip: Column | str) -> Column:
     score = F.when(private, 0.0).otherwise(
         F.when(tor, 0.40).otherwise(0.0) + F.when(geo, 0.15).otherwise(0.0)
     )
-    flags = F.when(private, F.array(F.lit("internal_ip"))).otherwise(compact(
+    flags = F.when(private, F.array(F.lit("internal_ip"))).otherwise(compact_names(
         F.when(tor, F.lit("known_tor_exit_prefix")), F.when(geo, F.lit("high_risk_geo_range"))
     ))
     return _result(score, flags)
@@ -88,7 +88,7 @@ def _score_labels(parts: Column, value: Column) -> Column:
     flags = (
         F.when(empty, F.array().cast("array<string>"))
         .when(trusted, F.array(F.lit("whitelisted_domain")))
-        .otherwise(compact(
+        .otherwise(compact_names(
             F.when(risky, F.concat(F.lit("high_risk_tld:."), F.lower(tld))),
             F.when(words, F.lit("brand_impersonation_pattern")),
             F.when(hyphens, F.lit("multi_hyphen_domain")),

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import as_col, distinct_ignore_case, sorted_set_ignore_case
+from .text import as_col, distinct_ignore_case, let, sorted_set_ignore_case
 
 # Patterns of the network entities.
 URL = r"""(?iU)https?://[^\s"'<>\]\)]+"""
@@ -62,15 +62,20 @@ def url_host(col: Column | str) -> Column:
 def network_entities(col: Column | str) -> Column:
     """struct(urls, domains, ips): the analyst's view, folding case."""
     text = as_col(col)
-    found_urls = distinct_ignore_case(all_urls(text))
-    hosts = F.filter(
-        F.transform(all_urls(text), lambda u: F.lower(F.regexp_extract(u, URL_HOST, 1))),
-        lambda h: h != "",
-    )
-    return F.struct(
-        found_urls.alias("urls"),
-        sorted_set_ignore_case(F.concat(hosts, all_domains(text))).alias("domains"),
-        ips(text).alias("ips"),
+
+    def build(found: Column) -> Column:
+        hosts = F.filter(
+            F.transform(found["urls"], lambda u: F.lower(F.regexp_extract(u, URL_HOST, 1))),
+            lambda h: h != "",
+        )
+        return F.struct(
+            distinct_ignore_case(found["urls"]).alias("urls"),
+            sorted_set_ignore_case(F.concat(hosts, found["names"])).alias("domains"),
+            found["ips"].alias("ips"),
+        )
+
+    return let(
+        F.struct(all_urls(text).alias("urls"), all_domains(text).alias("names"), ips(text).alias("ips")), build
     )
 
 

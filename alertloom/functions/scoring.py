@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import as_col, clamp, compact, round_half_even
+from .text import as_col, clamp, compact_names, round_half_even
 
 ML_THRESHOLD = 0.7
 TECHNIQUE_ID = r"^T\d{4}(\.\d{3})?\n?$"
@@ -120,7 +120,7 @@ def report_violations(
         n_evidence == 0,
         F.lit("evidence_trail must not be empty — every claim must link to its evidence source."),
     )
-    return F.concat(compact(first, no_mitre), bad_ids, compact(no_evidence))
+    return F.concat(compact_names(first, no_mitre), bad_ids, compact_names(no_evidence))
 
 
 def email_techniques(has_url: Column, rules: Column) -> Column:
@@ -131,7 +131,7 @@ def email_techniques(has_url: Column, rules: Column) -> Column:
         | F.startswith(r, F.lit("suspicious_domain"))
         | F.startswith(r, F.lit("lookalike_domain")),
     )
-    found = compact(F.when(has_url, F.lit("T1566.002")), F.when(rule_hit, F.lit("T1566")))
+    found = compact_names(F.when(has_url, F.lit("T1566.002")), F.when(rule_hit, F.lit("T1566")))
     return F.when(F.size(found) == 0, F.array(F.lit("T1566"))).otherwise(found)
 
 
@@ -146,7 +146,7 @@ def log_techniques(rules: Column) -> Column:
         "high_risk_api:DeleteTrail", "high_risk_api:StopLogging",
         "high_risk_api:UpdateTrail", "high_risk_api:PutEventSelectors",
     )
-    found = compact(
+    found = compact_names(
         F.when(any_prefix("recon_burst", "access_denied"), F.lit("T1087")),
         F.when(trail, F.lit("T1562.008")).when(any_prefix("high_risk_api"), F.lit("T1098")),
         F.when(any_prefix(

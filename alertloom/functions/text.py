@@ -93,3 +93,13 @@ def nonblank(values: Column) -> Column:
 def compact(*values: Column) -> Column:
     """Array of the non-null values."""
     return F.array_compact(F.array(*values))
+
+
+def compact_names(*values: Column) -> Column:
+    """Array of the non-null names, for names without the unit separator.
+
+    Same result as ``compact`` for strings, but made of functions that take part in code generation:
+    the conditions stay compiled and share their common parts, which inside an array filter they do not.
+    """
+    joined = F.concat_ws("\x1f", *values)
+    return F.when(joined == "", F.array().cast("array<string>")).otherwise(F.split(joined, "\x1f"))

@@ -11,6 +11,12 @@ from ..functions.text import compact
 MARKER = "[generated without LLM]"
 MAX_ATTEMPTS = 2
 
+# Fixed value: the closing note of a report that no model wrote.
+NO_MODEL_NOTE = (
+    "_LLM synthesis unavailable (no Llm:ApiKey configured); this report was generated from structured "
+    "evidence only. Re-run with an LLM key for a full analyst narrative._"
+)
+
 # Recommended actions by artifact type, and the one for correlated activity.
 EMAIL_ACTIONS = [
     "Quarantine the email and block the sender address/domain at the mail gateway.",
@@ -92,7 +98,7 @@ def summary(e: dict[str, Column], risk: Column, severity: Column) -> Column:
             F.lit(""),
             F.concat(F.format_string("**Risk score: %.1f/10 — severity: ", risk), severity, F.lit("**")),
             F.lit(""),
-            F.lit("_No language model was used; this report was generated from structured evidence only._"),
+            F.lit(NO_MODEL_NOTE),
             F.lit(""),
         ),
     )

@@ -14,6 +14,7 @@ from operator import and_, or_
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import compact_names
 from ..sources.rule_pack import Matcher, Rule, RuleError, RulePack, field_key
 
 FieldLookup = Callable[[str], Column]
@@ -146,7 +147,7 @@ def matched_rules(pack: RulePack, fields: FieldLookup | None = None) -> Column:
     chunks = [flags[i:i + RULES_PER_ARRAY] for i in range(0, len(flags), RULES_PER_ARRAY)]
     if not chunks:
         return F.array().cast("array<string>")
-    arrays = [F.array_compact(F.array(*chunk)) for chunk in chunks]
+    arrays = [compact_names(*chunk) for chunk in chunks]
     return arrays[0] if len(arrays) == 1 else F.concat(*arrays)
 
 

@@ -357,7 +357,7 @@ _TEXT_EXPR = """concat(text, chr(10), 'key AKIA', lpad(CAST(doc_id AS STRING), 1
 
 
 def _texts(t):
-    return t.table("documents").selectExpr("doc_id", f"{_TEXT_EXPR} AS text")
+    return t.documents.selectExpr("doc_id", f"{_TEXT_EXPR} AS text")
 
 
 def _register_pii(label: str, kind: str) -> None:
@@ -378,7 +378,7 @@ def _(t):
         F.lit("peer 2001:db8::"), (F.col("doc_id") % 10000).cast("string"),
         F.lit(" and 2001:0db8:85a3:0:0:8a2e:0370:"), (F.col("doc_id") % 10000).cast("string"), F.lit(" at 14:05:00 "), F.col("text"),
     )
-    return t.table("documents").select("doc_id", pii.redact(text, "ipv6").alias("redacted"))
+    return t.documents.select("doc_id", pii.redact(text, "ipv6").alias("redacted"))
 
 
 def _scrub_sql(c: str) -> str:

@@ -54,7 +54,7 @@ def _(t):
 
 _LIVE = "CASE WHEN live THEN 'live API' ELSE 'heuristic analysis only' END"
 _LINES = f"""ioc_line AS (SELECT job_id, pos, type, value, concat('  - `', type, '` `', value, '` (Rule) — ',
-    coalesce(string_agg(concat(source, ' score ', printf('%.2f', score), ' (', {_LIVE}, ')'), '; ' ORDER BY source), 'not enriched')) AS line
+    coalesce(string_agg(concat(source, ' score ', printf('%.2f', score), ' (', {_LIVE}, ')'), '; ' ORDER BY source) FILTER (WHERE source IS NOT NULL), 'not enriched')) AS line
   FROM joined GROUP BY job_id, pos, type, value), ioc_lines AS (SELECT job_id, string_agg(line, chr(10) ORDER BY pos, type, value) AS lines FROM ioc_line GROUP BY job_id)"""
 
 
@@ -65,7 +65,7 @@ _LINES = f"""ioc_line AS (SELECT job_id, pos, type, value, concat('  - `', type,
   concat('- IOCs: ', ni, ' (', coalesce(n_intel, 0), ' threat intel lookups)'), lines,
   CASE WHEN na > 0 THEN concat('- Correlated CloudTrail events: ', na, ' (source IP matches an IOC)') END, '',
   concat('**Risk score: ', printf('%.1f', risk), '/10 — severity: ', {_BAND}, '**'), '',
-  '_No language model was used; this report was generated from structured evidence only._', '') AS summary
+  '{report.NO_MODEL_NOTE}', '') AS summary
   FROM scored LEFT JOIN ioc_lines USING (job_id)""")
 def _(t):
     return report.deterministic_reports(bundles(t)).select("job_id", "summary")

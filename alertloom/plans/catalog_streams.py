@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import scratch_path
+from ..session import scratch_path, spread
 from ..sources import sinks
 from ..streaming import windows
 from . import stages, triage
@@ -36,6 +36,10 @@ class _StreamLens(Lens):
     def table(self, name: str) -> DataFrame:
         return stream_of(Lens(self.spark, self.folder), name)
 
+    @property
+    def documents(self) -> DataFrame:
+        return self.table("documents")
+
 
 @query("t1_continuous_triage", f"""{_REPORT} SELECT artifact_id AS job_id, risk_score, CAST(len(rules) AS INT) AS n_rules,
   CASE WHEN len(rules) > 0 THEN 'Suspicious' ELSE 'Benign' END AS verdict FROM s""")
@@ -45,7 +49,7 @@ def _(t):
 
     def tier1(batch: DataFrame, batch_id: int) -> None:
         known = sinks.read_other_batches(batch.sparkSession, root, "tier1_results", triage.TIER1, batch_id)
-        fresh = stages.not_yet_filtered(batch.withColumnRenamed("artifact_id", "id"), known)
+        fresh = stages.not_yet_filtered(spread(batch).withColumnRenamed("artifact_id", "id"), known)
         sinks.write_batch(triage.tier1(fresh.withColumnRenamed("id", "artifact_id")), root, "tier1_results", batch_id)
 
     arriving = _StreamLens(t.spark, t.folder).raw_mails.withColumn("file_type", F.lit("Eml"))

@@ -12,6 +12,7 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import spread
 from ..sources.eml import parse_messages
 
 LOG_ROWS_PER_ARTIFACT = 500
@@ -167,6 +168,11 @@ class Lens:
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 
+    @cached_property
+    def documents(self) -> DataFrame:
+        """Documents on all cores: pattern matching on whole texts outweighs moving them."""
+        return spread(self.table("documents"))
+
     def _view(self, df: DataFrame, exprs: dict[str, str]) -> DataFrame:
         return df.selectExpr(*[f"{e} AS {n}" for n, e in exprs.items()])
 
@@ -184,7 +190,7 @@ class Lens:
 
     @cached_property
     def mails(self) -> DataFrame:
-        return self._view(self.table("documents"), MAIL_EXPRS)
+        return self._view(self.documents, MAIL_EXPRS)
 
     @cached_property
     def raw_mails(self) -> DataFrame:
