@@ -10,16 +10,20 @@ from ..functions import network as N
 from ..functions.text import compact
 
 
-def email_reports(messages: DataFrame) -> DataFrame:
-    """(artifact_id, headers, body) to one report row each, like ``log_reports``."""
+def email_reports(messages: DataFrame, keep: list[str] | None = None) -> DataFrame:
+    """(artifact_id, headers, body) to one report row each, like ``log_reports``.
+
+    Columns named in ``keep`` are passed through, which spares a join with the messages later.
+    """
+    keep = keep or []
     found = messages.select(
-        "artifact_id",
+        "artifact_id", *keep,
         E.combined_text(E.header("headers", "Subject"), "body").alias("text"),
         E.auth_results("headers").alias("auth"),
         E.header_ips("headers").alias("header_ips"),
         E.sender_address(E.header("headers", "From")).alias("sender"),
     ).select(
-        "artifact_id", "auth", "header_ips", "sender",
+        "artifact_id", *keep, "auth", "header_ips", "sender",
         E.sender_domain("sender").alias("sender_domain"),
         E.keyword_rules("text").alias("keywords"),
         N.urls("text").alias("urls"),
@@ -60,7 +64,7 @@ def email_reports(messages: DataFrame) -> DataFrame:
         (F.size("suspicious") > 0) | F.col("brand").isNotNull(),
     )
     return found.withColumn("matched_rules", rules).select(
-        "artifact_id",
+        "artifact_id", *keep,
         F.lit("Eml").alias("artifact_type"),
         score.alias("risk_score"),
         F.when(F.size("matched_rules") > 0, "Suspicious").otherwise("Benign").alias("verdict"),

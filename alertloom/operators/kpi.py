@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scoring
 from ..functions.responses import json_strings
-from ..functions.text import as_col, compact, round_half_even, strip
+from ..functions.text import as_col, round_half_even, strip
 from ..schemas import JOB_STATUSES, SEVERITIES, STEP_ORDER
 
 UNKNOWN = "Unknown"
@@ -166,18 +166,17 @@ def tactics_present(techniques: DataFrame) -> DataFrame:
 
 
 def heatmap(techniques: DataFrame) -> DataFrame:
-    """Cells per tactic with the tactic total, the rank in the column and the intensity.
+    """Cells with the total of their tactic and their intensity, in display order.
 
-    Techniques are counted before the windows, so these see one row per technique id.
+    Totals are joined instead of windowed: malformed ids may make one tactic large, and a join splits it.
+    The table of totals has at most one row per listed tactic.
     """
-    per_tactic = Window.partitionBy("tactic")
+    totals_ = techniques.groupBy("tactic").agg(F.sum("count").alias("tactic_total"))
     peak = techniques.agg(F.greatest(F.max("count"), F.lit(1)).alias("peak"))
-    return _beside(techniques, peak).select(
-        "tactic", tactic_rank("tactic").alias("tactic_ord"), "technique_id", "count",
-        F.sum("count").over(per_tactic).alias("tactic_total"),
-        F.row_number().over(per_tactic.orderBy(F.col("count").desc(), F.upper("technique_id"))).alias("rank"),
+    return _beside(techniques.join(F.broadcast(totals_), "tactic"), peak).select(
+        "tactic", tactic_rank("tactic").alias("tactic_ord"), "technique_id", "count", "tactic_total",
         (F.col("count") / F.col("peak")).alias("intensity"),
-    )
+    ).orderBy("tactic_ord", F.col("count").desc(), F.upper("technique_id"))
 
 
 def report_overview(reports: DataFrame, findings: DataFrame) -> DataFrame:
@@ -303,8 +302,9 @@ def timeline(jobs: DataFrame, now: Column) -> DataFrame:
         "tier2-synthesis": F.when(F.col("has_report"), "Final report generated").otherwise("Synthesizing final report..."),
     }
 
-    def event(ord_: int, id_: str, kind: str, source: str, target: str, text: Column, when: str) -> Column:
+    def event(shown: Column, ord_: int, id_: str, kind: str, source: str, target: str, text: Column, when: str) -> Column:
         return F.struct(
+            shown.alias("shown"),
             F.lit(ord_).alias("ord"), F.lit(id_).alias("event_id"), F.lit(kind).alias("type"),
             F.lit(source).alias("source"), F.lit(target).alias("target"), text.alias("description"),
             times[when].alias("ts"),
@@ -316,14 +316,15 @@ def timeline(jobs: DataFrame, now: Column) -> DataFrame:
         if only_mail:
             shown = shown & (F.col("file_type") == "Eml")
         text_col = F.lit(text) if text is not None else special[id_]
-        events.append(F.when(shown, event(i, id_, kind, source, target, text_col, when)))
+        events.append(event(shown, i, id_, kind, source, target, text_col, when))
     failure = F.coalesce("error_message", F.concat(F.lit("Job failed at step "), F.col("current_step")))
-    events.append(F.when(
-        F.col("status") == "Failed",
-        event(len(TIMELINE), "failed", "error", "System", "Logger", failure, "finished"),
+    events.append(event(
+        F.col("status") == "Failed", len(TIMELINE), "failed", "error", "System", "Logger", failure, "finished"
     ))
-    # At most seven events per job, so the array is small and stays inside its row.
-    return jobs.select(F.col("id").alias("job_id"), F.explode(compact(*events)).alias("e")).select("job_id", "e.*")
+    # Seven candidates per job, exploded and filtered: both take part in code generation.
+    return jobs.select(F.col("id").alias("job_id"), F.explode(F.array(*events)).alias("e")).select(
+        "job_id", "e.*"
+    ).filter("shown").drop("shown")
 
 
 def trace_node(source: Column | str) -> Column:

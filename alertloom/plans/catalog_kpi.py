@@ -98,7 +98,7 @@ def _(t):
 
 
 @query("k9_heatmap", f"""{_STATS} SELECT tactic, {_RANK} AS tactic_ord, technique_id, count, CAST(sum(count) OVER (PARTITION BY tactic) AS BIGINT) AS tactic_total,
-  CAST(row_number() OVER (PARTITION BY tactic ORDER BY count DESC, upper(technique_id)) AS INT) AS rank, count / (max(count) OVER ())::DOUBLE AS intensity FROM st""")
+  count / (max(count) OVER ())::DOUBLE AS intensity FROM st""")
 def _(t):
     return K.heatmap(K.technique_stats(t.reports))
 

@@ -134,9 +134,9 @@ def _(t):
     return stored.select(F.unix_seconds("window_start").alias("window_start"), F.col("source_ip").alias("event_name"), "n")
 
 
-@query("t6_rejected_requests", f"""WITH {LOG_CTE} SELECT event_id, CAST(nth AS INT) AS nth FROM (SELECT event_id, row_number() OVER (PARTITION BY event_name, time_bucket(INTERVAL '1 hour', ts) ORDER BY ts, event_id) AS nth FROM logs) WHERE nth > {_LIMIT}""")
+@query("t6_rejected_requests", f"""WITH {LOG_CTE} SELECT event_id, event_name FROM (SELECT event_id, event_name, row_number() OVER (PARTITION BY event_name, time_bucket(INTERVAL '1 hour', ts) ORDER BY ts, event_id) AS nth FROM logs) WHERE nth > {_LIMIT}""")
 def _(t):
-    return windows.rejected_requests(t.logs, _LIMIT, 3600, ip="event_name").select("event_id", "nth")
+    return windows.rejected_requests(t.logs, _LIMIT, 3600, ip="event_name").select("event_id", "event_name")
 
 
 @query("t7_rolling_24h", """WITH h AS (SELECT time_bucket(INTERVAL '1 hour', ts) AS b, count(*) AS c FROM events GROUP BY ALL),

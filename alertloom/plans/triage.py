@@ -41,8 +41,9 @@ def _aligned(reports: DataFrame, artifact_type: Column | None = None) -> DataFra
         (F.col(f"extracted.{n}") if n in have else F.lit(None)).cast(t).alias(n) for n, t in _EXTRACTED
     ]
     kind = artifact_type if artifact_type is not None else F.col("artifact_type")
+    payload = [c for c in reports.columns if c == "scrubbed_payload"]
     return reports.select(
-        "artifact_id", kind.alias("artifact_type"), F.col("risk_score").cast("int").alias("risk_score"),
+        "artifact_id", *payload, kind.alias("artifact_type"), F.col("risk_score").cast("int").alias("risk_score"),
         "verdict", "matched_rules", "checks", F.struct(*fields).alias("extracted"),
     )
 
@@ -54,20 +55,22 @@ def tier1(artifacts: DataFrame, pack: RulePack | None = None, ml_scores: DataFra
     Rules run on the raw text. ``ml_scores`` (artifact_id, ml_score) comes from a model that was given
     the scrubbed text; without it the model check is marked as skipped.
     """
-    typed = lambda t: artifacts.filter(F.col("file_type") == t)
-    mails = email_reports(parse_messages(typed("Eml").select("artifact_id", "raw")))
-    logs_raw = typed("Csv").select("artifact_id", "raw")
-    logs = log_reports(logs_raw, parse_logs(logs_raw), pack)
-    other = unsupported_reports(typed("Json"))
-    reports = _aligned(mails).unionByName(_aligned(logs)).unionByName(_aligned(other, F.lit("Json")))
-    joined = artifacts.select("artifact_id", "file_type", scrub("raw").alias("scrubbed_payload")).join(
-        reports, "artifact_id"
+    typed = lambda t: artifacts.filter(F.col("file_type") == t).select(
+        "artifact_id", "file_type", "raw", scrub("raw").alias("scrubbed_payload")
     )
+    # A mail is one row from reading to report, so its text is never shuffled.
+    mails = _aligned(email_reports(parse_messages(typed("Eml")), ["scrubbed_payload"]))
+    # Log checks group by artifact; their reports are joined with the texts afterwards.
+    logs = typed("Csv")
+    log_rows = log_reports(logs.select("artifact_id"), parse_logs(logs.select("artifact_id", "raw")), pack)
+    checked_logs = logs.select("artifact_id", "scrubbed_payload").join(_aligned(log_rows), "artifact_id")
+    other = _aligned(unsupported_reports(typed("Json"), ["scrubbed_payload"]), F.lit("Json"))
+    joined = mails.unionByName(checked_logs).unionByName(other)
     if ml_scores is not None:
         joined = joined.join(ml_scores.select("artifact_id", "ml_score"), "artifact_id", "left")
     else:
         joined = joined.withColumn("ml_score", F.lit(None).cast("double"))
-    is_mail = F.col("file_type") == "Eml"
+    is_mail = F.col("artifact_type") == "Eml"
     ml = F.when(is_mail, F.col("ml_score"))
     by_model = F.coalesce(ml >= threshold, F.lit(False))
     return joined.select(

@@ -104,11 +104,11 @@ def as_text(artifacts: DataFrame) -> DataFrame:
     return artifacts.withColumn("raw", raw).drop("content")
 
 
-def unsupported_reports(artifacts: DataFrame) -> DataFrame:
+def unsupported_reports(artifacts: DataFrame, keep: list[str] | None = None) -> DataFrame:
     """Rule reports of types without checks: escalated rather than dropped."""
     kind = F.col("file_type")
     return artifacts.select(
-        "artifact_id",
+        "artifact_id", *(keep or []),
         F.array(F.lit("unsupported_artifact_escalated")).alias("matched_rules"),
         F.array(check(
             F.lit("artifact_type"), F.lit("info"),

@@ -30,14 +30,21 @@ def normalize_key(name: Column | str) -> Column:
 
 def split_csv_line(line: Column) -> Column:
     """Fields of one CSV line; quotes do not span lines and a doubled quote stands for itself."""
+    plain = F.transform(F.split(line, ","), strip)
+    return F.when(F.contains(line, F.lit('"')), _split_quoted(line)).otherwise(plain)
+
+
+def _split_quoted(line: Column) -> Column:
     pieces = F.regexp_extract_all(line, F.lit(_FIELD), F.lit(0))
     # The pattern also matches the empty text at the end of the line; that match is a field only
     # after a separator.
-    fields = F.when(
-        (F.size(pieces) > 1) & ~_ends_in_separator(F.get(pieces, F.size(pieces) - 2)),
-        F.slice(pieces, F.lit(1), F.size(pieces) - 1),
-    ).otherwise(pieces)
-    return F.transform(fields, _unquote)
+    return let(pieces, lambda ps: F.transform(
+        F.when(
+            (F.size(ps) > 1) & ~_ends_in_separator(F.get(ps, F.size(ps) - 2)),
+            F.slice(ps, F.lit(1), F.size(ps) - 1),
+        ).otherwise(ps),
+        _unquote,
+    ))
 
 
 def _ends_in_separator(piece: Column) -> Column:
@@ -70,23 +77,23 @@ def parse_logs(artifacts: DataFrame) -> DataFrame:
         split_csv_line(F.try_element_at(F.col("lines"), F.lit(1))["line"]).alias("header"),
         F.slice("lines", F.lit(2), F.size("lines")).alias("lines"),
     )
-    rows = headed.select("artifact_id", "header", F.explode("lines").alias("e")).select(
-        "artifact_id",
-        "header",
+    # What depends on the header alone is worked out once per artifact, not once per line.
+    lowered = F.transform("header", lambda h: F.lower(h))
+    shaped = headed.select(
+        "artifact_id", "lines", field_plan("header").alias("plan"),
+        let(lowered, lambda low: F.struct(*[
+            _first_position(low, names).alias(column) for column, names in COLUMN_ALIASES
+        ])).alias("at"),
+    )
+    rows = shaped.select("artifact_id", "plan", "at", F.explode("lines").alias("e")).select(
+        "artifact_id", "plan", "at",
         F.col("e.pos").cast("long").alias("line_no"),
         split_csv_line(F.col("e.line")).alias("values"),
     )
-    return project_log_rows(rows)
-
-
-def project_log_rows(rows: DataFrame) -> DataFrame:
-    """(artifact_id, line_no, header, values) to typed columns and the map of all fields."""
-    lowered = F.transform("header", lambda h: F.lower(h))
     typed = [
-        F.coalesce(F.get("values", _first_position(lowered, names)), F.lit("")).alias(column)
-        for column, names in COLUMN_ALIASES
+        F.coalesce(F.get("values", F.col(f"at.{column}")), F.lit("")).alias(column) for column, _ in COLUMN_ALIASES
     ]
-    return rows.select("artifact_id", "line_no", *typed, field_map("header", "values").alias("fields"))
+    return rows.select("artifact_id", "line_no", *typed, planned_map(F.col("plan"), F.col("values")).alias("fields"))
 
 
 def _first_position(lowered: Column, names: list[str]) -> Column:
@@ -95,20 +102,27 @@ def _first_position(lowered: Column, names: list[str]) -> Column:
     return (F.array_position(flags, F.lit(True)) - 1).cast("int")
 
 
-def field_map(header: Column | str, values: Column | str) -> Column:
-    """Map of normalized header to value; of duplicate headers the last one wins."""
-    pairs = F.filter(
-        F.zip_with(
-            as_col(header), as_col(values),
-            lambda h, v: F.struct(normalize_key(h).alias("key"), v.alias("value")),
-        ),
-        lambda p: p["value"].isNotNull() & (p["key"] != ""),
+def field_plan(header: Column | str) -> Column:
+    """array<struct<key, next>>: normalized key of each header and where the same key occurs next."""
+    keys = F.transform(as_col(header), normalize_key)
+    return let(keys, lambda ks: F.transform(ks, lambda k, i: F.struct(
+        k.alias("key"),
+        let(F.array_position(F.slice(ks, i + 2, F.size(ks)), k), lambda p: F.when(p > 0, i + p.cast("int")))
+        .alias("next"),
+    )))
+
+
+def planned_map(plan: Column, values: Column) -> Column:
+    """Map of key to value. Of duplicate keys the last one that the row has a value for wins."""
+    n = F.size(values)
+    kept = F.filter(
+        F.zip_with(plan, values, lambda p, v: F.struct(p["key"].alias("key"), v.alias("value"), p["next"].alias("next"))),
+        lambda e: e["value"].isNotNull() & (F.coalesce(e["key"], F.lit("")) != "")
+        & (e["next"].isNull() | (e["next"] >= n)),
     )
-    # Keep the last pair of a key, independently of the session's map deduplication policy.
-    last = let(pairs, lambda ps: F.filter(
-        ps,
-        lambda p, i: ~F.exists(
-            F.slice(ps, i + 2, F.size(ps)), lambda later: later["key"] == p["key"]
-        ),
-    ))
-    return F.map_from_entries(last)
+    return F.map_from_entries(F.transform(kept, lambda e: F.struct(e["key"], e["value"])))
+
+
+def field_map(header: Column | str, values: Column | str) -> Column:
+    """Map of normalized header to value of one row."""
+    return planned_map(field_plan(header), as_col(values))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,23 +19,20 @@ def write_batch(df: DataFrame, root: str, table: str, batch_id: int | str) -> No
     df.write.mode("overwrite").parquet(path)
 
 
+def _stored(spark: SparkSession, root: str, table: str, schema: str) -> DataFrame:
+    try:
+        return spark.read.schema(schema + ", batch_id string").parquet(table_path(root, table))
+    except AnalysisException as problem:
+        if "PATH_NOT_FOUND" not in str(problem):
+            raise
+        return spark.createDataFrame([], schema + ", batch_id string")
+
+
 def read_table(spark: SparkSession, root: str, table: str, schema: str) -> DataFrame:
     """A result table, empty while nothing has been written to it."""
-    path = table_path(root, table)
-    jvm = spark._jvm
-    hadoop_path = jvm.org.apache.hadoop.fs.Path(path)
-    fs = hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration())
-    if not fs.exists(hadoop_path):
-        return spark.createDataFrame([], schema)
-    return spark.read.schema(schema + ", batch_id string").parquet(path).drop("batch_id")
+    return _stored(spark, root, table, schema).drop("batch_id")
 
 
 def read_other_batches(spark: SparkSession, root: str, table: str, schema: str, batch_id: int | str) -> DataFrame:
     """What other batches wrote; the own batch is left out since it is about to be replaced."""
-    path = table_path(root, table)
-    hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(path)
-    fs = hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration())
-    if not fs.exists(hadoop_path):
-        return spark.createDataFrame([], schema)
-    df = spark.read.schema(schema + ", batch_id string").parquet(path)
-    return df.filter(F.col("batch_id") != str(batch_id)).drop("batch_id")
+    return _stored(spark, root, table, schema).filter(F.col("batch_id") != str(batch_id)).drop("batch_id")

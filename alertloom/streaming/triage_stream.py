@@ -1,6 +1,6 @@
 """Continuous triage: new files are picked up, checked, and reported batch by batch.
 
-Delivery is at least once; results are exactly once. A batch owns one partition of every result table
+A file is read once per batch. Delivery is at least once; results are exactly once. A batch owns one partition of every result table
 and overwrites it on replay, and artifacts that another batch has finished are dropped by an anti join.
 """
 
@@ -18,6 +18,8 @@ from ..sources.artifacts import BINARY_SCHEMA, as_text, describe, split_intake
 from ..sources.rule_pack import RulePack
 
 IOC_ROWS = "job_id string, type string, value string, extracted_by string, pos int"
+# Ids of 64 characters: the side that is broadcast stays below ten megabytes.
+BROADCAST_IDS = 100_000
 JOBS = (
     "id string, file_name string, file_type string, status string, current_step string, "
     "error_message string, created_at timestamp, started_at timestamp, finished_at timestamp"
@@ -39,7 +41,14 @@ def process_batch(batch: DataFrame, batch_id: int, root: str, pack: RulePack | N
     known = sinks.read_other_batches(spark, root, "tier1_results", triage.TIER1, batch_id).select(
         F.col("job_id").alias("artifact_id")
     )
-    fresh = batch.dropDuplicates(["artifact_id"]).join(known, "artifact_id", "left_anti")
+    # Compare ids first and fetch contents afterwards: the file contents stay out of the shuffle.
+    ids = materialize(
+        batch.select("artifact_id").distinct().join(known, "artifact_id", "left_anti"), "stream-ids"
+    )
+    if ids.count() <= BROADCAST_IDS:
+        ids = F.broadcast(ids)
+    # Both tiers read the batch several times; a written copy is read by type and by column.
+    fresh = materialize(batch.join(ids, "artifact_id", "left_semi"), "stream-batch")
     accepted, rejected = split_intake(fresh)
     sinks.write_batch(rejected, root, "quarantine", batch_id)
     texts = as_text(accepted)

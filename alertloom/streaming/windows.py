@@ -30,15 +30,24 @@ def limit_breaches(access: DataFrame, limit: int, width: str = "60 seconds", tim
 
 def rejected_requests(access: DataFrame, limit: int, seconds: int = 60, time: str = "ts",
                       ip: str = "source_ip", tie_break: str = "event_id") -> DataFrame:
-    """The requests beyond the limit themselves (tables only), in arrival order of their window.
+    """The requests beyond the limit themselves (tables only): all but the first ones of their window.
 
-    The partition key includes the window, so one busy address is spread over its windows.
+    An address may send a third of all requests in one window. The first ``limit`` are therefore found
+    per salt and then among these few, and every request is compared with the last admitted one.
     """
     slot = F.floor(F.unix_seconds(F.col(time).cast("timestamp")) / seconds)
-    w = Window.partitionBy(ip, "slot").orderBy(time, tie_break)
-    return access.withColumn("slot", slot).withColumn("nth", F.row_number().over(w)).filter(
-        F.col("nth") > limit
-    ).drop("slot")
+    rows = access.withColumn("slot", slot)
+    nth = lambda *keys: F.row_number().over(Window.partitionBy(*keys).orderBy(time, tie_break))
+    admitted = (
+        rows.select(ip, "slot", time, tie_break)
+        .withColumn("salt", F.pmod(F.xxhash64(tie_break), F.lit(32)))
+        .withColumn("nth", nth(ip, "slot", "salt")).filter(F.col("nth") <= limit)
+        .withColumn("nth", nth(ip, "slot")).filter(F.col("nth") <= limit)
+    )
+    last = admitted.groupBy(ip, "slot").agg(
+        F.max(F.struct(time, tie_break)).alias("last"), F.count("*").alias("admitted")
+    ).filter(F.col("admitted") == limit)
+    return rows.join(last, [ip, "slot"]).filter(F.struct(time, tie_break) > F.col("last")).select(*access.columns)
 
 
 def rolling_counts(jobs: DataFrame, time: str = "created_at", width: str = "24 hours",
