@@ -12,8 +12,9 @@ from .text import as_col
 
 # What is redacted, in the order of application, and by what it is replaced.
 # An address of version 6 is either eight full groups or has exactly one "::" with well-formed ends.
+# The leading look-ahead of it and of the phone pattern only makes most positions fail early.
 IPV6 = (
-    r"(?d)(?<![0-9A-Fa-f:])(?:(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}"
+    r"(?d)(?=[0-9A-Fa-f]{0,4}+:)(?<![0-9A-Fa-f:])(?:(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}"
     r"|(?=[0-9A-Fa-f:]*[0-9A-Fa-f])(?=[0-9A-Fa-f:]*::)(?![0-9A-Fa-f:]*::[0-9A-Fa-f:]*::)"
     r"(?![0-9A-Fa-f:]*:::)(?!:[0-9A-Fa-f])(?![0-9A-Fa-f:]*[0-9A-Fa-f]:(?![0-9A-Fa-f:]))"
     r"(?:[0-9A-Fa-f]{0,4}:){2,7}[0-9A-Fa-f]{0,4})(?![0-9A-Fa-f:])"
@@ -27,7 +28,7 @@ IPV4 = (
     r"(?U)\b(?:(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])\.){3}"
     r"(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])\b"
 )
-PHONE = r"(?U)(?<!\d)(?:\+?\d{1,3}[\s\-])?(?:\(?\d{2,4}\)?[\s\-])?\d{3,4}[\s\-]\d{4}(?!\d)"
+PHONE = r"(?U)(?=[+(\d])(?<!\d)(?:\+?\d{1,3}[\s\-])?(?:\(?\d{2,4}\)?[\s\-])?\d{3,4}[\s\-]\d{4}(?!\d)"
 ACCOUNT_ID = r"""(?iU)((?:account[_\-\s]?(?:id)?|arn:aws)[:\s"']*)\d{12}\b"""
 
 RULES: list[tuple[str, str, str]] = [

@@ -9,6 +9,7 @@ from ..functions import network as N
 from ..functions import pii
 from ..operators.email_checks import email_reports
 from ..sources.artifacts import reject_reason, unsupported_reports, with_reject_reason
+from ..session import spread
 from ..sources.csv_logs import parse_logs
 from .lens import MAIL_CTE, query
 
@@ -304,7 +305,7 @@ def _(t):
     ).otherwise(F.concat(F.lit(" 10.0.0."), k, F.lit(", "), name, F.lit(" ,"), F.col("event_type")))
     header = F.when(F.col("event_id") % 2 == 0, "\nsourceIPAddress,userIdentity.userName,event\n").otherwise("IP , User, eventName\r\n")
     # The dotted header is no alias of the typed column, so the name is read from the map there.
-    files = t.table("events").select(
+    files = spread(t.table("events")).select(
         F.col("event_id").cast("string").alias("artifact_id"), F.concat(header, row, F.lit("\n\n")).alias("raw")
     )
     logs = parse_logs(files)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import scratch_path, spread
+from ..session import materialize, scratch_path, spread
 from ..sources import sinks
 from ..streaming import windows
 from . import stages, triage
@@ -49,8 +49,9 @@ def _(t):
 
     def tier1(batch: DataFrame, batch_id: int) -> None:
         known = sinks.read_other_batches(batch.sparkSession, root, "tier1_results", triage.TIER1, batch_id)
-        fresh = stages.not_yet_filtered(spread(batch).withColumnRenamed("artifact_id", "id"), known)
-        sinks.write_batch(triage.tier1(fresh.withColumnRenamed("id", "artifact_id")), root, "tier1_results", batch_id)
+        batch = materialize(spread(batch), "triage-batch")
+        fresh = stages.not_yet_filtered(batch.withColumnRenamed("artifact_id", "id"), known)
+        sinks.write_batch(triage.tier1(fresh.withColumnRenamed("id", "artifact_id"), file_types=["Eml"]), root, "tier1_results", batch_id)
 
     arriving = _StreamLens(t.spark, t.folder).raw_mails.withColumn("file_type", F.lit("Eml"))
     q = (

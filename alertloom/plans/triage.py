@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -49,9 +50,11 @@ def _aligned(reports: DataFrame, artifact_type: Column | None = None) -> DataFra
 
 
 def tier1(artifacts: DataFrame, pack: RulePack | None = None, ml_scores: DataFrame | None = None,
-          threshold: float = ML_THRESHOLD) -> DataFrame:
+          threshold: float = ML_THRESHOLD, file_types: list[str] | None = None) -> DataFrame:
     """Tier-1 results of accepted artifacts (artifact_id, file_type, raw).
 
+    ``file_types`` names the types that occur, where the caller knows: branches of others are left out.
+
     Rules run on the raw text. ``ml_scores`` (artifact_id, ml_score) comes from a model that was given
     the scrubbed text; without it the model check is marked as skipped.
     """
@@ -59,13 +62,18 @@ def tier1(artifacts: DataFrame, pack: RulePack | None = None, ml_scores: DataFra
         "artifact_id", "file_type", "raw", scrub("raw").alias("scrubbed_payload")
     )
     # A mail is one row from reading to report, so its text is never shuffled.
-    mails = _aligned(email_reports(parse_messages(typed("Eml")), ["scrubbed_payload"]))
+    mails = lambda: _aligned(email_reports(parse_messages(typed("Eml")), ["scrubbed_payload"]))
+
     # Log checks group by artifact; their reports are joined with the texts afterwards.
-    logs = typed("Csv")
-    log_rows = log_reports(logs.select("artifact_id"), parse_logs(logs.select("artifact_id", "raw")), pack)
-    checked_logs = logs.select("artifact_id", "scrubbed_payload").join(_aligned(log_rows), "artifact_id")
-    other = _aligned(unsupported_reports(typed("Json"), ["scrubbed_payload"]), F.lit("Json"))
-    joined = mails.unionByName(checked_logs).unionByName(other)
+    def logs() -> DataFrame:
+        texts = typed("Csv")
+        rows = log_reports(texts.select("artifact_id"), parse_logs(texts.select("artifact_id", "raw")), pack)
+        return texts.select("artifact_id", "scrubbed_payload").join(_aligned(rows), "artifact_id")
+
+    other = lambda: _aligned(unsupported_reports(typed("Json"), ["scrubbed_payload"]), F.lit("Json"))
+    branches = {"Eml": mails, "Csv": logs, "Json": other}
+    wanted = [t for t in branches if file_types is None or t in file_types] or ["Json"]
+    joined = reduce(DataFrame.unionByName, [branches[t]() for t in wanted])
     if ml_scores is not None:
         joined = joined.join(ml_scores.select("artifact_id", "ml_score"), "artifact_id", "left")
     else:

@@ -54,7 +54,8 @@ def process_batch(batch: DataFrame, batch_id: int, root: str, pack: RulePack | N
     texts = as_text(accepted)
     now = F.current_timestamp()
 
-    results = triage.tier1(texts, pack)
+    present = [r["file_type"] for r in accepted.select("file_type").distinct().collect()]  # three at most
+    results = triage.tier1(texts, pack, file_types=present)
     sinks.write_batch(results, root, "tier1_results", batch_id)
     # Read back what was written: the second tier works on the stored rows, not on a recomputation.
     stored = spark.read.schema(triage.TIER1).parquet(

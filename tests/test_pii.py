@@ -57,3 +57,28 @@ def test_sql_functions_agree(spark):
 @pytest.mark.parametrize("text", ["x" * 20_000, "1:" * 3_000, "a.b-" * 3_000, "4111 " * 2_000])
 def test_scrub_survives_long_runs(spark, one, text):
     assert one(scrub, text) is not None
+
+
+def test_version_six_addresses_against_a_validator(spark):
+    """The single pattern redacts exactly what a broad search with an address check redacts."""
+    import ipaddress
+    import random
+    import re
+
+    from alertloom.functions.pii import redact
+
+    broad = re.compile(r"(?<![0-9A-Fa-f:])(?:[0-9A-Fa-f]{0,4}:){2,7}[0-9A-Fa-f]{0,4}(?![0-9A-Fa-f:])")
+
+    def check(m):
+        try:
+            ipaddress.IPv6Address(m.group())
+        except ValueError:
+            return m.group()
+        return "[REDACTED_IP]" if re.search("[0-9A-Fa-f]", m.group()) else m.group()
+
+    rng = random.Random(11)
+    texts = ["".join(rng.choice(["::", ":", "0", "ab", "12f3", " ", "g", ":1"]) for _ in range(rng.randrange(1, 16))) for _ in range(4000)]
+    texts += [":".join(["1"] * n) for n in range(1, 11)] + ["::" + ":".join(["1"] * n) for n in range(1, 9)] + ["1::" + ":".join(["1"] * n) for n in range(0, 8)]
+    df = spark.createDataFrame([(t, broad.sub(check, t)) for t in texts], "t string, want string")
+    bad = df.select("t", "want", redact("t", "ipv6").alias("got")).filter("want <> got").limit(5).collect()
+    assert bad == []
