@@ -33,6 +33,12 @@ def column_fields(df: DataFrame, extra: dict[str, Column] | None = None) -> Fiel
     return lambda key: known.get(key, F.lit(None).cast("string"))
 
 
+def slug_column(title: Column) -> Column:
+    """The slug of a rule title as a Column, for tables of rules."""
+    folded = F.regexp_replace(F.lower(title), r"[^\p{L}\p{Nd}]+", "_")
+    return F.trim(folded, F.lit("_"))
+
+
 def glob_regex(pattern: str) -> str:
     """Whole-value pattern of a glob with ``*`` and ``?``.
 

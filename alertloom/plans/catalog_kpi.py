@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import scoring
 from ..operators import kpi as K
 from ..schemas import STEP_ORDER
-from .lens import FINDING_CTE, JOB_CTE, REPORT_CTE, Lens, query
+from .lens import FINDING_CTE, JOB_CTE, REPORT_CTE, Lens, epoch_seconds, query
 
 _J, _R, _F = f"WITH {JOB_CTE}", f"WITH {REPORT_CTE}", f"WITH {FINDING_CTE}"
 _ALL = f"WITH {JOB_CTE}, {REPORT_CTE}, {FINDING_CTE}"
@@ -22,7 +22,7 @@ def now() -> Column:
 
 def seconds(c: str) -> Column:
     """Whole seconds of a timestamp, which compare the same way in both engines."""
-    return F.unix_seconds(F.col(c).cast("timestamp")).alias(c)
+    return epoch_seconds(c).alias(c)
 
 
 _sec = lambda c: f"CAST(epoch({c}) AS BIGINT) AS {c}"

@@ -103,10 +103,9 @@ def _(t):
 
 @query("c12_rule_slugs", "SELECT p_partkey, trim(regexp_replace(lower(trim(concat(p_name, ' - ', p_type, '!'))), '[^\\p{L}\\p{Nd}]+', '_', 'g'), '_') AS slug FROM part")
 def _(t):
-    """The slug of every part name, with the expression that tables of rules use."""
+    """Part names as rule titles."""
     title = F.concat("p_name", F.lit(" - "), "p_type", F.lit("!"))
-    slug = F.trim(F.regexp_replace(F.lower(F.trim(title)), r"[^\p{L}\p{Nd}]+", "_"), F.lit("_"))
-    return t.table("part").select("p_partkey", slug.alias("slug"))
+    return t.table("part").select("p_partkey", R.slug_column(title).alias("slug"))
 
 
 # --- checks -----------------------------------------------------------------------------------------

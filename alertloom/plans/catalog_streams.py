@@ -10,7 +10,7 @@ from ..sources import sinks
 from ..streaming import windows
 from . import stages, triage
 from .catalog_email import _REPORT
-from .lens import JOB_CTE, LOG_CTE, REPORT_CTE, Lens, query
+from .lens import JOB_CTE, LOG_CTE, REPORT_CTE, Lens, epoch_seconds, query
 
 
 def stream_of(t: Lens, table: str) -> DataFrame:
@@ -122,7 +122,7 @@ _LIMIT = 2
   FROM logs GROUP BY ALL HAVING count(*) > {_LIMIT}""")
 def _(t):
     hits = windows.limit_breaches(t.logs, _LIMIT, "1 hour", ip="event_name")
-    return hits.select(F.unix_seconds(F.col("window_start").cast("timestamp")).alias("window_start"), F.col("source_ip").alias("event_name"), "n", "rejected")
+    return hits.select(epoch_seconds("window_start").alias("window_start"), F.col("source_ip").alias("event_name"), "n", "rejected")
 
 
 @query("t6_limit_breach_stream", f"""WITH {LOG_CTE}, w AS (SELECT time_bucket(INTERVAL '1 hour', ts) AS b, event_name, count(*) AS n FROM logs GROUP BY ALL HAVING count(*) > {_LIMIT})
@@ -132,7 +132,7 @@ def _(t):
     logs = _StreamLens(t.spark, t.folder).logs.withColumn("ts", F.col("ts").cast("timestamp"))
     hits = windows.limit_breaches(logs, _LIMIT, "1 hour", ip="event_name")
     stored = run_to_table(hits, "breaches")
-    return stored.select(F.unix_seconds("window_start").alias("window_start"), F.col("source_ip").alias("event_name"), "n")
+    return stored.select(epoch_seconds("window_start").alias("window_start"), F.col("source_ip").alias("event_name"), "n")
 
 
 @query("t6_rejected_requests", f"""WITH {LOG_CTE} SELECT event_id, event_name FROM (SELECT event_id, event_name, row_number() OVER (PARTITION BY event_name, time_bucket(INTERVAL '1 hour', ts) ORDER BY ts, event_id) AS nth FROM logs) WHERE nth > {_LIMIT}""")
@@ -144,7 +144,7 @@ def _(t):
   e AS (SELECT b + INTERVAL '1 hour' * (i + 1) AS w, c FROM h, range(24) r(i)) SELECT CAST(epoch(w) AS BIGINT) AS window_end, CAST(sum(c) AS BIGINT) AS n FROM e GROUP BY w""")
 def _(t):
     r = windows.rolling_counts(t.table("events"), "ts")
-    return r.select(F.unix_seconds(F.col("window_end").cast("timestamp")).alias("window_end"), "n")
+    return r.select(epoch_seconds("window_end").alias("window_end"), "n")
 
 
 @query("t8_cache_expiry", f"""WITH {LOG_CTE} SELECT CAST(ts AS DATE)::STRING AS day, count(DISTINCT source_ip) AS n_cached FROM logs

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from functools import cached_property
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import spread
@@ -243,6 +243,11 @@ def _split_top(text: str) -> list[str]:
     return [p.strip() for p in [*parts, text[start:]]]
 
 
+def epoch_seconds(column: str) -> Column:
+    """Whole seconds of the wall-clock time since 1970, whatever the session's time zone is."""
+    return F.expr(f"timestampdiff(SECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', CAST({column} AS TIMESTAMP_NTZ))")
+
+
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
 

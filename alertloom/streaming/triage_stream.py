@@ -12,7 +12,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ..plans import stages, triage
 from ..schemas import ACTIVITY, INTEL, INTEL_FEED, REPORT
-from ..session import materialize
+from ..session import materialize, scratch_scope
 from ..sources import sinks
 from ..sources.artifacts import BINARY_SCHEMA, as_text, describe, split_intake
 from ..sources.rule_pack import RulePack
@@ -37,6 +37,12 @@ def process_batch(batch: DataFrame, batch_id: int, root: str, pack: RulePack | N
                   cache: DataFrame | None = None, feed: DataFrame | None = None,
                   activity: DataFrame | None = None) -> None:
     """Both tiers of one micro-batch, written to the result tables below ``root``."""
+    with scratch_scope(batch.sparkSession):
+        _process(batch, batch_id, root, pack, cache, feed, activity)
+
+
+def _process(batch: DataFrame, batch_id: int, root: str, pack: RulePack | None, cache: DataFrame | None,
+             feed: DataFrame | None, activity: DataFrame | None) -> None:
     spark = batch.sparkSession
     known = sinks.read_other_batches(spark, root, "tier1_results", triage.TIER1, batch_id).select(
         F.col("job_id").alias("artifact_id")

@@ -64,6 +64,12 @@ def test_defaults_and_slug():
     assert slugify("__a__b__") == "a_b"
 
 
+def test_slug_column_agrees(spark):
+    titles = ["AWS: Root -- Usage!", "__a__b__", "Größe 12%", "", "!!"]
+    df = spark.createDataFrame([(t,) for t in titles], "t string")
+    assert [r.s for r in df.select(R.slug_column(F.col("t")).alias("s")).collect()] == [slugify(t) for t in titles]
+
+
 def test_folder_keeps_good_rules(tmp_path, spark):
     (tmp_path / "sub").mkdir()
     (tmp_path / "b.yml").write_text("title: b\ndetection: {s: {x: '1'}, condition: s}")
