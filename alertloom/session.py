@@ -7,6 +7,7 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -33,20 +34,24 @@ def local_session(cpus: int | str = 8, app: str = "alertloom", **conf: str) -> S
     return spark
 
 
+_local_dir: list[str] = []
+
+
 def shared_dir(spark: SparkSession) -> str:
     """Folder that outlives any executor, named by ``spark.checkpoint.dir``.
 
-    Only a local master may fall back to a temporary folder: on a cluster such a folder would be
-    visible to one machine only, so its absence is an error there.
+    Only a local master may do without it: its one machine keeps a temporary folder for the process. On a
+    cluster such a folder would be visible to one machine only, so its absence is an error there.
     """
     configured = spark.conf.get(CHECKPOINT_CONF, None)
     if configured:
         return configured.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    master = spark.sparkContext.master
+    if not master.startswith("local") or master.startswith("local-cluster"):
         raise RuntimeError(f"set {CHECKPOINT_CONF} to a shared folder")
-    folder = tempfile.mkdtemp(prefix="alertloom-")
-    spark.conf.set(CHECKPOINT_CONF, folder)
-    return folder
+    if not _local_dir:
+        _local_dir.append(tempfile.mkdtemp(prefix="alertloom-"))
+    return _local_dir[0]
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
@@ -54,17 +59,19 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-_scopes: list[list[str]] = []
+_scope: ContextVar[list[str] | None] = ContextVar("scratch_scope", default=None)
 
 
 @contextmanager
 def scratch_scope(spark: SparkSession) -> Iterator[None]:
     """Remove the tables materialized inside the block when it ends, as a long-running stream must."""
-    _scopes.append([])
+    written: list[str] = []
+    token = _scope.set(written)
     try:
         yield
     finally:
-        for path in _scopes.pop():
+        _scope.reset(token)
+        for path in written:
             target = spark._jvm.org.apache.hadoop.fs.Path(path)
             target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
@@ -76,8 +83,8 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     the loss of executors, unlike a cached or locally checkpointed one.
     """
     path = scratch_path(df.sparkSession, name)
-    if _scopes:
-        _scopes[-1].append(path)
+    if (written := _scope.get()) is not None:
+        written.append(path)
     df.write.mode("overwrite").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

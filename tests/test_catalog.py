@@ -9,9 +9,10 @@ import pytest
 sys.path.insert(0, os.path.join(os.path.dirname(os.path.dirname(os.path.abspath(__file__))), "tools"))
 
 import __spark_entry__ as entry  # noqa: E402
+from alertloom.plans import catalog  # noqa: E402
 from check_oracle import TABLES, canonical  # noqa: E402
 
-QUERIES, SQL = entry.queries(), entry.oracle_sql()
+QUERIES, SQL = catalog.QUERIES, catalog.ORACLES
 
 
 @pytest.fixture(scope="module")
@@ -38,6 +39,10 @@ def test_every_oracle_has_a_query():
     assert set(QUERIES) - set(SQL) == {"m1_phishing_scores"}
 
 
+def test_entry_registers_all_of_them():
+    assert set(QUERIES) <= set(entry.queries()) and set(SQL) <= set(entry.oracle_sql())
+
+
 def test_entry(spark, data_dir):
     df = entry.entry(spark)
     assert df.columns == ["artifact_id", "rule_count", "risk_score", "verdict"] and df.count() > 0
