@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import neardup
+from . import bpe, neardup
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -48,3 +50,16 @@ def query(name: str, sql: str | None = None):
 )
 def op4_minhash_neardup(spark: SparkSession, folder: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, folder, "documents"), width=4, percent=80)
+
+
+@query("op1_bpe_round_trip")
+def op1_bpe_round_trip(spark: SparkSession, folder: str) -> DataFrame:
+    ids = bpe.encode(
+        table(spark, folder, "documents").select("doc_id", "text"), public_tokenizers.path("word_bpe_49k.json"),
+        ids_col="token_ids", decoded_col="decoded")
+    return ids.select(
+        "doc_id",
+        F.size("token_ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("token_ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
