@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, neardup
+from . import bpe, neardup, shards
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -63,3 +63,35 @@ def op1_bpe_round_trip(spark: SparkSession, folder: str) -> DataFrame:
         F.sha2(F.array_join(F.col("token_ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"),
     )
+
+
+@query(
+    "op2_shard_by_bytes",
+    """
+    WITH bits AS (
+      SELECT list_transform(range(256), lambda n: list_reduce(
+        list_prepend(CAST(n AS BIGINT), range(8)),
+        lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t),
+    docs AS (
+      SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, octet_length(encode(coalesce(text, ''))) + 8 AS size
+      FROM documents),
+    sums AS (
+      SELECT doc_id, size, xor(4294967295, list_reduce(
+        list_prepend(CAST(4294967295 AS BIGINT), list_transform(range(size - 8),
+          lambda i: CAST(instr('0123456789ABCDEF', h[2 * i + 1]) * 16 + instr('0123456789ABCDEF', h[2 * i + 2]) - 17
+            AS BIGINT))),
+        lambda c, b: xor(c >> 8, t[xor(c & 255, b) + 1]))) AS text_crc32
+      FROM docs, bits),
+    placed AS (
+      SELECT *, row_number() OVER o - 1 AS n,
+        least(23, (sum(size) OVER (o ROWS UNBOUNDED PRECEDING) - size + size // 2) * 24 // sum(size) OVER ()) AS s
+      FROM sums WINDOW o AS (ORDER BY doc_id, text_crc32, size))
+    SELECT doc_id, CAST(size AS BIGINT) AS size, text_crc32, 'bytes' AS law, CAST(s AS INTEGER) AS shard,
+      n - min(n) OVER (PARTITION BY s) AS slot, CAST(NULL AS INTEGER) AS grown_shard
+    FROM placed
+    """,
+)
+def op2_shard_by_bytes(spark: SparkSession, folder: str) -> DataFrame:
+    return shards.shard_by_bytes(table(spark, folder, "documents"), 24).select(
+        "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot",
+        F.lit(None).cast("int").alias("grown_shard"))
