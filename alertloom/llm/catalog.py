@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, neardup, shards
+from . import bpe, neardup, shards, substrings
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -95,3 +95,29 @@ def op2_shard_by_bytes(spark: SparkSession, folder: str) -> DataFrame:
     return shards.shard_by_bytes(table(spark, folder, "documents"), 24).select(
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot",
         F.lit(None).cast("int").alias("grown_shard"))
+
+
+@query(
+    "op5_substring_dedup",
+    f"""
+    WITH words AS (
+      SELECT doc_id, regexp_extract_all(coalesce(text, ''), {WORD}) AS w FROM documents),
+    windows AS (
+      SELECT doc_id, unnest(range(len(w) - 19)) AS pos,
+        unnest(list_transform(range(1, len(w) - 18), lambda i: array_to_string(w[i:i + 19], ' '))) AS g
+      FROM words WHERE len(w) >= 20),
+    repeated AS (
+      SELECT doc_id, pos FROM windows
+      QUALIFY row_number() OVER (PARTITION BY g ORDER BY doc_id, pos) > 1),
+    gone AS (SELECT DISTINCT doc_id, unnest(range(pos, pos + 20)) AS i FROM repeated),
+    lost AS (SELECT doc_id, list(i) AS l FROM gone GROUP BY doc_id)
+    SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(len(l), 0) AS BIGINT) AS n_removed,
+      sha256(coalesce(array_to_string(CASE WHEN l IS NULL THEN w ELSE list_filter(w,
+        lambda x, i: NOT list_contains(l, i - 1)) END, ' '), '')) AS kept_sha256
+    FROM words LEFT JOIN lost USING (doc_id)
+    """,
+)
+def op5_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    return substrings.remove_repeats(docs, width=20).select(
+        "doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
