@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, langid, neardup, shards, substrings
+from . import bpe, langid, neardup, shards, substrings, toxicity
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -129,3 +129,15 @@ def op10_language_id(spark: SparkSession, folder: str) -> DataFrame:
     net = langid.fit(docs.where(~langid.held_out()))
     out = langid.predict(docs.select("doc_id", "text"), net)
     return out.select("doc_id", langid.held_out().alias("held_out"), "lang_pred", "score")
+
+
+@query("op8_toxicity")
+def op8_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    fold = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3
+    labels = table(spark, folder, "labels").where(~langid.held_out()).select(
+        "doc_id", "toxic", (fold == 0).alias("part"))
+    model = toxicity.fit(docs, labels)
+    out = toxicity.score(docs, model)
+    return out.select(
+        "doc_id", langid.held_out().alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))

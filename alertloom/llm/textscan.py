@@ -58,10 +58,15 @@ def pieces(offsets: np.ndarray):
         row = min(end, n)
 
 
-def word_bounds(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(starts, ends, first): byte bounds of all words, and the index of each row's first word, n + 1 long."""
+def word_bounds(
+    data: np.ndarray, offsets: np.ndarray, apart: np.ndarray = _SPACE
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(starts, ends, first): byte bounds of all words, and the index of each row's first word, n + 1 long.
+
+    ``apart`` says of each byte value whether it separates words.
+    """
     base = int(offsets[0])
-    inside = ~_SPACE[data[base:int(offsets[-1])]]
+    inside = ~apart[data[base:int(offsets[-1])]]
     if not len(inside):
         none = np.zeros(0, np.int64)
         return none, none, np.zeros(len(offsets), np.int64)
@@ -95,6 +100,27 @@ def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: b
     return out
 
 
+def beginnings(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, depth: int):
+    """(rows, hashes) for the first 1, 2, ... ``depth`` bytes of each word that has so many; A-Z count as a-z."""
+    at = 0
+    while at < len(starts):
+        base = int(starts[at])
+        to = max(at + 1, int(np.searchsorted(starts, base + STEP, "right")))
+        part = data[base:min(int(ends[to - 1]), int(starts[to - 1]) + depth)]
+        up = _POWERS if len(part) <= len(_POWERS) else powers(_BASE, len(part))
+        sums = np.zeros(len(part) + 1, dtype=np.uint64)
+        np.cumsum(_BYTES[_LOWER[part]] * up[:len(part)], out=sums[1:])
+        s, size = starts[at:to] - base, ends[at:to] - starts[at:to]
+        rows = np.arange(to - at)
+        for d in range(1, depth + 1):
+            rows = rows[size[rows] >= d]
+            if not len(rows):
+                break
+            x = s[rows]
+            yield d, rows + at, mix((sums[x + d] - sums[x]) * _INVERSES[x] + np.full(1, d, np.uint64) * _BASE)
+        at = to
+
+
 def fold(hashes: np.ndarray, width: int, base: int = 0xD6E8FEB86659FD93) -> np.ndarray:
     """Rabin-Karp hashes of all runs of ``width`` word hashes, rolled over prefix sums modulo 2**64."""
     n = len(hashes) - width + 1
