@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, langid, neardup, shards, substrings, toxicity
+from . import bpe, fingerprints, langid, neardup, shards, substrings, toxicity
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -141,3 +141,14 @@ def op8_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     out = toxicity.score(docs, model)
     return out.select(
         "doc_id", langid.held_out().alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
+@query("op9_multiset_fingerprint")
+def op9_multiset_fingerprint(spark: SparkSession, folder: str) -> DataFrame:
+    out = fingerprints.edited(table(spark, folder, "documents"))
+    return out.select(
+        "doc_id", "n_chars", F.sha2("edited_text", 256).alias("edited_sha256"),
+        fingerprints.as_string(F.col("lanes")).alias("fingerprint"),
+        fingerprints.as_string(F.col("edited_lanes")).alias("edited_fingerprint"),
+        fingerprints.likeness(F.col("lanes"), F.col("edited_lanes")).alias("near_edited"),
+        fingerprints.likeness(F.col("lanes"), F.col("next_lanes")).alias("near_next"))
