@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, fingerprints, langid, neardup, shards, substrings, toxicity
+from . import bpe, fingerprints, langid, neardup, shards, substrings, toxicity, warc
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -152,3 +152,19 @@ def op9_multiset_fingerprint(spark: SparkSession, folder: str) -> DataFrame:
         fingerprints.as_string(F.col("edited_lanes")).alias("edited_fingerprint"),
         fingerprints.likeness(F.col("lanes"), F.col("edited_lanes")).alias("near_edited"),
         fingerprints.likeness(F.col("lanes"), F.col("next_lanes")).alias("near_next"))
+
+
+@query(
+    "op7_warc",
+    """
+    WITH p AS (
+      SELECT page_id, octet_length(encode(coalesce(html, ''))) AS n, sha256(coalesce(html, '')) AS d FROM pages),
+    f AS (SELECT *, CASE WHEN n >= 100 THEN min(page_id) OVER (PARTITION BY d) ELSE page_id END AS first FROM p)
+    SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, d AS payload_digest,
+      CASE WHEN first = page_id THEN 'response' ELSE 'revisit' END AS record_type,
+      CASE WHEN first <> page_id THEN first END AS refers_to
+    FROM f
+    """,
+)
+def op7_warc(spark: SparkSession, folder: str) -> DataFrame:
+    return warc.archive_and_read(table(spark, folder, "pages"))
