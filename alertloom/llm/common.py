@@ -7,45 +7,47 @@ from pyspark.sql import functions as F
 
 from ..session import materialize
 
-#: Rows up to which a counted lookup table of a few fixed-width columns may be broadcast (about 10 MB).
-BROADCAST_ROWS = 200_000
-SALTS = 32
+#: Size on disk up to which a written lookup table of ids and other small columns may be broadcast.
+BROADCAST_BYTES = 4 << 20
+SALTS = 8
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def small_enough(written: DataFrame) -> bool:
+    """Whether a written table may be broadcast, by the size of its files; no job is run for it."""
+    size = written._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    return int(str(size)) <= BROADCAST_BYTES
+
+
 def lookup(df: DataFrame, small: DataFrame, keys: list[str], spread: Column, how: str = "left") -> DataFrame:
-    """Join ``small``, which has one row per key, to ``df``.
+    """Join ``small``, a written table with one row per key, to ``df``.
 
-    The table is broadcast only if its counted rows stay within BROADCAST_ROWS. Beyond that both sides
-    are shuffled, with the key salted by ``spread`` (any column that differs within a hot key).
-    ``small`` should be cheap to read again, that is, a written table.
+    It is broadcast only if its files stay within BROADCAST_BYTES. Beyond that both sides are shuffled, with the
+    key salted by ``spread``, any column that differs within a hot key.
     """
-    if small.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+    if small_enough(small):
         return df.join(F.broadcast(small), keys, how)
     salted = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     out = df.withColumn("_salt", F.pmod(F.xxhash64(spread), F.lit(SALTS)).cast("int"))
     return out.join(salted, [*keys, "_salt"], how).drop("_salt")
 
 
-def _round(edges: DataFrame, name: str) -> DataFrame:
+def _round(edges: DataFrame) -> DataFrame:
     """One large-star step and one small-star step over rows (hi, lo), hi > lo."""
     both = edges.unionByName(edges.select(F.col("lo").alias("hi"), F.col("hi").alias("lo")))
-    least = materialize(
-        both.groupBy("hi").agg(F.least(F.min("lo"), F.col("hi")).alias("least")), f"{name}-near")
+    least = both.groupBy("hi").agg(F.least(F.min("lo"), F.col("hi")).alias("least"))
     large = (
-        lookup(both, least, ["hi"], F.col("lo")).where("lo > hi")
+        both.where("lo > hi").join(least, "hi")
         .select(F.col("lo").alias("hi"), F.col("least").alias("lo")).where("hi > lo").distinct()
     )
-    large = materialize(large, f"{name}-large")
-    low = materialize(large.groupBy("hi").agg(F.min("lo").alias("least")), f"{name}-low")
-    small = lookup(large, low, ["hi"], F.col("lo")).select(
+    low = large.groupBy("hi").agg(F.min("lo").alias("least"))
+    return large.join(low, "hi").select(
         F.explode(F.array(F.struct("hi", F.col("least").alias("lo")),
                           F.struct(F.col("lo").alias("hi"), F.col("least").alias("lo")))).alias("e")
     ).select("e.*").where("hi > lo").distinct()
-    return materialize(small, f"{name}-edges")
 
 
 def components(links: DataFrame, name: str = "components") -> DataFrame:
@@ -62,7 +64,7 @@ def components(links: DataFrame, name: str = "components") -> DataFrame:
         F.count("*"), F.sum(F.xxhash64("hi", "lo").cast("decimal(38,0)"))).first()
     before = state(edges)
     while before[0]:
-        edges = _round(edges, name)
+        edges = materialize(_round(edges), name)
         after = state(edges)
         if after == before:
             break

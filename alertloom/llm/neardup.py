@@ -29,7 +29,7 @@ from pyspark.sql.window import Window
 
 from ..session import materialize
 from . import textscan
-from .common import BROADCAST_ROWS, components, lookup
+from .common import components, lookup, small_enough
 
 BANDS, ROWS = 48, 6
 BUCKETS = BANDS * ROWS
@@ -38,6 +38,10 @@ MANTISSA = 10
 SLACK = 6.0
 #: Rows of one band key that are ordered together in the neighbour step.
 GROUP = 1000
+#: Turns in a row without a new link after which no further pairs are proposed.
+QUIET = 2
+#: Percent below the threshold within which a class is compared with all of the other one's component.
+NEAR = 8
 
 
 def shingle_sets(texts: pa.Array, width: int) -> Iterator[np.ndarray]:
@@ -97,27 +101,56 @@ def sketches(docs: DataFrame, width: int, id_col: str = "doc_id", text_col: str
         run, "doc_id long, n_shingles long, h1 long, h2 long, registers binary")
 
 
+def _probes() -> np.ndarray:
+    """For each try and bucket, the bucket that an empty one borrows from; the last tries visit all in turn."""
+    tries = np.arange(1, 49, dtype=np.uint64)[:, None] << np.uint64(32)
+    random = (textscan.mix(tries + np.arange(BUCKETS, dtype=np.uint64)) % np.uint64(BUCKETS)).astype(np.int64)
+    turn = (np.arange(BUCKETS)[None, :] + np.arange(1, BUCKETS)[:, None]) % BUCKETS
+    return np.concatenate([random, turn])
+
+
+def filled_up(regs: np.ndarray) -> np.ndarray:
+    """Registers with their bucket numbers, empty ones borrowed from other buckets of the same row.
+
+    Which bucket lends depends on the borrower and on which buckets are filled, so equal sets borrow equally and
+    similar sets do so with about the probability of their similarity.
+    """
+    own = np.where(regs != 0, regs.astype(np.uint64) + (np.arange(BUCKETS, dtype=np.uint64) << np.uint64(16)), 0)
+    out = own.copy()
+    row, col = np.nonzero(own == 0)
+    for probe in _probes():
+        if not len(row):
+            break
+        lent = own[row, probe[col]]
+        out[row, col] = lent
+        left = lent == 0
+        row, col = row[left], col[left]
+    return out
+
+
 def band_rows(classes: DataFrame) -> DataFrame:
-    """(key, id, n): a key for every band of which a register is filled."""
+    """(key, id, n, next): a key for every band of registers, and the key of the band after it."""
     weights = textscan.mix(np.arange(1, ROWS + 1, dtype=np.uint64))
     salt = textscan.mix(np.arange(101, 101 + BANDS, dtype=np.uint64))
 
     def run(batches):
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            regs = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint16).reshape(-1, BANDS, ROWS)
-            keys = textscan.mix((regs.astype(np.uint64) * weights).sum(axis=2, dtype=np.uint64) + salt)
-            row, band = np.nonzero(regs.any(axis=2))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(keys[row, band].view(np.int64)), batch.column(0).take(pa.array(row)),
-                 batch.column(1).take(pa.array(row))], names=["key", "id", "n"])
+            for at in range(0, batch.num_rows, 1000):
+                part = batch.slice(at, 1000)
+                regs = np.frombuffer(b"".join(part.column(2).to_pylist()), np.uint16).reshape(-1, BUCKETS)
+                full = textscan.mix(filled_up(regs)).reshape(-1, BANDS, ROWS)
+                keys = textscan.mix((full * weights).sum(axis=2, dtype=np.uint64) + salt)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(keys.ravel().view(np.int64)),
+                     *(pa.array(np.repeat(part.column(c).to_numpy(), BANDS)) for c in (0, 1)),
+                     pa.array(np.roll(keys, -1, axis=1).ravel().view(np.int64))],
+                    names=["key", "id", "n", "next"])
 
-    return classes.select("id", "n_shingles", "registers").mapInArrow(run, "key long, id long, n long")
+    return classes.select("id", "n_shingles", "registers").mapInArrow(run, "key long, id long, n long, next long")
 
 
 def _confirm(docs: DataFrame, sketched: DataFrame, pairs: DataFrame, width: int, percent: int) -> DataFrame:
-    """The rows of ``pairs`` (a, b) whose full sets reach the similarity."""
+    """(a, b, linked) for the rows of ``pairs`` whose full sets reach the similarity, or miss it by at most NEAR."""
     least = percent / 100.0
 
     def near(batches):
@@ -132,12 +165,15 @@ def _confirm(docs: DataFrame, sketched: DataFrame, pairs: DataFrame, width: int,
 
     def exact(batches):
         for batch in batches:
-            good = []
+            good, close = [], []
             for x, y in zip(batch.column("sa"), batch.column("sb")):
                 x, y = (np.frombuffer(v.as_buffer(), np.uint64) for v in (x, y))
                 both = len(np.intersect1d(x, y, assume_unique=True))
                 good.append(100 * both >= percent * (len(x) + len(y) - both))
-            yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
+                close.append(100 * both >= (percent - NEAR) * (len(x) + len(y) - both))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("a"), batch.column("b"), pa.array(good, pa.bool_())], names=["a", "b", "linked"]
+            ).filter(pa.array(close, pa.bool_()))
 
     def sets(batches):
         for batch in batches:
@@ -145,9 +181,8 @@ def _confirm(docs: DataFrame, sketched: DataFrame, pairs: DataFrame, width: int,
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], names=["id", "set"])
 
     def involved(p: DataFrame, df: DataFrame) -> DataFrame:
-        ids = materialize(p.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "neardup-ids")
-        small = ids.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-        return df.join(F.broadcast(ids) if small else ids, "id", "left_semi")
+        ids = materialize(p.select(F.explode(F.array("a", "b")).alias("id")), "neardup-ids")
+        return df.join(F.broadcast(ids) if small_enough(ids) else ids, "id", "left_semi")
 
     def beside(p: DataFrame, df: DataFrame, *cols: str) -> DataFrame:
         for side in "ab":
@@ -157,7 +192,26 @@ def _confirm(docs: DataFrame, sketched: DataFrame, pairs: DataFrame, width: int,
     regs = involved(pairs, sketched.select("id", F.col("n_shingles").alias("n"), F.col("registers").alias("r")))
     pairs = materialize(beside(pairs, regs, "n", "r").mapInArrow(near, "a long, b long").distinct(), "neardup-near")
     full = involved(pairs, docs).mapInArrow(sets, "id long, set binary")
-    return beside(pairs, full, "set").mapInArrow(exact, "a long, b long").distinct()
+    return beside(pairs, full, "set").mapInArrow(exact, "a long, b long, linked boolean").distinct()
+
+
+def _proposed(rows: DataFrame, turn: int) -> DataFrame:
+    """(a, b, bands), a < b: each class with its key's leading class and with its neighbour.
+
+    Neighbours agree in the next band too, wherever one does. With a column ``component``, only pairs of different
+    components.
+    """
+    part = F.pmod(F.xxhash64("next" if turn else "id"), F.ceil(F.col("size") / GROUP))
+    order = Window.partitionBy("key", part).orderBy(
+        F.xxhash64("next", F.lit(turn)), *([] if turn else ["n"]), F.xxhash64("id", F.lit(turn)), "id")
+    own = F.col("component") if turn else F.col("id")
+    other = [F.struct(F.col("lead").alias("y"), F.col("lead_component" if turn else "lead").alias("c")),
+             F.struct(F.lag("id").over(order).alias("y"), F.lag(own).over(order).alias("c"))]
+    return (
+        rows.select(F.col("id").alias("x"), own.alias("own"), F.array(*other).alias("others"))
+        .select("x", "own", F.explode("others").alias("o")).where("own <> o.c")
+        .groupBy(F.least("x", "o.y").alias("a"), F.greatest("x", "o.y").alias("b")).agg(F.count("*").alias("bands"))
+    )
 
 
 def near_duplicates(
@@ -182,56 +236,69 @@ def near_duplicates(
         F.col("doc_id").alias("id"), "n_shingles", "registers")
 
     bands = band_rows(classes)
-    keys = materialize(
-        bands.groupBy("key").agg(F.min("id").alias("lead"), F.count("*").alias("size")).where("size > 1"),
-        "neardup-keys")
-    shared = materialize(lookup(bands, keys, ["key"], F.col("id"), "inner"), "neardup-shared")
-    links, done = None, None
-    labels = None
-    for turn in range(20):
-        rows = shared
-        if labels is not None:
-            # One class per component and key, another one in each turn; a key of one component is finished.
-            rows = (
-                lookup(shared.drop("lead", "size"), labels.withColumnRenamed("node", "id"), ["id"], F.col("key"))
-                .withColumn("component", F.coalesce("component", "id"))
-                .groupBy("key", "component")
-                .agg(F.min(F.struct(F.xxhash64("id", F.lit(turn)).alias("o"), "id", "n")).alias("m"))
-                .select("key", "component", "m.id", "m.n")
-            )
-            rows = materialize(rows, "neardup-turn")
-            again = materialize(
-                rows.groupBy("key").agg(F.min(F.struct(F.xxhash64("id", F.lit(turn)).alias("o"), "id")).alias("l"),
-                                        F.count("*").alias("size"))
-                .where("size > 1").select("key", F.col("l.id").alias("lead"), "size"), "neardup-leads")
-            rows = lookup(rows, again, ["key"], F.col("id"), "inner")
-        part = F.pmod(F.xxhash64("id"), F.ceil(F.col("size") / GROUP))
-        order = Window.partitionBy("key", part).orderBy("n", F.xxhash64("id", F.lit(turn)), "id")
-        pairs = (
-            rows.select("id", "lead", F.lag("id").over(order).alias("prev"))
-            .select(F.col("id").alias("x"), F.explode(F.array("lead", "prev")).alias("y")).where("x <> y")
-            .groupBy(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).agg(F.count("*").alias("bands"))
-        )
-        if done is not None:
-            pairs = pairs.join(done, ["a", "b"], "left_anti")
-        pairs = materialize(pairs, "neardup-pairs")
-        # The best partner of each class first: what it links needs no further comparison.
-        best = pairs.groupBy("b").agg(F.max(F.struct("bands", F.negative("a").alias("a"))).alias("m")).select(
-            F.negative("m.a").alias("a"), "b")
-        found = materialize(_confirm(texts, classes, best, width, percent), "neardup-links")
-        links = found if links is None else links.unionByName(found)
-        labels = materialize(components(links), "neardup-labels")
-        side = {s: labels.select(F.col("node").alias(s), F.col("component").alias(f"c{s}")) for s in "ab"}
-        rest = lookup(lookup(pairs, side["a"], ["a"], F.col("b")), side["b"], ["b"], F.col("a")).where(
-            "not coalesce(ca, a) <=> coalesce(cb, b)").select("a", "b").join(best, ["a", "b"], "left_anti")
-        more = materialize(_confirm(texts, classes, materialize(rest, "neardup-rest"), width, percent), "neardup-links")
-        new = more.limit(1).count() > 0
-        if new:
-            links = links.unionByName(more)
-            labels = materialize(components(links), "neardup-labels")
-        done = pairs.select("a", "b") if done is None else done.unionByName(pairs.select("a", "b"))
-        if turn and not new and not found.limit(1).count():
+    keys = bands.groupBy("key").agg(F.min("id").alias("lead"), F.count("*").alias("size")).where("size > 1")
+    shared = materialize(bands.join(keys, "key"), "neardup-shared")
+
+    pairs = materialize(_proposed(shared, 0), "neardup-pairs")
+    # The best partner of each class first: what it links needs no further comparison.
+    best = pairs.groupBy("b").agg(F.max(F.struct("bands", F.negative("a").alias("a"))).alias("m")).select(
+        F.negative("m.a").alias("a"), "b")
+    confirm = lambda p: materialize(_confirm(texts, classes, p, width, percent), "neardup-links")
+    tried = confirm(materialize(best, "neardup-best"))
+    links = tried.where("linked").drop("linked")
+    jump = links.select(F.col("b").alias("a"), F.col("a").alias("over"))
+    top = materialize(
+        lookup(links, jump, ["a"], F.col("b")).select(F.col("b").alias("node"), F.coalesce("over", "a").alias("top")),
+        "neardup-tops")
+    side = {s: top.select(F.col("node").alias(s), F.col("top").alias(f"top_{s}")) for s in "ab"}
+    rest = lookup(lookup(pairs, side["a"], ["a"], F.col("b")), side["b"], ["b"], F.col("a")).where(
+        "coalesce(top_a, a) <> coalesce(top_b, b)").select("a", "b")
+    tried = tried.unionByName(confirm(materialize(rest, "neardup-rest")))
+    links = tried.where("linked").drop("linked")
+    labels = materialize(components(links, "neardup-edges"), "neardup-labels")
+    done = pairs.select("a", "b")
+    turn, quiet = 0, 0
+    while quiet < QUIET:
+        turn += 1
+        # Only keys that several components share are looked at again, in another order.
+        rows = lookup(shared.drop("lead", "size"), labels.withColumnRenamed("node", "id"), ["id"], F.col("key"))
+        rows = rows.withColumn("component", F.coalesce("component", "id"))
+        lead = rows.groupBy("key").agg(
+            F.min(F.struct(F.xxhash64("id", F.lit(turn)), "id", "component")).alias("l"), F.count("*").alias("size"),
+            F.min("component").alias("low"), F.max("component").alias("high")
+        ).where("low < high").select(
+            "key", F.col("l.id").alias("lead"), F.col("l.component").alias("lead_component"), "size")
+        fresh = materialize(
+            _proposed(rows.join(lead, "key"), turn).select("a", "b").join(done, ["a", "b"], "left_anti"),
+            "neardup-fresh")
+        if fresh.isEmpty():
             break
+        found = confirm(fresh)
+        tried, done = tried.unionByName(found), done.unionByName(fresh)
+        quiet += 1
+        if not found.where("linked").isEmpty():
+            quiet = 0
+            links = tried.where("linked").drop("linked")
+            labels = materialize(components(links, "neardup-edges"), "neardup-labels")
+    # Classes that came near a component without joining it: all of its classes that share a key with them.
+    side = {s: labels.select(F.col("node").alias(s), F.col("component").alias(f"top_{s}")) for s in "ab"}
+    missed = lookup(lookup(tried.where("not linked"), side["a"], ["a"], F.col("b")), side["b"], ["b"], F.col("a"))
+    missed = missed.withColumn("top_a", F.coalesce("top_a", "a")).withColumn("top_b", F.coalesce("top_b", "b")).where(
+        "top_a <> top_b")
+    near = materialize(missed.select(F.explode(F.array(
+        F.struct(F.col("a").alias("id"), F.col("top_b").alias("component")),
+        F.struct(F.col("b").alias("id"), F.col("top_a").alias("component")))).alias("m")).select("m.*").distinct(),
+        "neardup-missed")
+    if not near.isEmpty():
+        rows = lookup(shared.select("key", "id"), labels.withColumnRenamed("node", "id"), ["id"], F.col("key"))
+        rows = rows.withColumn("component", F.coalesce("component", "id"))
+        wanted = shared.select("key", "id").join(F.broadcast(near) if small_enough(near) else near, "id").select(
+            "key", "component", F.col("id").alias("x"))
+        sweep = rows.join(wanted, ["key", "component"]).select(
+            F.least("x", "id").alias("a"), F.greatest("x", "id").alias("b")).distinct()
+        found = confirm(materialize(sweep.join(done, ["a", "b"], "left_anti"), "neardup-sweep")).where("linked")
+        links = links.unionByName(found.drop("linked"))
+        labels = materialize(components(links, "neardup-edges"), "neardup-labels")
     named = labels.select(F.col("node").alias("class"), F.col("component").alias("top"))
     tops = lookup(member, named, ["class"], F.col("doc_id")).groupBy("doc_id").agg(
         F.min(F.coalesce("top", "class")).alias("component_id"))

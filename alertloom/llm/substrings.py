@@ -91,9 +91,10 @@ def _scan(ids: pa.Array, texts: pa.Array, width: int):
     # Repeats within these texts: all but the earliest of equal windows.
     again = (np.diff(keys) == 0).any()  # else the windows are in order of doc and start already
     order = np.lexsort((at, doc, hashes)) if again else np.argsort(hashes, kind="stable")
-    same = hashes[order[1:]] == hashes[order[:-1]]
+    leads = np.flatnonzero(np.append(True, hashes[order[1:]] != hashes[order[:-1]]))
+    earliest = np.repeat(order[leads], np.diff(np.append(leads, len(order))))
     gone = np.zeros(len(whole), bool)
-    gone[order[1:][same]] = True
+    gone[order] = (doc[order] != doc[earliest]) | (at[order] != at[earliest])  # equal rows are one document
     begins = np.ones(len(whole), bool)
     begins[1:] = (pick[1:] != pick[:-1]) | (np.diff(whole) != 1)
     lead = np.flatnonzero(begins)
@@ -140,7 +141,7 @@ def repeated_windows(docs: DataFrame, width: int) -> DataFrame:
         ).alias("w"),
     )
     earliest = Window.partitionBy("anchor", "w.hash").orderBy("doc", "at", "w.bit")
-    nth = F.when(F.col("w.hash").isNotNull(), F.row_number().over(earliest)).otherwise(F.lit(1))
+    nth = F.when(F.col("w.hash").isNotNull(), F.rank().over(earliest)).otherwise(F.lit(1))
     bits = F.when(nth > 1, F.expr("shiftleft(1L, w.bit)")).otherwise(F.lit(0).cast("long"))
     found = opened.withColumn("bits", bits).groupBy("anchor", "doc", "at").agg(
         F.bit_or(F.col("bits").bitwiseOR(F.col("gone"))).alias("mask"))
