@@ -30,8 +30,10 @@ from . import textscan
 
 #: Words of the short runs from which anchors are taken.
 GRAM = 8
-#: Bytes of a window hash kept beside the 64-bit anchor, which is a hash of GRAM of the window's words.
-PACK = 6
+#: Bytes of a window hash kept beside the 64-bit anchor, which is a hash of GRAM of the window's words, and the
+#: anchor's place in the window, which takes the bits of ``gone`` from PLACE_BIT on.
+PACK = 5
+PLACE_BIT = 56
 #: Low bits of the position that hold the start, the rest tells apart texts of one doc_id.
 START_BITS = 40
 _NULL_ID = -(1 << 63)
@@ -67,7 +69,7 @@ def _scan(ids: pa.Array, texts: pa.Array, width: int):
     """Rows (anchor, doc, at, mask, gone, packed) for the windows of some texts.
 
     ``at`` is the first window's tag and start, ``mask`` has a bit for each window whose hash is packed, ``gone``
-    one for each that repeats an earlier window of these texts.
+    one for each that repeats an earlier window of these texts, and above them the anchor's place in the first window.
     """
     keys = ids.to_numpy()
     if (np.diff(keys) < 0).any():
@@ -101,7 +103,7 @@ def _scan(ids: pa.Array, texts: pa.Array, width: int):
     place = np.arange(len(whole)) - np.repeat(lead, np.diff(np.append(lead, len(whole))))
     bit = np.left_shift(1, place).astype(np.int64)
     mask = np.add.reduceat(np.where(gone, 0, bit), lead)
-    lost = np.add.reduceat(np.where(gone, bit, 0), lead)
+    lost = np.add.reduceat(np.where(gone, bit, 0), lead) + ((pick - whole)[lead] << PLACE_BIT)
     packed = np.ascontiguousarray(hashes[~gone]).view(np.uint8).reshape(-1, 8)[:, :PACK].tobytes()
     sizes = np.concatenate([[0], np.cumsum(np.add.reduceat(~gone, lead, dtype=np.int64) * PACK)])
     return [
@@ -112,8 +114,8 @@ def _scan(ids: pa.Array, texts: pa.Array, width: int):
 
 def repeated_windows(docs: DataFrame, width: int) -> DataFrame:
     """(doc, tag, start, mask): bits of the repeated windows from ``start`` on, for rows (doc, text)."""
-    if not GRAM <= width <= 62:
-        raise ValueError(f"windows of {GRAM} to 62 words")
+    if not GRAM <= width <= 60:
+        raise ValueError(f"windows of {GRAM} to 60 words")
     names = ["anchor", "doc", "at", "mask", "gone", "packed"]
 
     def scan(batches):
@@ -127,11 +129,13 @@ def repeated_windows(docs: DataFrame, width: int) -> DataFrame:
     rows = docs.mapInArrow(scan, "anchor long, doc long, at long, mask long, gone long, packed binary")
     # A row whose windows are all known to be repeated needs no partner; it is dealt out by its own place.
     rows = rows.withColumn("anchor", F.when(F.col("mask") == 0, F.xxhash64("doc", "at")).otherwise(F.col("anchor")))
+    rows = rows.withColumn("place", F.expr(f"shiftright(gone, {PLACE_BIT})")).withColumn(
+        "gone", F.col("gone").bitwiseAND(F.lit((1 << PLACE_BIT) - 1)))
     by_anchor = Window.partitionBy("anchor")
     rows = rows.withColumn("met", F.when(F.col("mask") != 0, F.count("*").over(by_anchor) > 1).otherwise(False))
     # Rows of an anchor that occurs once pass with the windows already known; the others open their windows.
     opened = rows.select(
-        "anchor", "doc", "at", "gone",
+        "anchor", "doc", "at", "gone", "place",
         F.explode(F.when(F.col("met"), F.expr(
             f"filter(transform(sequence(0, {width - GRAM}), i -> named_struct('bit', i, 'hash', "
             f"CASE WHEN (shiftright(mask, i) & 1) = 1 THEN substring(packed, "
@@ -140,7 +144,7 @@ def repeated_windows(docs: DataFrame, width: int) -> DataFrame:
             .when(F.col("gone") != 0, F.expr("array(named_struct('bit', -1, 'hash', cast(null as binary)))"))
         ).alias("w"),
     )
-    earliest = Window.partitionBy("anchor", "w.hash").orderBy("doc", "at", "w.bit")
+    earliest = Window.partitionBy("anchor", "w.hash", F.col("place") - F.col("w.bit")).orderBy("doc", "at", "w.bit")
     nth = F.when(F.col("w.hash").isNotNull(), F.rank().over(earliest)).otherwise(F.lit(1))
     bits = F.when(nth > 1, F.expr("shiftleft(1L, w.bit)")).otherwise(F.lit(0).cast("long"))
     found = opened.withColumn("bits", bits).groupBy("anchor", "doc", "at").agg(
