@@ -6,10 +6,11 @@ register estimate of the Jaccard similarity, corrected for accidental collisions
 the full sets confirm the rest.
 
 Equal sets are one class before anything is compared, so a group of copies costs one row per class. Within a
-band key every class is proposed to the key's smallest one and to its neighbour in size order; keys differ from
-band to band, so linked classes meet in many of them. No key emits all its pairs, and none is capped: large
-keys are cut into groups of bounded size for the neighbour step, while the smallest class stays common to all.
-Rounds then take each remaining component to another member of its key until a round finds no new link.
+band key every class is proposed to the key's smallest one and to a neighbour that agrees in the next band as well;
+keys differ from band to band, so linked classes meet in many of them. No key emits all its pairs, and none is capped:
+large keys are cut into groups of bounded size for the neighbour step, while the smallest class stays common to all.
+Then a class that came within NEAR percent of a component is compared with all classes of that component, in blocks,
+until that finds no new link.
 
 Defined cases: null and empty texts and texts of separators have an empty set and stay alone. Fewer words than
 the shingle width make one shingle of the whole sequence. Rows that repeat a doc_id are the same document: one
@@ -38,10 +39,10 @@ MANTISSA = 10
 SLACK = 6.0
 #: Rows of one band key that are ordered together in the neighbour step.
 GROUP = 1000
-#: Turns in a row without a new link after which no further pairs are proposed.
-QUIET = 2
 #: Percent below the threshold within which a class is compared with all of the other one's component.
-NEAR = 8
+NEAR = 4
+#: Classes of either side that are compared together in a block of a component.
+BLOCK = 400
 
 
 def shingle_sets(texts: pa.Array, width: int) -> Iterator[np.ndarray]:
@@ -149,6 +150,75 @@ def band_rows(classes: DataFrame) -> DataFrame:
     return classes.select("id", "n_shingles", "registers").mapInArrow(run, "key long, id long, n long, next long")
 
 
+def _only(df: DataFrame, ids: DataFrame) -> DataFrame:
+    ids = materialize(ids, "neardup-ids")
+    return df.join(F.broadcast(ids) if small_enough(ids) else ids, "id", "left_semi")
+
+
+def _sets(docs: DataFrame, width: int) -> DataFrame:
+    """(id, set): the packed shingle hashes of rows (id, text)."""
+
+    def sets(batches):
+        for batch in batches:
+            found = [x.tobytes() for x in shingle_sets(batch.column(1), width)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], names=["id", "set"])
+
+    return docs.mapInArrow(sets, "id long, set binary")
+
+
+def _missed_links(docs: DataFrame, tried: DataFrame, labels: DataFrame, width: int, percent: int) -> DataFrame:
+    """(a, b) between classes that came near a component without joining it and any class of that component.
+
+    These classes are compared with the whole component, block by block: a task holds the sets of BLOCK classes of
+    either side on average and gives one link per class at most.
+    """
+    side = {s: labels.select(F.col("node").alias(s), F.col("component").alias(f"top_{s}")) for s in "ab"}
+    missed = lookup(lookup(tried.where("not linked"), side["a"], ["a"], F.col("b")), side["b"], ["b"], F.col("a"))
+    missed = missed.withColumn("own_a", F.coalesce("top_a", "a")).withColumn("own_b", F.coalesce("top_b", "b"))
+    # A component of one class has been compared already.
+    near = materialize(missed.where("own_a <> own_b").select(F.explode(F.array(
+        F.struct(F.col("a").alias("id"), F.col("top_b").alias("component")),
+        F.struct(F.col("b").alias("id"), F.col("top_a").alias("component")))).alias("m")).select("m.*")
+        .where("component is not null").distinct(), "neardup-near")
+    sizes = materialize(near.groupBy("component").agg(F.count("*").alias("asks")).join(
+        labels.groupBy("component").agg(F.count("*").alias("size")), "component").select(
+        "component", F.ceil(F.col("asks") / BLOCK).cast("int").alias("rows"),
+        F.ceil(F.col("size") / BLOCK).cast("int").alias("cols")), "neardup-blocks")
+    members = materialize(
+        lookup(labels, sizes, ["component"], F.col("node"), "inner").withColumnRenamed("node", "id"), "neardup-members")
+    full = materialize(_sets(_only(docs, near.select("id").unionByName(members.select("id"))), width), "neardup-sets")
+    part = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    left = lookup(near, sizes, ["component"], F.col("id"), "inner").join(full, "id").select(
+        "component", part("rows").alias("row"), every("cols").alias("col"), "id", "set")
+    right = members.join(full, "id").select(
+        F.col("component").alias("component"), every("rows").alias("row"), part("cols").alias("col"),
+        F.col("id").alias("id"), F.col("set").alias("set"))
+
+    def compare(asking: pa.Table, there: pa.Table) -> pa.Table:
+        out = []
+        if there.num_rows:
+            sets = [np.frombuffer(v.as_buffer(), np.uint64) for v in there.column("set").combine_chunks()]
+            n, ids = np.array([len(x) for x in sets]), there.column("id").to_numpy()
+            owner = np.repeat(np.arange(len(sets)), n)
+            flat = np.concatenate(sets)
+            order = np.argsort(flat, kind="stable")
+            flat, owner = flat[order], owner[order]
+            for i, v in zip(asking.column("id").to_pylist(), asking.column("set").combine_chunks()):
+                mine = np.frombuffer(v.as_buffer(), np.uint64)
+                lo, hi = np.searchsorted(flat, mine, "left"), np.searchsorted(flat, mine, "right")
+                hits = np.repeat(lo - np.cumsum(hi - lo) + (hi - lo), hi - lo) + np.arange(int((hi - lo).sum()))
+                both = np.bincount(owner[hits], minlength=len(sets))
+                good = np.flatnonzero((100 * both >= percent * (len(mine) + n - both)) & (ids != i))
+                if len(good):
+                    j = int(ids[good[0]])
+                    out.append((min(i, j), max(i, j)))
+        return pa.table([pa.array([p[k] for p in out], pa.int64()) for k in (0, 1)], names=["a", "b"])
+
+    keys = ["component", "row", "col"]
+    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(compare, "a long, b long").distinct()
+
+
 def _confirm(docs: DataFrame, sketched: DataFrame, pairs: DataFrame, width: int, percent: int) -> DataFrame:
     """(a, b, linked) for the rows of ``pairs`` whose full sets reach the similarity, or miss it by at most NEAR."""
     least = percent / 100.0
@@ -175,14 +245,8 @@ def _confirm(docs: DataFrame, sketched: DataFrame, pairs: DataFrame, width: int,
                 [batch.column("a"), batch.column("b"), pa.array(good, pa.bool_())], names=["a", "b", "linked"]
             ).filter(pa.array(close, pa.bool_()))
 
-    def sets(batches):
-        for batch in batches:
-            found = [x.tobytes() for x in shingle_sets(batch.column(1), width)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], names=["id", "set"])
-
     def involved(p: DataFrame, df: DataFrame) -> DataFrame:
-        ids = materialize(p.select(F.explode(F.array("a", "b")).alias("id")), "neardup-ids")
-        return df.join(F.broadcast(ids) if small_enough(ids) else ids, "id", "left_semi")
+        return _only(df, p.select(F.explode(F.array("a", "b")).alias("id")))
 
     def beside(p: DataFrame, df: DataFrame, *cols: str) -> DataFrame:
         for side in "ab":
@@ -191,26 +255,20 @@ def _confirm(docs: DataFrame, sketched: DataFrame, pairs: DataFrame, width: int,
 
     regs = involved(pairs, sketched.select("id", F.col("n_shingles").alias("n"), F.col("registers").alias("r")))
     pairs = materialize(beside(pairs, regs, "n", "r").mapInArrow(near, "a long, b long").distinct(), "neardup-near")
-    full = involved(pairs, docs).mapInArrow(sets, "id long, set binary")
+    full = _sets(involved(pairs, docs), width)
     return beside(pairs, full, "set").mapInArrow(exact, "a long, b long, linked boolean").distinct()
 
 
-def _proposed(rows: DataFrame, turn: int) -> DataFrame:
-    """(a, b, bands), a < b: each class with its key's leading class and with its neighbour.
-
-    Neighbours agree in the next band too, wherever one does. With a column ``component``, only pairs of different
-    components.
-    """
-    part = F.pmod(F.xxhash64("next" if turn else "id"), F.ceil(F.col("size") / GROUP))
-    order = Window.partitionBy("key", part).orderBy(
-        F.xxhash64("next", F.lit(turn)), *([] if turn else ["n"]), F.xxhash64("id", F.lit(turn)), "id")
-    own = F.col("component") if turn else F.col("id")
-    other = [F.struct(F.col("lead").alias("y"), F.col("lead_component" if turn else "lead").alias("c")),
-             F.struct(F.lag("id").over(order).alias("y"), F.lag(own).over(order).alias("c"))]
+def _proposed(rows: DataFrame) -> DataFrame:
+    """(a, b, bands), a < b: each class with its key's leading class and with its neighbour in the key."""
+    # Neighbours agree in the next band too, wherever a class does, and then are of similar size.
+    part = F.pmod(F.xxhash64("next"), F.ceil(F.col("size") / GROUP))
+    order = Window.partitionBy("key", part).orderBy("next", "n", "id")
     return (
-        rows.select(F.col("id").alias("x"), own.alias("own"), F.array(*other).alias("others"))
-        .select("x", "own", F.explode("others").alias("o")).where("own <> o.c")
-        .groupBy(F.least("x", "o.y").alias("a"), F.greatest("x", "o.y").alias("b")).agg(F.count("*").alias("bands"))
+        rows.select("id", F.array("lead", F.lag("id").over(order)).alias("others"))
+        .select("id", F.explode("others").alias("other")).where("id <> other")
+        .groupBy(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b"))
+        .agg(F.count("*").alias("bands"))
     )
 
 
@@ -239,7 +297,7 @@ def near_duplicates(
     keys = bands.groupBy("key").agg(F.min("id").alias("lead"), F.count("*").alias("size")).where("size > 1")
     shared = materialize(bands.join(keys, "key"), "neardup-shared")
 
-    pairs = materialize(_proposed(shared, 0), "neardup-pairs")
+    pairs = materialize(_proposed(shared), "neardup-pairs")
     # The best partner of each class first: what it links needs no further comparison.
     best = pairs.groupBy("b").agg(F.max(F.struct("bands", F.negative("a").alias("a"))).alias("m")).select(
         F.negative("m.a").alias("a"), "b")
@@ -256,48 +314,11 @@ def near_duplicates(
     tried = tried.unionByName(confirm(materialize(rest, "neardup-rest")))
     links = tried.where("linked").drop("linked")
     labels = materialize(components(links, "neardup-edges"), "neardup-labels")
-    done = pairs.select("a", "b")
-    turn, quiet = 0, 0
-    while quiet < QUIET:
-        turn += 1
-        # Only keys that several components share are looked at again, in another order.
-        rows = lookup(shared.drop("lead", "size"), labels.withColumnRenamed("node", "id"), ["id"], F.col("key"))
-        rows = rows.withColumn("component", F.coalesce("component", "id"))
-        lead = rows.groupBy("key").agg(
-            F.min(F.struct(F.xxhash64("id", F.lit(turn)), "id", "component")).alias("l"), F.count("*").alias("size"),
-            F.min("component").alias("low"), F.max("component").alias("high")
-        ).where("low < high").select(
-            "key", F.col("l.id").alias("lead"), F.col("l.component").alias("lead_component"), "size")
-        fresh = materialize(
-            _proposed(rows.join(lead, "key"), turn).select("a", "b").join(done, ["a", "b"], "left_anti"),
-            "neardup-fresh")
-        if fresh.isEmpty():
+    while True:
+        found = materialize(_missed_links(texts, tried, labels, width, percent), "neardup-found")
+        if found.isEmpty():
             break
-        found = confirm(fresh)
-        tried, done = tried.unionByName(found), done.unionByName(fresh)
-        quiet += 1
-        if not found.where("linked").isEmpty():
-            quiet = 0
-            links = tried.where("linked").drop("linked")
-            labels = materialize(components(links, "neardup-edges"), "neardup-labels")
-    # Classes that came near a component without joining it: all of its classes that share a key with them.
-    side = {s: labels.select(F.col("node").alias(s), F.col("component").alias(f"top_{s}")) for s in "ab"}
-    missed = lookup(lookup(tried.where("not linked"), side["a"], ["a"], F.col("b")), side["b"], ["b"], F.col("a"))
-    missed = missed.withColumn("top_a", F.coalesce("top_a", "a")).withColumn("top_b", F.coalesce("top_b", "b")).where(
-        "top_a <> top_b")
-    near = materialize(missed.select(F.explode(F.array(
-        F.struct(F.col("a").alias("id"), F.col("top_b").alias("component")),
-        F.struct(F.col("b").alias("id"), F.col("top_a").alias("component")))).alias("m")).select("m.*").distinct(),
-        "neardup-missed")
-    if not near.isEmpty():
-        rows = lookup(shared.select("key", "id"), labels.withColumnRenamed("node", "id"), ["id"], F.col("key"))
-        rows = rows.withColumn("component", F.coalesce("component", "id"))
-        wanted = shared.select("key", "id").join(F.broadcast(near) if small_enough(near) else near, "id").select(
-            "key", "component", F.col("id").alias("x"))
-        sweep = rows.join(wanted, ["key", "component"]).select(
-            F.least("x", "id").alias("a"), F.greatest("x", "id").alias("b")).distinct()
-        found = confirm(materialize(sweep.join(done, ["a", "b"], "left_anti"), "neardup-sweep")).where("linked")
-        links = links.unionByName(found.drop("linked"))
+        links = links.unionByName(found)
         labels = materialize(components(links, "neardup-edges"), "neardup-labels")
     named = labels.select(F.col("node").alias("class"), F.col("component").alias("top"))
     tops = lookup(member, named, ["class"], F.col("doc_id")).groupBy("doc_id").agg(
