@@ -88,7 +88,6 @@ BRANDS: list[tuple[str, list[str]]] = [
     ("facebook", ["facebook.com", "fb.com"]),
 ]
 
-BODY_LIMIT = 2000
 TRUNCATED = "\n[... truncated ...]"
 
 
@@ -261,12 +260,12 @@ def email_risk_score(
     )
 
 
-def parsed_email(headers: Column | str, body: Column | str) -> Column:
-    """Compact view of a message for a prompt or for storage; the body is cut at 2000 characters."""
+def parsed_email(headers: Column | str, body: Column | str, body_limit: int | None = None) -> Column:
+    """Compact view of a message for a prompt or for storage; the whole body unless the caller sets a limit."""
     return F.struct(
         header(headers, "From").alias("sender"),
         header(headers, "Subject").alias("subject"),
-        truncate(body, BODY_LIMIT, TRUNCATED).alias("bodyText"),
+        truncate(body, body_limit, TRUNCATED).alias("bodyText"),
         header_values(headers, "Received").alias("receivedChain"),
         header_ips(headers).alias("headerIps"),
         F.struct(

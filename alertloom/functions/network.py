@@ -12,8 +12,9 @@ URL = r"""(?iU)https?://[^\s"'<>\]\)]+"""
 IPV4 = r"(?U)\b(?:\d{1,3}\.){3}\d{1,3}\b"
 DOMAIN = r"(?:[a-zA-Z0-9](?:[a-zA-Z0-9\-]{0,61}[a-zA-Z0-9])?\.)+[a-zA-Z]{2,}"
 # The same hits, found faster: a label must be followed by a dot, which one look ahead decides without
-# trying every shorter label.
-FAST_DOMAIN = r"(?=[a-zA-Z0-9\-]++\.)" + DOMAIN
+# trying every shorter label. A name has 127 labels at most; without that bound the matcher's stack grows with
+# a hostile text.
+FAST_DOMAIN = r"(?=[a-zA-Z0-9\-]++\.)" + DOMAIN.replace(r"\.)+", r"\.){1,127}")
 EMAIL = r"(?U)\b[A-Za-z0-9._%+\-]+@[A-Za-z0-9.\-]+\.[A-Za-z]{2,}\b"
 IP_URL = r"(?iU)https?://\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}"
 URL_HOST = r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/:?#]*)"

@@ -8,8 +8,7 @@ from pyspark.sql import functions as F
 from .email import TRUNCATED
 from .text import as_col, truncate
 
-PAYLOAD_LIMIT = 4000
-MAX_RULES_SHOWN = 5
+# The wording of all prompts below.
 
 
 def rules_or_none(rules: Column) -> Column:
@@ -17,8 +16,8 @@ def rules_or_none(rules: Column) -> Column:
 
 
 def email_prompt(payload: Column | str, rules: Column | str, tool_json: Column | str,
-                 limit: int = PAYLOAD_LIMIT) -> Column:
-    """User prompt for the e-mail analysis of one scrubbed message."""
+                 limit: int | None = None) -> Column:
+    """User prompt for the e-mail analysis of one scrubbed message, whole unless the caller sets a limit."""
     return F.concat(
         F.lit("Analyze this email for phishing indicators.\n\nTier 1 static filter matched rules: "),
         rules_or_none(as_col(rules)),
@@ -30,15 +29,15 @@ def email_prompt(payload: Column | str, rules: Column | str, tool_json: Column |
     )
 
 
-def similar_section(similar: Column | str) -> Column:
-    """Text about similar past incidents, empty when there are none.
+def similar_section(similar: Column | str, max_rules: int | None = None) -> Column:
+    """Text about similar past incidents, empty when there are none; all their rules unless a number is given.
 
     ``similar`` is array<struct<risk_score, severity, matched_rules, excerpt, similarity>>.
     """
     items = as_col(similar)
     lines = F.transform(items, lambda s: F.concat(
         F.format_string("- risk %.1f (%s), similarity %.2f, rules: ", s["risk_score"], s["severity"], s["similarity"]),
-        rules_or_none(F.slice(s["matched_rules"], 1, MAX_RULES_SHOWN)),
+        rules_or_none(s["matched_rules"] if max_rules is None else F.slice(s["matched_rules"], 1, max_rules)),
         F.lit("\n  summary: "),
         s["excerpt"],
     ))

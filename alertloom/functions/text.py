@@ -66,9 +66,11 @@ def _run_heads(tagged: Column) -> Column:
     return F.filter(tagged, lambda e, i: (i == 0) | (F.get(tagged, i - 1)["k"] != e["k"]))
 
 
-def truncate(col: Column | str, limit: int, suffix: str = "") -> Column:
-    """Cut at ``limit`` characters (code points) and append ``suffix`` only when cut."""
+def truncate(col: Column | str, limit: int | None, suffix: str = "") -> Column:
+    """Cut at ``limit`` characters (code points) and append ``suffix`` only when cut; no limit, no cut."""
     text = as_col(col)
+    if limit is None:
+        return text
     cut = F.substring(text, 1, limit)
     if suffix:
         cut = F.concat(cut, F.lit(suffix))

@@ -40,7 +40,7 @@ def cached_at(cache: DataFrame, at: Column, hours: int = CACHE_HOURS) -> DataFra
     )
     rest = [c for c in cache.columns if c not in KEY]
     return fresh.groupBy(*KEY).agg(
-        F.max_by(F.struct(*rest), "looked_up_at").alias("row")
+        F.max_by(F.struct(*rest), F.struct("looked_up_at", F.struct(*rest))).alias("row")
     ).select(*KEY, *[F.col(f"row.{c}").alias(c) for c in rest])
 
 
@@ -61,7 +61,7 @@ def cached_as_of(lookups: DataFrame, cache: DataFrame, hours: float = CACHE_HOUR
     stored = cache.select(*KEY, bucket("looked_up_at").alias("bucket"), F.col("looked_up_at").alias("t"), hit.alias("hit"))
     asked = lookups.select(*KEY, bucket("at").alias("bucket"), F.col("at").alias("t"), F.struct(*extra).alias("ask"))
 
-    newest = stored.groupBy(*KEY, "bucket").agg(F.max_by("hit", "t").alias("hit"))
+    newest = stored.groupBy(*KEY, "bucket").agg(F.max_by("hit", F.struct("t", "hit")).alias("hit"))
     wanted = asked.select(*KEY, "bucket").distinct()
     no_hit = F.lit(None).cast(stored.schema["hit"].dataType)
     steps = newest.unionByName(wanted.withColumn("hit", no_hit)).groupBy(*KEY, "bucket").agg(
@@ -103,7 +103,7 @@ def cached_as_of(lookups: DataFrame, cache: DataFrame, hours: float = CACHE_HOUR
 def newest_answers(feed: DataFrame) -> DataFrame:
     """Newest parsed feed answer per key."""
     return parse_feed(feed).groupBy(*KEY).agg(
-        F.max_by(F.struct("success", "score", "raw", "reason"), "fetched_at").alias("answer")
+        F.max_by(F.struct("success", "score", "raw", "reason"), F.struct("fetched_at", "success", "score", "raw", "reason")).alias("answer")
     )
 
 

@@ -20,20 +20,58 @@ TACTIC_ORDER = [
 ]
 
 # The tactic under which each technique is counted.
-TECHNIQUES_BY_TACTIC: dict[str, list[str]] = {
-    "Initial Access": ["T1566", "T1566.001", "T1566.002", "T1566.003", "T1078", "T1190", "T1189", "T1195"],
-    "Execution": ["T1059", "T1204", "T1204.002"],
-    "Persistence": ["T1078.004", "T1098", "T1136", "T1053"],
-    "Privilege Escalation": ["T1068", "T1548"],
-    "Defense Evasion": ["T1562", "T1562.008", "T1027", "T1070", "T1055"],
-    "Credential Access": ["T1110", "T1110.003", "T1003", "T1552", "T1552.005", "T1557"],
-    "Discovery": ["T1087", "T1083", "T1018", "T1046", "T1069"],
-    "Lateral Movement": ["T1021", "T1080"],
-    "Command and Control": ["T1105", "T1071", "T1102", "T1573"],
-    "Exfiltration": ["T1041", "T1048", "T1567", "T1567.002", "T1537"],
-    "Impact": ["T1526", "T1485", "T1486", "T1490", "T1496", "T1498"],
+TACTIC_OF = {
+    "T1566": "Initial Access",
+    "T1566.001": "Initial Access",
+    "T1566.002": "Initial Access",
+    "T1566.003": "Initial Access",
+    "T1078": "Initial Access",
+    "T1190": "Initial Access",
+    "T1189": "Initial Access",
+    "T1195": "Initial Access",
+    "T1059": "Execution",
+    "T1204": "Execution",
+    "T1204.002": "Execution",
+    "T1078.004": "Persistence",
+    "T1098": "Persistence",
+    "T1136": "Persistence",
+    "T1053": "Persistence",
+    "T1068": "Privilege Escalation",
+    "T1548": "Privilege Escalation",
+    "T1562": "Defense Evasion",
+    "T1562.008": "Defense Evasion",
+    "T1027": "Defense Evasion",
+    "T1070": "Defense Evasion",
+    "T1055": "Defense Evasion",
+    "T1110": "Credential Access",
+    "T1110.003": "Credential Access",
+    "T1003": "Credential Access",
+    "T1552": "Credential Access",
+    "T1552.005": "Credential Access",
+    "T1557": "Credential Access",
+    "T1087": "Discovery",
+    "T1083": "Discovery",
+    "T1018": "Discovery",
+    "T1046": "Discovery",
+    "T1069": "Discovery",
+    "T1021": "Lateral Movement",
+    "T1080": "Lateral Movement",
+    "T1105": "Command and Control",
+    "T1071": "Command and Control",
+    "T1102": "Command and Control",
+    "T1573": "Command and Control",
+    "T1041": "Exfiltration",
+    "T1048": "Exfiltration",
+    "T1567": "Exfiltration",
+    "T1567.002": "Exfiltration",
+    "T1537": "Exfiltration",
+    "T1526": "Impact",
+    "T1485": "Impact",
+    "T1486": "Impact",
+    "T1490": "Impact",
+    "T1496": "Impact",
+    "T1498": "Impact",
 }
-TACTIC_OF = {t: tactic for tactic, ids in TECHNIQUES_BY_TACTIC.items() for t in ids}
 
 # The events of a job's timeline. Columns: id, step that must be reached, only for
 # e-mail, type, source, target, description (null where it depends on the job), which time it carries.
@@ -389,8 +427,7 @@ def stage_status(jobs: DataFrame, nodes: DataFrame, traces: DataFrame) -> DataFr
     running = view == "running"
     states = {
         "eventbridge": F.lit("completed"),
-        "supervisor": F.when(ready, "completed").when(running & (F.col("last_source") == "Supervisor"), "running")
-        .when(F.col("n_traces") > 1, "completed").otherwise("idle"),
+        "supervisor": F.when(ready | (F.col("n_traces") > 1), "completed").otherwise("idle"),
         "agents": F.when(ready, "completed").when(F.col("any_running"), "running")
         .when(F.col("any_completed"), "completed").otherwise("idle"),
         "synthesis": F.when(F.col("has_report"), "completed")

@@ -144,10 +144,11 @@ def frequency_stats(per_key: DataFrame) -> DataFrame:
         F.sum("f").over(w).alias("n"),
         F.sum("f").over(upto).alias("seen"),
     )
+    whole = "decimal(19,0)"  # products of counts leave the range of a long
     stats = marked.groupBy(ART).agg(
         F.first("n").alias("n"),
         F.sum(F.col("f") * F.col("c")).alias("s1"),
-        F.sum((F.col("f") * F.col("c") * F.col("c")).cast("decimal(38,0)")).alias("s2"),
+        F.sum(F.col("f").cast(whole) * F.col("c").cast(whole) * F.col("c").cast(whole)).alias("s2"),
         # Upper median: element n div 2 (from 0) of the sorted counts.
         F.min(F.when(F.col("seen") > F.floor(F.col("n") / 2), F.col("c"))).alias("median"),
     )
@@ -277,7 +278,7 @@ def _dimension_check(flags: Column, stats: Column, name: str, dimension: str) ->
 
 
 def log_reports(artifacts: DataFrame, events: DataFrame, pack: RulePack | None = None,
-                z_threshold: float = Z_THRESHOLD, in_key_order: bool = True,
+                z_threshold: float = Z_THRESHOLD, in_key_order: bool = False,
                 fields: FieldLookup | None = None, reuse: bool = True) -> DataFrame:
     """One report row per artifact: matched rules in check order, checks, extracted facts, verdict.
 

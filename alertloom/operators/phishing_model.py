@@ -14,15 +14,12 @@ from pyspark.sql import functions as F
 
 from ..functions.email import check
 from ..functions.scoring import ML_THRESHOLD
+from ..functions.text import truncate
 
-BODY_CHARS = 512
 
-
-def classifier_text(subject: Column, body: Column) -> Column:
-    """Classifier input of a scrubbed message. The model reads the first 512 characters of a body."""
-    return F.concat(
-        F.coalesce(subject, F.lit("")), F.lit(" [SEP] "), F.substring(body, 1, BODY_CHARS)
-    )
+def classifier_text(subject: Column, body: Column, limit: int | None = None) -> Column:
+    """Classifier input of a scrubbed message: its whole body, or as many characters as a caller's model reads."""
+    return F.concat(F.coalesce(subject, F.lit("")), F.lit(" [SEP] "), truncate(body, limit))
 
 
 def train(labelled: DataFrame, features: int = 1 << 14, iterations: int = 15) -> PipelineModel:

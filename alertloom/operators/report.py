@@ -173,13 +173,13 @@ def split_valid(reports: DataFrame) -> tuple[DataFrame, DataFrame]:
     )
 
 
-def first_usable(attempts: DataFrame, usable: Column, max_attempts: int = MAX_ATTEMPTS) -> DataFrame:
-    """Outcome per job of its numbered attempts: the first usable one among the allowed, else failed.
+def first_usable(attempts: DataFrame, usable: Column, max_attempts: int | None = None) -> DataFrame:
+    """Outcome per job of its numbered attempts: the first usable one, else failed. ``max_attempts`` ignores later ones.
 
     A grouped minimum instead of a ranking: it combines before the shuffle.
     """
     payload = [c for c in attempts.columns if c not in ("job_id", "attempt")]
-    considered = F.col("attempt") <= max_attempts
+    considered = F.lit(True) if max_attempts is None else F.col("attempt") <= max_attempts
     ok = considered & F.coalesce(usable, F.lit(False))
     return attempts.groupBy("job_id").agg(
         F.min(F.when(ok, F.col("attempt"))).alias("attempt"),

@@ -231,7 +231,7 @@ def _(t):
 
 
 @query("e19_parsed_email", f"""{_MAIL} SELECT artifact_id, from_header AS sender,
-  CASE WHEN length(body) > 2000 THEN concat(left(body, 2000), chr(10), '[... truncated ...]') ELSE body END AS body_text,
+  body AS body_text,
   concat('<m', artifact_id, '@example.org>') AS message_id, auth_header AS auth FROM d""")
 def _(t):
     p = t.messages.select("artifact_id", E.parsed_email("headers", "body").alias("p"))

@@ -278,7 +278,7 @@ def _(t):
 
 
 @query("j13_similar_reports", f"""WITH {REPORT_CTE}, e AS (SELECT vec_id, label FROM embeddings)
-  SELECT vec_id AS query_id, job_id, severity, risk_score, left(summary, 300) AS excerpt FROM e JOIN reports ON CAST(job_id AS BIGINT) = vec_id * 3 + label""")
+  SELECT vec_id AS query_id, job_id, severity, risk_score, summary AS excerpt FROM e JOIN reports ON CAST(job_id AS BIGINT) = vec_id * 3 + label""")
 def _(t):
     """Matches joined with the reports they point to."""
     from ..operators.similarity import attach_reports

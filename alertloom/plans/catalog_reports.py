@@ -203,14 +203,14 @@ def _(t):
     )
 
 
-@query("r10_first_usable_attempt", f"""{_ANSWERS}, g AS (SELECT job_id, min(attempt) FILTER (WHERE ok AND attempt <= 2) AS attempt, count(*) FILTER (WHERE attempt <= 2) AS tried FROM e GROUP BY job_id)
+@query("r10_first_usable_attempt", f"""{_ANSWERS}, g AS (SELECT job_id, min(attempt) FILTER (WHERE ok) AS attempt, count(*) AS tried FROM e GROUP BY job_id)
   SELECT job_id, CASE WHEN g.attempt IS NULL THEN 'failed' ELSE 'accepted' END AS outcome, g.attempt, tried, e.status FROM g LEFT JOIN e USING (job_id, attempt)""")
 def _(t):
     o = report.analysis_outcomes(email_answers(t).select("job_id", "attempt", "response"))
     return o.select("job_id", "outcome", "attempt", "tried", "analysis.status")
 
 
-@query("r10_accepted_reports", f"""{_SYN}, g AS (SELECT job_id, min(attempt) FILTER (WHERE ok AND attempt <= 2 AND risk <= 10) AS attempt FROM e GROUP BY job_id)
+@query("r10_accepted_reports", f"""{_SYN}, g AS (SELECT job_id, min(attempt) FILTER (WHERE ok AND risk <= 10) AS attempt FROM e GROUP BY job_id)
   SELECT job_id, CASE WHEN g.attempt IS NULL THEN 'failed' ELSE 'accepted' END AS outcome, g.attempt, e.risk AS risk_score FROM g LEFT JOIN e USING (job_id, attempt)""")
 def _(t):
     return report.synthesis_outcomes(synthesis_answers(t)).select("job_id", "outcome", "attempt", "report.risk_score")
@@ -222,7 +222,7 @@ _RULES_SHOWN = "CASE WHEN len(kw) > 0 THEN array_to_string(kw, ', ') ELSE 'none'
 @query("r11_email_prompts", f"""WITH {MAIL_CTE}, k AS (SELECT doc_id, body, {_KEYWORD_LIST} AS kw FROM (SELECT doc_id, body, {_TXT} AS txt FROM mails))
   SELECT doc_id, concat('Analyze this email for phishing indicators.', chr(10), chr(10), 'Tier 1 static filter matched rules: ', {_RULES_SHOWN}, chr(10), chr(10),
    'Pre-computed tool output (parsed structure + extracted network entities):', chr(10), '{{}}', chr(10), chr(10), 'Email content (PII-redacted):', chr(10),
-   CASE WHEN length(body) > 4000 THEN concat(left(body, 4000), chr(10), '{TRUNCATED.strip()}') ELSE body END, chr(10), chr(10),
+   body, chr(10), chr(10),
    'Provide your final analysis as the JSON object described in the system instructions.') AS prompt FROM k""")
 def _(t):
     from ..functions.email import combined_text, keyword_rules
@@ -234,7 +234,7 @@ def _(t):
   SELECT job_id, concat('Synthesize the final incident report for this job.', chr(10), chr(10), 'Evidence bundle (all fields are observed data; reason only about these):', chr(10),
    summary, chr(10), CASE WHEN j = 0 THEN '' ELSE concat(chr(10), 'Similar past incidents (retrieved by embedding similarity — background', chr(10),
     'context only; never present their conclusions as observed facts of THIS job):', chr(10), '- risk ', printf('%.1f', risk_score), ' (', severity, '), similarity 0.88, rules: ',
-    CASE WHEN j = 1 THEN 'none' ELSE 'r1, r2, r3, r4, r5' END, chr(10), '  summary: ', summary, chr(10)) END, chr(10),
+    CASE WHEN j = 1 THEN 'none' ELSE 'r1, r2, r3, r4, r5, r6' END, chr(10), '  summary: ', summary, chr(10)) END, chr(10),
    'Provide the report as the JSON object described in the system instructions.') AS prompt FROM x""")
 def _(t):
     j = F.col("job_id").cast("bigint") % 3
@@ -264,7 +264,7 @@ def _(t):
 # --- classifier and vectors ---------------------------------------------------------------------------
 
 
-@query("m1_classifier_text", "SELECT doc_id, concat(source, ' [SEP] ', left(text, 512)) AS text FROM documents")
+@query("m1_classifier_text", "SELECT doc_id, concat(source, ' [SEP] ', text) AS text FROM documents")
 def _(t):
     return t.table("documents").select("doc_id", M.classifier_text(F.col("source"), F.col("text")).alias("text"))
 
@@ -279,10 +279,10 @@ def _(t):
     return scored.select("doc_id", "ml_score", scoring.verdict(F.lit(0), F.col("ml_score")).alias("verdict"))
 
 
-@query("m2_softmax", """SELECT vec_id, round(exp(e[2] - m) / (exp(e[1] - m) + exp(e[2] - m) + exp(e[3] - m)), 9) AS p
-  FROM (SELECT vec_id, e, greatest(e[1], e[2], e[3]) AS m FROM (SELECT vec_id, list_transform(embedding[1:3], lambda x: x::DOUBLE * 100) AS e FROM embeddings))""")
+@query("m2_softmax", """SELECT vec_id, round(exp(e[2] - m) / list_sum(list_transform(e, lambda x: exp(x - m))), 9) AS p
+  FROM (SELECT vec_id, e, list_max(e) AS m FROM (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE * 10) AS e FROM embeddings))""")
 def _(t):
-    logits = F.transform(F.slice("embedding", 1, 3), lambda x: x.cast("double") * 100)
+    logits = F.transform("embedding", lambda x: x.cast("double") * 10)
     return t.table("embeddings").select("vec_id", F.round(vectors.softmax_probability(logits), 9).alias("p"))
 
 
@@ -294,7 +294,7 @@ def _(t):
 
 
 @query("m4_index_text", f"""{_EV}, v AS (SELECT job_id, string_agg(value, ', ' ORDER BY pos, type, value) AS vals FROM iocs GROUP BY job_id)
-  SELECT job_id, left(CASE WHEN vals IS NULL THEN verdict ELSE concat(verdict, chr(10), 'IOCs: ', vals) END, 2000) AS text FROM tier1 LEFT JOIN v USING (job_id)""")
+  SELECT job_id, CASE WHEN vals IS NULL THEN verdict ELSE concat(verdict, chr(10), 'IOCs: ', vals) END AS text FROM tier1 LEFT JOIN v USING (job_id)""")
 def _(t):
     values = F.transform("iocs", lambda i: i["value"])
     return bundles(t).select("job_id", similarity.index_text(F.col("tier1_verdict"), values).alias("text"))
@@ -325,7 +325,7 @@ def _(t):
 
 @query("m6_similar_incidents", f"""WITH {REPORT_CTE}, o AS (SELECT *, CAST(job_id AS BIGINT) AS j FROM reports), s AS (SELECT a.vec_id AS query_id, b.vec_id AS id, round({_COS}, 6) AS similarity FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id),
   r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, id) AS rn FROM s)
-  SELECT query_id, id, similarity, o.severity, o.risk_score, left(o.summary, 300) AS excerpt FROM r JOIN o ON o.j = r.id WHERE rn <= 3""")
+  SELECT query_id, id, similarity, o.severity, o.risk_score, o.summary AS excerpt FROM r JOIN o ON o.j = r.id WHERE rn <= 3""")
 def _(t):
     found = similarity.top_similar(_vectors(t, "query_id"), _vectors(t, "id"), 3)
     reports = t.reports.withColumn("report_id", F.col("job_id").cast("bigint"))

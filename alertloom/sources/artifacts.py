@@ -97,10 +97,12 @@ def split_intake(artifacts: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def as_text(artifacts: DataFrame) -> DataFrame:
-    """Decode the content as UTF-8 text into ``raw``; a byte-order mark is dropped."""
-    raw = F.regexp_replace(
-        F.decode(F.coalesce(F.col("content"), F.lit(b"")), "UTF-8"), "\\A\ufeff", ""
-    )
+    """Decode the content as UTF-8 text into ``raw``; a byte-order mark is dropped.
+
+    Bytes that are no UTF-8 become replacement characters, so one mail in another encoding stops nothing.
+    """
+    whole = F.make_valid_utf8(F.coalesce(F.col("content"), F.lit(b"")).cast("string"))
+    raw = F.regexp_replace(whole, "\\A\ufeff", "")
     return artifacts.withColumn("raw", raw).drop("content")
 
 
