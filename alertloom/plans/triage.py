@@ -16,6 +16,7 @@ from ..operators import correlate, intel, iocs, report
 from ..operators.email_checks import email_reports
 from ..operators.log_checks import log_reports
 from ..operators.phishing_model import classifier_text, ml_check
+from ..session import materialize
 from ..sources.artifacts import unsupported_reports
 from ..sources.csv_logs import parse_logs
 from ..sources.eml import parse_messages
@@ -141,7 +142,9 @@ def tier2(jobs: DataFrame, tier1_results: DataFrame, cache: DataFrame, feed: Dat
         mails = pending.filter(F.col("artifact_type") == "Eml").select("job_id")
         lacking = mails if analyses is None else mails.join(analyses.select("job_id"), "job_id", "left_anti")
         failed = failed.unionByName(lacking.withColumn("error_message", F.lit("No usable email analysis.")))
-    looked_up = intel.enrich(found, cache, feed, at)
+    # Both are stored and read by correlation and reports: computed once.
+    found = materialize(found, "tier2-iocs")
+    looked_up = materialize(intel.enrich(found, cache, feed, at), "tier2-intel")
     events = correlate.correlate_activity(found, activity)
     bundles = correlate.evidence_bundles(
         jobs.join(pending.select(F.col("job_id").alias("id")), "id", "left_semi")

@@ -58,7 +58,8 @@ def _process(batch: DataFrame, batch_id: int, root: str, pack: RulePack | None,
     accepted, rejected = split_intake(fresh)
     sinks.write_batch(rejected, root, "quarantine", batch_id)
     texts = as_text(accepted)
-    now = F.current_timestamp()
+    # One moment for the whole batch: each write would otherwise see its own.
+    now = F.lit(spark.range(1).select(F.current_timestamp()).first()[0])
 
     present = [r["file_type"] for r in accepted.select("file_type").distinct().collect()]  # three at most
     results = triage.tier1(texts, pack, file_types=present)

@@ -24,6 +24,12 @@ def headers(spark, raw):
     return [(h.name, h.value) for h in messages(spark, raw).first().headers]
 
 
+def test_hostile_name_does_not_overflow_the_matcher(spark):
+    raw = mail(body="a." * 4000 + "com and x.evil.org")
+    found = messages(spark, raw).select(N.domains("body").alias("d")).first().d
+    assert "x.evil.org" in found
+
+
 def test_folding_and_broken_lines(spark):
     raw = "  lost fold\nA: 1\nbroken\n more\t\nB :x:y \r\n\tz\n: no name\nA: 2\n\nbody\n\nrest"
     assert headers(spark, raw) == [("A", "1 more"), ("B", "x:y z"), ("A", "2")]

@@ -120,6 +120,15 @@ def test_statistics_against_plain_python(spark):
         assert {r["sub"] for r in got.collect()} == want
 
 
+def test_statistics_of_counts_beyond_a_long_product(spark):
+    from pyspark.sql import functions as F
+
+    counts = L.activity_counts(events(spark, [("GetObject", "10.0.0.1", "u1"), ("GetObject", "10.0.0.1", "u2")]))
+    per = L.key_counts(counts, "user_name").withColumn("c", F.lit(5_000_000_000) * F.col("c"))
+    s = L.frequency_stats(per).first()
+    assert s.n_keys == 2 and s.mean > 2e9
+
+
 def test_row_form_and_reports_agree(spark):
     rows = many(9, 2, 20) + [("AssumeRole", "1.1.1.1", "user01"), ("ListUsers", "", "", "AccessDenied")]
     ev = events(spark, rows)

@@ -64,6 +64,18 @@ def accesses(spark):
     return spark.createDataFrame(rows, "event_id int, ts timestamp, source_ip string")
 
 
+def test_a_mail_in_another_encoding_stops_nothing(spark, tmp_path):
+    inbox, root = tmp_path / "in", tmp_path / "out"
+    inbox.mkdir()
+    (inbox / "latin.eml").write_bytes(BAD.replace("see", "caf\u00e9").encode("latin-1"))
+    (inbox / "name.eml").write_text(BAD + " " + "a." * 4000 + "com")
+    batch = S.describe(spark.read.format("binaryFile").load(str(inbox)))
+    S.process_batch(batch, 0, str(root), load_rules())
+    jobs = {r.file_name: r.status for r in table(spark, root, "jobs").collect()}
+    assert jobs == {"latin.eml": "Done", "name.eml": "Done"}
+    assert table(spark, root, "reports").count() == 2
+
+
 def test_limits_on_a_table(spark):
     got = windows.limit_breaches(accesses(spark), 10).collect()
     assert [(r.window_start, r.source_ip, r.n, r.rejected) for r in got] == [(T0, "a", 12, 2)]
