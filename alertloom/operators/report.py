@@ -9,7 +9,6 @@ from ..functions import responses, scoring
 from ..functions.text import compact
 
 MARKER = "[generated without LLM]"
-MAX_ATTEMPTS = 2
 
 # Fixed value: the closing note of a report that no model wrote.
 NO_MODEL_NOTE = (
@@ -193,19 +192,19 @@ def first_usable(attempts: DataFrame, usable: Column, max_attempts: int | None =
     )
 
 
-def synthesis_outcomes(responses_df: DataFrame) -> DataFrame:
+def synthesis_outcomes(responses_df: DataFrame, max_attempts: int | None = None) -> DataFrame:
     """(job_id, attempt, response) to the accepted report per job, or a failure."""
     parsed = responses_df.withColumn("report", responses.synthesis("response"))
     r = F.col("report")
     valid = r.isNotNull() & (F.size(scoring.report_violations(
         r["risk_score"], r["severity"], r["mitre"], F.size(r["evidence"]))) == 0)
-    return first_usable(parsed.withColumn("valid", valid), F.col("valid")).drop("valid")
+    return first_usable(parsed.withColumn("valid", valid), F.col("valid"), max_attempts).drop("valid")
 
 
-def analysis_outcomes(responses_df: DataFrame) -> DataFrame:
+def analysis_outcomes(responses_df: DataFrame, max_attempts: int | None = None) -> DataFrame:
     """(job_id, attempt, response) to the accepted e-mail analysis per job, or a failure."""
     parsed = responses_df.withColumn("analysis", responses.email_analysis("response"))
-    return first_usable(parsed, F.col("analysis").isNotNull())
+    return first_usable(parsed, F.col("analysis").isNotNull(), max_attempts)
 
 
 def newest_report(reports: DataFrame) -> DataFrame:

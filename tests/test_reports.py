@@ -77,7 +77,10 @@ def synth(**over):
 
 def test_synthesis_answers_and_attempts(spark):
     rows = [("a", 1, "junk"), ("a", 2, synth()), ("b", 1, synth(severity="low")), ("b", 2, synth(risk_score=...)), ("b", 3, synth()), ("c", 1, synth()), ("c", 2, synth(risk_score=8.0))]
-    out = {r.job_id: r for r in report.synthesis_outcomes(spark.createDataFrame(rows, "job_id string, attempt int, response string")).collect()}
+    answers = spark.createDataFrame(rows, "job_id string, attempt int, response string")
+    every = {r.job_id: r for r in report.synthesis_outcomes(answers).collect()}
+    assert (every["b"].outcome, every["b"].attempt, every["b"].tried) == ("accepted", 3, 3)
+    out = {r.job_id: r for r in report.synthesis_outcomes(answers, max_attempts=2).collect()}
     assert (out["a"].outcome, out["a"].attempt, out["a"].report.risk_score, out["a"].report.mitre) == ("accepted", 2, 9.25, ["T1078"])
     assert [(e.claim, e.source) for e in out["a"].report.evidence] == [("c", "s")]
     assert (out["b"].outcome, out["b"].attempt, out["b"].tried) == ("failed", None, 2)
@@ -138,7 +141,8 @@ def test_defaults_of_an_unknown_job(spark):
 
 def test_prompts(spark):
     df = spark.createDataFrame([("x" * 4001, ["a", "b"])], "p string, r array<string>")
-    text = df.select(prompts.email_prompt("p", "r", F.lit("{}")).alias("t")).first().t
+    assert "x" * 4001 in df.select(prompts.email_prompt("p", "r", F.lit("{}")).alias("t")).first().t
+    text = df.select(prompts.email_prompt("p", "r", F.lit("{}"), limit=4000).alias("t")).first().t
     assert "matched rules: a, b\n" in text and "x" * 4000 + "\n[... truncated ...]" in text and "x" * 4001 not in text
     none = df.select(prompts.synthesis_prompt(F.lit("{}"), F.array().cast(
         "array<struct<risk_score:double,severity:string,similarity:double,matched_rules:array<string>,excerpt:string>>")).alias("t")).first().t
