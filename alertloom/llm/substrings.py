@@ -38,7 +38,7 @@ PLACE_BIT = 56
 START_BITS = 40
 _NULL_ID = -(1 << 63)
 #: Bytes of text whose windows are compared before the shuffle.
-STEP = 8 << 20
+STEP = 2 << 20
 
 
 def _anchors(grams: np.ndarray, per: int) -> np.ndarray:
@@ -178,7 +178,7 @@ def remove_repeats(docs: DataFrame, width: int = 20, id_col: str = "doc_id", tex
 
     def cut(batches):
         arrow_kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-        for batch in batches:
+        for batch in (whole.slice(at, 500) for whole in batches for at in range(0, whole.num_rows, 500)):
             texts = batch.column(batch.schema.get_field_index(text_col))
             data, offsets = textscan.text_bytes(texts)
             found = batch.column(batch.schema.get_field_index("_runs"))
