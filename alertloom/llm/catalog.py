@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bpe, fingerprints, langid, mixing, neardup, shards, substrings, topk, toxicity, warc
-from .common import table
+from .common import small_batches, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -21,7 +21,11 @@ WORD = r"'[^\x20\x09-\x0D]+'"
 
 def query(name: str, sql: str | None = None):
     def add(build):
-        QUERIES[name] = build
+        def run(spark: SparkSession, folder: str) -> DataFrame:
+            small_batches(spark)
+            return build(spark, folder)
+
+        QUERIES[name] = run
         if sql is not None:
             ORACLES[name] = sql
         return build

@@ -12,6 +12,15 @@ BROADCAST_BYTES = 4 << 20
 SALTS = 8
 
 
+#: Size of the batches that go to Python workers and back; a task holds several of them at once.
+BATCH = "8m"
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Limit Arrow batches of the session by size, so that whole texts in them stay within an executor's memory."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH)
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from alertloom.llm import bpe, langid, mixing, neardup, substrings
-from alertloom.llm.common import lookup, table
+from alertloom.llm.common import lookup, small_batches, table
 from alertloom.session import materialize
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -29,6 +29,7 @@ LEAST_SCORE = 0.35
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Learns from two thirds of the documents; a missing language is set to the predicted one."""
+    small_batches(spark)
     docs = docs.select(*COLUMNS)
     out = langid.predict(docs, langid.fit(docs.where(~langid.held_out())), score_col="lang_score")
     return out.where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("lang_score") >= LEAST_SCORE)).select(
@@ -37,6 +38,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the rows of the smallest doc_id of each group; only the ids that go are joined to the texts."""
+    small_batches(spark)
     docs = docs.select(*COLUMNS)
     gone = materialize(
         neardup.near_duplicates(docs, width=5, percent=80).where("not kept").select("doc_id").distinct(), "pipeline-gone")
@@ -46,6 +48,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without a repeated passage stay as they are; the others are their remaining words."""
+    small_batches(spark)
     out = substrings.remove_repeats(docs.select(*COLUMNS), width=20)
     text = F.when(F.col("n_removed") > 0, F.col("kept_text")).otherwise(F.col("text"))
     return out.where("n_removed = 0 or n_removed < n_words").select(
@@ -57,6 +60,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     return bpe.encode(
         docs.select(*COLUMNS), public_tokenizers.path("word_bpe_49k.json"), ids_col="token_ids", decoded_col="decoded"
     ).withColumn("n_tokens", F.size("token_ids").cast("long"))
