@@ -10,7 +10,10 @@ band key every class is proposed to the key's smallest one and to a neighbour th
 keys differ from band to band, so linked classes meet in many of them. No key emits all its pairs, and none is capped:
 large keys are cut into groups of bounded size for the neighbour step, while the smallest class stays common to all.
 Then a class that came within NEAR percent of a component is compared with all classes of that component, in blocks,
-until that finds no new link.
+until that finds no new link. These are cheap first steps. Last, every key whose classes are not all in one component
+by then is opened: all its pairs from different components are compared in blocks, by estimate and then by full sets,
+and a block gives only the links that join what it holds. So each pair that shares a band key is compared or already
+connected.
 
 Defined cases: null and empty texts and texts of separators have an empty set and stay alone. Fewer words than
 the shingle width make one shingle of the whole sequence. Rows that repeat a doc_id are the same document: one
@@ -129,25 +132,32 @@ def filled_up(regs: np.ndarray) -> np.ndarray:
     return out
 
 
-def band_rows(classes: DataFrame) -> DataFrame:
-    """(key, id, n, next): a key for every band of registers, and the key of the band after it."""
+def band_keys(regs: np.ndarray) -> np.ndarray:
+    """The key of each band, for rows of registers."""
     weights = textscan.mix(np.arange(1, ROWS + 1, dtype=np.uint64))
     salt = textscan.mix(np.arange(101, 101 + BANDS, dtype=np.uint64))
+    full = textscan.mix(filled_up(regs)).reshape(-1, BANDS, ROWS)
+    return textscan.mix((full * weights).sum(axis=2, dtype=np.uint64) + salt)
+
+
+def band_rows(classes: DataFrame) -> DataFrame:
+    """(key, band, id, n, next): a key for every band of registers, and the key of the band after it."""
 
     def run(batches):
         for batch in batches:
             for at in range(0, batch.num_rows, 1000):
                 part = batch.slice(at, 1000)
                 regs = np.frombuffer(b"".join(part.column(2).to_pylist()), np.uint16).reshape(-1, BUCKETS)
-                full = textscan.mix(filled_up(regs)).reshape(-1, BANDS, ROWS)
-                keys = textscan.mix((full * weights).sum(axis=2, dtype=np.uint64) + salt)
+                keys = band_keys(regs)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(keys.ravel().view(np.int64)),
+                     pa.array(np.tile(np.arange(BANDS, dtype=np.int32), len(keys))),
                      *(pa.array(np.repeat(part.column(c).to_numpy(), BANDS)) for c in (0, 1)),
                      pa.array(np.roll(keys, -1, axis=1).ravel().view(np.int64))],
-                    names=["key", "id", "n", "next"])
+                    names=["key", "band", "id", "n", "next"])
 
-    return classes.select("id", "n_shingles", "registers").mapInArrow(run, "key long, id long, n long, next long")
+    return classes.select("id", "n_shingles", "registers").mapInArrow(
+        run, "key long, band int, id long, n long, next long")
 
 
 def _only(df: DataFrame, ids: DataFrame) -> DataFrame:
@@ -219,9 +229,100 @@ def _missed_links(docs: DataFrame, tried: DataFrame, labels: DataFrame, width: i
     return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(compare, "a long, b long").distinct()
 
 
+def _hopeful(guess: np.ndarray, used: np.ndarray, percent: int) -> np.ndarray:
+    """Whether an estimate leaves the similarity possible."""
+    least = percent / 100.0
+    return guess >= least - SLACK * np.sqrt(least * (1 - least) / np.maximum(used, 1))
+
+
+def _joining(ids, tops, sets, regs, keys, band: int, left: np.ndarray, right: np.ndarray, percent: int):
+    """Links (a, b) that join all classes of ``left`` and ``right`` that links between the two connect.
+
+    All of them agree in ``band``; a pair that agrees in an earlier one is compared there. If both are the same
+    classes, each pair is looked at once.
+    """
+    same = left is right
+    n = np.array([len(x) for x in sets])
+    root = tops.copy()
+    index = None
+    for at, i in enumerate(left):
+        there = right[at + 1:] if same else right
+        there = there[root[there] != root[i]]
+        there = there[~(keys[there, :band] == keys[i, :band]).any(axis=1)]
+        if len(there):
+            guess, used = estimate(regs[there], regs[i][None, :], n[there], n[i])
+            there = there[_hopeful(guess, used, percent)]
+        if not len(there):
+            continue
+        if len(there) < 8:
+            both = np.array([len(np.intersect1d(sets[i], sets[j], assume_unique=True)) for j in there])
+        else:
+            if index is None:
+                flat = np.concatenate([sets[j] for j in right])
+                order = np.argsort(flat, kind="stable")
+                index = flat[order], np.repeat(right, n[right])[order]
+            flat, owner = index
+            lo, hi = np.searchsorted(flat, sets[i], "left"), np.searchsorted(flat, sets[i], "right")
+            hits = np.repeat(lo - np.cumsum(hi - lo) + (hi - lo), hi - lo) + np.arange(int((hi - lo).sum()))
+            both = np.bincount(owner[hits], minlength=len(sets))[there]
+        for j in there[100 * both >= percent * (n[i] + n[there] - both)]:
+            if root[j] != root[i]:
+                root[root == root[j]] = root[i]
+                yield min(ids[i], ids[j]), max(ids[i], ids[j])
+
+
+def _key_links(
+    docs: DataFrame, classes: DataFrame, shared: DataFrame, labels: DataFrame, width: int, percent: int
+) -> DataFrame:
+    """(a, b): links between the components that meet in a band key, enough to connect what all such links connect.
+
+    The rows of a key are dealt to parts of about BLOCK classes, and every two parts meet in a task; small keys share
+    one. Keys of two classes have been compared already, those within one component add nothing, and of keys with the
+    same classes the first band's is opened.
+    """
+    named = labels.select(F.col("node").alias("id"), F.col("component").alias("top"))
+    rows = lookup(shared.where("size > 2").select("key", "band", "id"), named, ["id"], F.col("key")).withColumn(
+        "top", F.coalesce("top", "id"))
+    rows = materialize(rows, "neardup-tops")
+    several = rows.groupBy("key", "band").agg(
+        F.count("*").alias("size"), F.min("top").alias("low"), F.max("top").alias("high"),
+        F.sum(F.xxhash64("id").cast("decimal(38,0)")).alias("who")).where("low <> high")
+    first = several.groupBy("who", "size").agg(F.min(F.struct("band", "key")).alias("m")).select(
+        "m.key", F.ceil(F.col("size") / BLOCK).cast("int").alias("parts"))
+    opened = materialize(lookup(rows, materialize(first, "neardup-several"), ["key"], F.col("id"), "inner"), "neardup-open")
+    full = _sets(_only(docs, opened.select("id").distinct()), width).join(
+        _only(classes, opened.select("id").distinct()).select("id", "registers"), "id")
+    full = materialize(full, "neardup-open-sets")
+    few = max(1, opened.where("parts = 1").count() // BLOCK)
+    part = F.pmod(F.xxhash64("id", "key"), F.col("parts")).cast("int")
+    blocks = opened.withColumn("part", part).withColumn(
+        "other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select(
+        "key", "band", "id", "top", "part", F.least("part", "other").alias("p"), F.greatest("part", "other").alias("q"),
+        F.when(F.col("parts") == 1, F.pmod(F.xxhash64("key"), F.lit(few))).otherwise(
+            F.xxhash64("key", F.least("part", "other"), F.greatest("part", "other"))).alias("task"))
+
+    def compare(table: pa.Table) -> pa.Table:
+        col = lambda name: table.column(name).to_numpy()
+        order = np.lexsort((col("id"), col("q"), col("p"), col("key")))
+        table = table.take(pa.array(order))
+        key, p, q, part = col("key"), col("p"), col("q"), col("part")
+        sets = [np.frombuffer(v.as_py(), np.uint64) for v in table.column("set")]
+        regs = np.frombuffer(b"".join(table.column("registers").to_pylist()), np.uint16).reshape(-1, BUCKETS)
+        keys, ids, tops, band = band_keys(regs), col("id"), col("top"), col("band")
+        leads = np.flatnonzero(np.append(True, (np.diff(key) != 0) | (np.diff(p) != 0) | (np.diff(q) != 0)))
+        out = []
+        for a, b in zip(leads, np.append(leads[1:], len(key))):
+            left = right = np.arange(a, b)
+            if p[a] != q[a]:
+                left, right = left[part[a:b] == p[a]], right[part[a:b] == q[a]]
+            out += _joining(ids, tops, sets, regs, keys, int(band[a]), left, right, percent)
+        return pa.table([pa.array([int(x[k]) for x in out], pa.int64()) for k in (0, 1)], names=["a", "b"])
+
+    return blocks.join(full, "id").groupBy("task").applyInArrow(compare, "a long, b long").distinct()
+
+
 def _confirm(docs: DataFrame, sketched: DataFrame, pairs: DataFrame, width: int, percent: int) -> DataFrame:
     """(a, b, linked) for the rows of ``pairs`` whose full sets reach the similarity, or miss it by at most NEAR."""
-    least = percent / 100.0
 
     def near(batches):
         for batch in batches:
@@ -230,8 +331,7 @@ def _confirm(docs: DataFrame, sketched: DataFrame, pairs: DataFrame, width: int,
             a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint16).reshape(-1, BUCKETS)
                     for c in ("ra", "rb"))
             guess, used = estimate(a, b, batch.column("na").to_numpy(), batch.column("nb").to_numpy())
-            good = guess >= least - SLACK * np.sqrt(least * (1 - least) / np.maximum(used, 1))
-            yield batch.select(["a", "b"]).filter(pa.array(good))
+            yield batch.select(["a", "b"]).filter(pa.array(_hopeful(guess, used, percent)))
 
     def exact(batches):
         for batch in batches:
@@ -320,6 +420,9 @@ def near_duplicates(
             break
         links = links.unionByName(found)
         labels = materialize(components(links, "neardup-edges"), "neardup-labels")
+    found = materialize(_key_links(texts, classes, shared, labels, width, percent), "neardup-found")
+    if not found.isEmpty():
+        labels = materialize(components(links.unionByName(found), "neardup-edges"), "neardup-labels")
     named = labels.select(F.col("node").alias("class"), F.col("component").alias("top"))
     tops = lookup(member, named, ["class"], F.col("doc_id")).groupBy("doc_id").agg(
         F.min(F.coalesce("top", "class")).alias("component_id"))

@@ -84,7 +84,7 @@ def test_incompatible_pairs_are_exactly_those_that_merge_otherwise():
     rng = random.Random(4)
     inner = [t for t in vocab.inner if len(t) < 6]
     final = [t for t in vocab.final if len(t) < 6]
-    pairs = [(rng.choice(inner), rng.choice(final)) for _ in range(3000)]
+    pairs = [(rng.choice(inner), rng.choice(final)) for _ in range(1500)]
     a, b = (np.array([table[p[k]] for p in pairs]) for k, table in ((0, vocab.inner), (1, vocab.final)))
     for (x, y), i, j, good in zip(pairs, a, b, vocab.compatible(a, b)):
         assert good == (vocab.merge(x + y) == [i, j])
@@ -193,6 +193,30 @@ def test_near_duplicates_equal_brute_force(spark):
         assert all(r["kept"] == (r["doc_id"] == r["component_id"]) for r in got)
 
 
+def test_near_duplicates_of_random_subsets_of_one_pool(spark):
+    # Nearly all pairs lie below the threshold, so few of a key's classes are linked with its smallest or a neighbour.
+    rng = random.Random(6)
+    pool = [prose(rng, 12, 10**6) for _ in range(60)]
+    texts = [" ".join(s for s in pool if rng.random() < 0.8) for _ in range(1500)]
+    code, sets = {}, np.zeros((len(texts), 60 * 80), np.float32)
+    for i, text in enumerate(texts):
+        words = text.split()
+        for gram in zip(*(words[k:] for k in range(4))):
+            sets[i, code.setdefault(gram, len(code))] = 1
+    n, both = sets.sum(axis=1), sets @ sets.T
+    x, y = np.nonzero(100 * both >= 80 * (n[:, None] + n[None, :] - both))
+    top = np.arange(len(texts))
+    while True:
+        low = top.copy()
+        np.minimum.at(low, x, top[y])
+        if (low == top).all():
+            break
+        top = low
+    got = neardup.near_duplicates(docs(spark, texts).repartition(8), 4, 80).select("doc_id", "component_id").collect()
+    assert 2 < (np.bincount(np.unique(top, return_inverse=True)[1]) > 1).sum()
+    assert dict(map(tuple, got)) == dict(enumerate(top.tolist()))
+
+
 def test_near_duplicates_of_null_and_repeated_ids(spark):
     rows = docs(spark, ["a b c d e f", "a b c d e f", "a b c d e f", None, "q r s t u v"], [3, 3, 9, None, None])
     got = sorted((r["doc_id"] or -1, r["component_id"], r["kept"]) for r in neardup.near_duplicates(rows, 4).collect())
