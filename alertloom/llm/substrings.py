@@ -11,8 +11,8 @@ earliest goes on, the others are known to be repeated. A passage that a third of
 sends one row per batch, not one per document. After it, rows of one anchor are split further by their windows.
 
 Defined cases: null, empty and short texts have no windows and lose nothing. A null doc_id counts as smaller
-than any other. Rows that repeat a doc_id with another text are documents of their own; rows equal in doc_id and
-text are one document, and each is returned with the same result. Other columns are kept as they are.
+than any other. Rows that repeat a doc_id with another text are documents of their own, told apart by a 64-bit hash
+of the text; rows equal in doc_id and text are one document, and each is returned with the same result. Other columns are kept as they are.
 """
 
 from __future__ import annotations
@@ -34,8 +34,6 @@ GRAM = 8
 #: anchor's place in the window, which takes the bits of ``gone`` from PLACE_BIT on.
 PACK = 5
 PLACE_BIT = 56
-#: Low bits of the position that hold the start, the rest tells apart texts of one doc_id.
-START_BITS = 40
 _NULL_ID = -(1 << 63)
 #: Bytes of text whose windows are compared before the shuffle.
 STEP = 2 << 20
@@ -53,28 +51,16 @@ def _anchors(grams: np.ndarray, per: int) -> np.ndarray:
     return best
 
 
-def _text_tags(data: np.ndarray, offsets: np.ndarray, words: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """A few bits of each text's content, from its words and length."""
-    sums = np.zeros(len(words) + 1, np.uint64)
-    np.cumsum(words * (np.arange(len(words), dtype=np.uint64) * np.uint64(2) + np.uint64(1)), out=sums[1:])
-    plain = np.zeros(len(words) + 1, np.uint64)
-    np.cumsum(words, out=plain[1:])
-    shift = first[:-1].astype(np.uint64) * np.uint64(2)
-    whole = (sums[first[1:]] - sums[first[:-1]]) - shift * (plain[first[1:]] - plain[first[:-1]])
-    tags = textscan.mix(whole + np.diff(offsets).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-    return (tags >> np.uint64(START_BITS + 1)).astype(np.int64)
+def _scan(ids: pa.Array, tags: pa.Array, texts: pa.Array, width: int):
+    """Rows (anchor, doc, tag, at, mask, gone, packed) for the windows of some texts.
 
-
-def _scan(ids: pa.Array, texts: pa.Array, width: int):
-    """Rows (anchor, doc, at, mask, gone, packed) for the windows of some texts.
-
-    ``at`` is the first window's tag and start, ``mask`` has a bit for each window whose hash is packed, ``gone``
+    ``tag`` is the text's hash, ``at`` the first window's start, ``mask`` has a bit for each window whose hash is packed, ``gone``
     one for each that repeats an earlier window of these texts, and above them the anchor's place in the first window.
     """
-    keys = ids.to_numpy()
+    keys, tags = ids.to_numpy(), tags.to_numpy()
     if (np.diff(keys) < 0).any():
         order = np.argsort(keys, kind="stable")
-        keys, texts = keys[order], texts.take(pa.array(order))
+        keys, tags, texts = keys[order], tags[order], texts.take(pa.array(order))
     data, offsets = textscan.text_bytes(texts)
     starts, ends, first = textscan.word_bounds(data, offsets)
     words = textscan.word_hashes(data, starts, ends)
@@ -88,15 +74,16 @@ def _scan(ids: pa.Array, texts: pa.Array, width: int):
     pick = _anchors(grams, width - GRAM + 1)[whole]
     hashes = textscan.fold(words, width)[whole]
     doc = keys[row[whole]]
-    tag = _text_tags(data, offsets, words, first)[row[whole]]
-    at = (tag << START_BITS) | (whole - first[row[whole]])
+    tag = tags[row[whole]]
+    at = whole - first[row[whole]]
     # Repeats within these texts: all but the earliest of equal windows.
     again = (np.diff(keys) == 0).any()  # else the windows are in order of doc and start already
-    order = np.lexsort((at, doc, hashes)) if again else np.argsort(hashes, kind="stable")
+    order = np.lexsort((at, tag, doc, hashes)) if again else np.argsort(hashes, kind="stable")
     leads = np.flatnonzero(np.append(True, hashes[order[1:]] != hashes[order[:-1]]))
     earliest = np.repeat(order[leads], np.diff(np.append(leads, len(order))))
     gone = np.zeros(len(whole), bool)
-    gone[order] = (doc[order] != doc[earliest]) | (at[order] != at[earliest])  # equal rows are one document
+    # Equal rows are one document.
+    gone[order] = (doc[order] != doc[earliest]) | (tag[order] != tag[earliest]) | (at[order] != at[earliest])
     begins = np.ones(len(whole), bool)
     begins[1:] = (pick[1:] != pick[:-1]) | (np.diff(whole) != 1)
     lead = np.flatnonzero(begins)
@@ -107,35 +94,36 @@ def _scan(ids: pa.Array, texts: pa.Array, width: int):
     packed = np.ascontiguousarray(hashes[~gone]).view(np.uint8).reshape(-1, 8)[:, :PACK].tobytes()
     sizes = np.concatenate([[0], np.cumsum(np.add.reduceat(~gone, lead, dtype=np.int64) * PACK)])
     return [
-        pa.array(grams[pick[lead]].view(np.int64)), pa.array(doc[lead]), pa.array(at[lead]), pa.array(mask),
-        pa.array(lost), pa.Array.from_buffers(
+        pa.array(grams[pick[lead]].view(np.int64)), pa.array(doc[lead]), pa.array(tag[lead]), pa.array(at[lead]),
+        pa.array(mask), pa.array(lost), pa.Array.from_buffers(
             pa.binary(), len(lead), [None, pa.py_buffer(sizes.astype(np.int32)), pa.py_buffer(packed)])]
 
 
 def repeated_windows(docs: DataFrame, width: int) -> DataFrame:
-    """(doc, tag, start, mask): bits of the repeated windows from ``start`` on, for rows (doc, text)."""
+    """(doc, tag, start, mask): bits of the repeated windows from ``start`` on, for rows (doc, tag, text)."""
     if not GRAM <= width <= 60:
         raise ValueError(f"windows of {GRAM} to 60 words")
-    names = ["anchor", "doc", "at", "mask", "gone", "packed"]
+    names = ["anchor", "doc", "tag", "at", "mask", "gone", "packed"]
 
     def scan(batches):
         for batch in batches:
-            rows = max(1, int(batch.num_rows * STEP / max(batch.column(1).nbytes, 1)))
+            rows = max(1, int(batch.num_rows * STEP / max(batch.column(2).nbytes, 1)))
             for lo in range(0, batch.num_rows, rows):
                 part = batch.slice(lo, rows)
-                if (cols := _scan(part.column(0), part.column(1), width)) is not None:
+                if (cols := _scan(part.column(0), part.column(1), part.column(2), width)) is not None:
                     yield pa.RecordBatch.from_arrays(cols, names=names)
 
-    rows = docs.mapInArrow(scan, "anchor long, doc long, at long, mask long, gone long, packed binary")
+    rows = docs.mapInArrow(scan, "anchor long, doc long, tag long, at long, mask long, gone long, packed binary")
     # A row whose windows are all known to be repeated needs no partner; it is dealt out by its own place.
-    rows = rows.withColumn("anchor", F.when(F.col("mask") == 0, F.xxhash64("doc", "at")).otherwise(F.col("anchor")))
-    rows = rows.withColumn("place", F.expr(f"shiftright(gone, {PLACE_BIT})")).withColumn(
-        "gone", F.col("gone").bitwiseAND(F.lit((1 << PLACE_BIT) - 1)))
+    rows = rows.withColumn("anchor", F.when(F.col("mask") == 0, F.xxhash64("doc", "tag", "at")).otherwise(F.col("anchor")))
     by_anchor = Window.partitionBy("anchor")
     rows = rows.withColumn("met", F.when(F.col("mask") != 0, F.count("*").over(by_anchor) > 1).otherwise(False))
+    # Split only here, so that the place is not shuffled as a column of its own.
+    rows = rows.withColumn("place", F.expr(f"shiftright(gone, {PLACE_BIT})")).withColumn(
+        "gone", F.col("gone").bitwiseAND(F.lit((1 << PLACE_BIT) - 1)))
     # Rows of an anchor that occurs once pass with the windows already known; the others open their windows.
     opened = rows.select(
-        "anchor", "doc", "at", "gone", "place",
+        "anchor", "doc", "tag", "at", "gone", "place",
         F.explode(F.when(F.col("met"), F.expr(
             f"filter(transform(sequence(0, {width - GRAM}), i -> named_struct('bit', i, 'hash', "
             f"CASE WHEN (shiftright(mask, i) & 1) = 1 THEN substring(packed, "
@@ -144,15 +132,12 @@ def repeated_windows(docs: DataFrame, width: int) -> DataFrame:
             .when(F.col("gone") != 0, F.expr("array(named_struct('bit', -1, 'hash', cast(null as binary)))"))
         ).alias("w"),
     )
-    earliest = Window.partitionBy("anchor", "w.hash", F.col("place") - F.col("w.bit")).orderBy("doc", "at", "w.bit")
+    earliest = Window.partitionBy("anchor", "w.hash", F.col("place") - F.col("w.bit")).orderBy("doc", "tag", "at", "w.bit")
     nth = F.when(F.col("w.hash").isNotNull(), F.rank().over(earliest)).otherwise(F.lit(1))
     bits = F.when(nth > 1, F.expr("shiftleft(1L, w.bit)")).otherwise(F.lit(0).cast("long"))
-    found = opened.withColumn("bits", bits).groupBy("anchor", "doc", "at").agg(
+    found = opened.withColumn("bits", bits).groupBy("anchor", "doc", "tag", "at").agg(
         F.bit_or(F.col("bits").bitwiseOR(F.col("gone"))).alias("mask"))
-    low = (1 << START_BITS) - 1
-    return found.where("mask != 0").select(
-        "doc", F.expr(f"shiftright(at, {START_BITS})").alias("tag"),
-        F.col("at").bitwiseAND(F.lit(low)).alias("start"), "mask")
+    return found.where("mask != 0").select("doc", "tag", F.col("at").alias("start"), "mask")
 
 
 def remove_repeats(docs: DataFrame, width: int = 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -170,10 +155,13 @@ def remove_repeats(docs: DataFrame, width: int = 20, id_col: str = "doc_id", tex
     kept = [f for f in docs.schema.fields if f.name not in own]
     base = docs.select(*(F.col(f"`{f.name}`") for f in kept))
     doc = F.coalesce(F.col(id_col).cast("long"), F.lit(_NULL_ID))
-    runs = repeated_windows(base.select(doc.alias("doc"), F.col(text_col).alias("text")), width)
-    # A document's runs are bounded by its own length.
-    runs = runs.groupBy(F.col("doc").alias("_doc")).agg(F.collect_list(F.struct("tag", "start", "mask")).alias("_runs"))
-    joined = base.withColumn("_doc", doc).join(runs.hint("shuffle_hash"), "_doc", "left").drop("_doc")
+    tag = F.xxhash64(F.col(text_col))
+    runs = repeated_windows(base.select(doc.alias("doc"), tag.alias("tag"), F.col(text_col).alias("text")), width)
+    # The runs of one text are bounded by its own length, however many texts share its id.
+    runs = runs.groupBy(F.col("doc").alias("_doc"), F.col("tag").alias("_tag")).agg(
+        F.collect_list(F.struct("start", "mask")).alias("_runs"))
+    joined = base.withColumn("_doc", doc).withColumn("_tag", tag).join(
+        runs.hint("shuffle_hash"), ["_doc", "_tag"], "left").drop("_doc", "_tag")
     schema = T.StructType([*kept, *new])
 
     def cut(batches):
@@ -184,13 +172,11 @@ def remove_repeats(docs: DataFrame, width: int = 20, id_col: str = "doc_id", tex
             found = batch.column(batch.schema.get_field_index("_runs"))
             n_words, n_removed, spans, left = [], [], [], []
             for i in range(batch.num_rows):
-                begins, ends, first = textscan.word_bounds(data, offsets[i:i + 2])
+                begins, _, _ = textscan.word_bounds(data, offsets[i:i + 2])
                 gone = np.zeros(len(begins), bool)
                 if found[i].is_valid:
                     flat = found[i].values
-                    tag, start, mask = (flat.field(k).to_numpy() for k in range(3))
-                    mine = _text_tags(data, offsets[i:i + 2], textscan.word_hashes(data, begins, ends), first)
-                    start, mask = start[tag == mine[0]], mask[tag == mine[0]]
+                    start, mask = (flat.field(k).to_numpy() for k in range(2))
                     gone = _covered(start, mask, len(begins), width)
                 edge = np.flatnonzero(np.diff(np.concatenate([[0], gone.view(np.int8), [0]])))
                 words = data[offsets[i]:offsets[i + 1]].tobytes().split()

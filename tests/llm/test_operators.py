@@ -283,6 +283,20 @@ def test_repeated_windows_of_repeated_and_null_ids(spark):
     assert substrings.remove_repeats(docs(spark, [one]).limit(0)).count() == 0
 
 
+def test_repeated_windows_of_many_texts_without_id(spark):
+    # All texts share one id and repeat one passage at another place; each keeps the rest, and runs stay with their text.
+    rng = random.Random(12)
+    passage = prose(rng, 25, 10**6)
+    heads = [prose(rng, 1 + i % 40, 10**12) for i in range(12000)]
+    frame = docs(spark, [f"{h} {passage}" for h in heads], [None] * len(heads)).repartition(8)
+    got = substrings.remove_repeats(frame).select("text", "n_removed", "kept_text").collect()
+    assert len(got) == len(heads) and sorted(r["n_removed"] for r in got)[:2] == [0, 25]
+    assert all(r["kept_text"] == r["text"].removesuffix(" " + passage) for r in got if r["n_removed"])
+    whole = substrings.repeated_windows(
+        frame.select(F.lit(1).cast("long").alias("doc"), F.xxhash64("text").alias("tag"), "text"), 20)
+    assert whole.select("tag").distinct().count() == len(heads) - 1
+
+
 # 6 Top-k
 
 
