@@ -2,7 +2,9 @@
 
 Each class has a model that spells words from left to right: the next byte given the whole beginning of the word,
 with absolute discounting, counted once per document. What the discount frees goes to a lower order that both classes share: in how many of
-the two classes a continuation occurs. A beginning that neither class has seen adds nothing, so rare and new words
+the two classes a continuation occurs. Words of more than DEPTH bytes, as sentences of scripts without spaces, are read
+to their end by a window of DEPTH bytes from each of their characters on; windows count as words from there, and those
+that begin inside a word have counts of their own. A beginning that neither class has seen adds nothing, so rare and new words
 are judged by the part of them that is known.
 
 A document is compared by length-normalised log-likelihoods: the difference toxic minus ordinary per word, over
@@ -35,19 +37,38 @@ STRETCHES = (1, 8, 64)
 DISCOUNT = 0.75
 _END = np.uint64(0x5851F42D4C957F2D)
 _ROOT = np.uint64(0x14057B7EF767814F)
+_INSIDE = np.uint64(0x2545F4914F6CDD1D)
 _APART = np.ones(256, bool)
 _APART[[*range(ord("0"), ord("9") + 1), *range(ord("A"), ord("Z") + 1), *range(ord("a"), ord("z") + 1),
         *range(128, 256)]] = False
 
 
-def _paths(data: np.ndarray, starts: np.ndarray, ends: np.ndarray):
-    """(depth, rows, node, parent) for every beginning of every word and for the ends of short words."""
+def _windows(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, first: np.ndarray):
+    """(starts, ends, inside, closed, first) of words, longer ones as windows from each of their characters on.
+
+    ``inside`` marks windows that begin inside a word, ``closed`` those that reach its end.
+    """
+    size = ends - starts
+    long = np.flatnonzero(size > DEPTH)
+    n = np.ones(len(starts), np.int64)
+    n[long] = size[long]
+    word = np.repeat(np.arange(len(starts)), n)
+    at = starts[word] + np.arange(len(word)) - np.repeat(np.cumsum(n) - n, n)
+    lead = (at == starts[word]) | (data[at] & 0xC0 != 0x80)  # not within a character
+    word, at = word[lead], at[lead]
+    to = np.minimum(ends[word], np.where(size[word] > DEPTH, at + DEPTH, ends[word]))
+    return at, to, at != starts[word], to == ends[word], np.searchsorted(word, first)
+
+
+def _paths(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, inside: np.ndarray, closed: np.ndarray):
+    """(depth, rows, node, parent) for every beginning of every window and for the ends of words."""
     size = ends - starts
-    last = np.full(len(starts), _ROOT)
+    last = np.where(inside, _INSIDE, _ROOT)
     for d, rows, node in textscan.beginnings(data, starts, ends, DEPTH):
+        node = np.where(inside[rows], textscan.mix(node ^ _INSIDE), node)
         yield d, rows, node, last[rows]
         last[rows] = node
-        over = rows[(size[rows] == d) & (d < DEPTH)]
+        over = rows[(size[rows] == d) & closed[rows]]
         yield d + 1, over, textscan.mix(last[over] ^ _END), last[over]
 
 
@@ -59,9 +80,10 @@ def _counts(sample: DataFrame) -> DataFrame:
             label = batch.column(1).to_numpy(zero_copy_only=False).astype(np.int64)
             data, offsets = textscan.text_bytes(batch.column(0))
             for lo, hi in textscan.pieces(offsets):
-                starts, ends, first = textscan.word_bounds(data, offsets[lo:hi + 1], _APART)
+                starts, ends, inside, closed, first = _windows(
+                    data, *textscan.word_bounds(data, offsets[lo:hi + 1], _APART))
                 toxic = np.repeat(label[lo:hi], np.diff(first))
-                found = list(_paths(data, starts, ends))
+                found = list(_paths(data, starts, ends, inside, closed))
                 if not found:
                     continue
                 node, parent = (np.concatenate([f[k] for f in found]) for k in (2, 3))
@@ -111,16 +133,19 @@ class Model:
             whole[rows] += np.where(known, whole[at], 0)
         return cls(node, whole.astype(np.float32))
 
-    def words(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        """The ratio of each word: that of its longest known beginning."""
+    def words(
+        self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, inside: np.ndarray, closed: np.ndarray
+    ) -> np.ndarray:
+        """The ratio of each window: that of its longest known beginning."""
         if not len(starts) or not len(self.nodes):
             return np.zeros(len(starts))
         hashes = textscan.word_hashes(data, starts, ends, lower=True)
+        hashes = textscan.mix(hashes ^ (inside + closed * np.uint64(2)))
         _, lead, back = np.unique(hashes, return_index=True, return_inverse=True)
         order = np.sort(lead)  # in order of place, as beginnings() reads on
         out = np.zeros(len(order), np.float32)
         live = np.ones(len(order), bool)
-        for _, rows, node, _ in _paths(data, starts[order], ends[order]):
+        for _, rows, node, _ in _paths(data, *(x[order] for x in (starts, ends, inside, closed))):
             pick = live[rows]
             rows, node = rows[pick], node[pick]
             at = np.minimum(np.searchsorted(self.nodes, node), len(self.nodes) - 1)
@@ -134,8 +159,8 @@ class Model:
         data, offsets = textscan.text_bytes(texts)
         out = np.zeros((len(texts), len(STRETCHES) + 1))
         for lo, hi in textscan.pieces(offsets):
-            starts, ends, first = textscan.word_bounds(data, offsets[lo:hi + 1], _APART)
-            sums = np.concatenate([[0.0], np.cumsum(self.words(data, starts, ends))])
+            *windows, first = _windows(data, *textscan.word_bounds(data, offsets[lo:hi + 1], _APART))
+            sums = np.concatenate([[0.0], np.cumsum(self.words(data, *windows))])
             for i, a, b in zip(range(lo, hi), first[:-1], first[1:]):
                 if b > a:
                     out[i, 0] = (sums[b] - sums[a]) / (b - a)

@@ -442,6 +442,18 @@ def test_toxic_words_and_their_unseen_forms_are_told_apart(spark):
     assert toxicity.score(frame.limit(0), model).count() == 0
 
 
+@pytest.mark.parametrize("term, letters", [("坏话", range(0x4E00, 0x4E40)), ("filth", range(ord("a"), ord("n")))])
+def test_toxic_terms_deep_inside_long_runs(spark, term, letters):
+    rng = random.Random(14)
+    run = lambda n: "".join(chr(rng.choice(letters)) for _ in range(n))
+    texts = [run(20) + (term if i % 2 else run(len(term))) + run(12) for i in range(600)]
+    frame = docs(spark, texts)
+    marks = spark.createDataFrame([(i, i % 2, i % 4 < 2) for i in range(400)], "doc_id long, toxic int, part boolean")
+    out = toxicity.score(frame, toxicity.fit(frame, marks)).where("doc_id >= 400").select("doc_id", "score").collect()
+    right = sum((r["score"] >= 0.5) == (r["doc_id"] % 2 == 1) for r in out)
+    assert len(out) == 200 and right >= 190
+
+
 def test_kneser_ney_chances_by_hand():
     f = lambda *x: np.array(x, float)
     model = toxicity.Model.of(
