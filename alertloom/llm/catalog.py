@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, fingerprints, langid, mixing, neardup, shards, substrings, topk, toxicity, warc
+from . import bpe, centroids, fingerprints, langid, mixing, neardup, shards, substrings, topk, toxicity, warc
 from .common import small_batches, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -205,3 +205,48 @@ def op3_mix_to_targets(spark: SparkSession, folder: str) -> DataFrame:
 @query("pipeline")
 def pipeline(spark: SparkSession, folder: str) -> DataFrame:
     return corpus_pipeline.run(spark, folder)
+
+
+def _rounds(n: int) -> str:
+    """CTEs p0, c1, p1, ... pn: assignments to and means of the centroids, round by round."""
+    far = "list_sum(list_transform(range(1, 65), lambda i: (v.v[i] - c.v[i]) * (v.v[i] - c.v[i])))"
+    steps = []
+    for r in range(n + 1):
+        steps.append(f"""
+    d{r} AS MATERIALIZED (
+      SELECT v.vec_id, v.row, v.v, c.cluster, {far} AS far FROM v CROSS JOIN c{r} c),
+    p{r} AS MATERIALIZED (
+      SELECT * FROM d{r} QUALIFY row_number() OVER (PARTITION BY row ORDER BY far, cluster) = 1)""")
+        if r < n:
+            steps.append(f"""
+    s{r} AS (
+      SELECT cluster, i, count(*) AS n, sum(CAST(v[i] AS HUGEINT)) AS total
+      FROM p{r}, (SELECT unnest(range(1, 65)) AS i) GROUP BY cluster, i),
+    m{r} AS (
+      SELECT cluster, list((total - ((total % n) + n) % n) // n ORDER BY i) AS v FROM s{r} GROUP BY cluster),
+    c{r + 1} AS MATERIALIZED (
+      SELECT c.cluster, CAST(coalesce(m.v, c.v) AS BIGINT[]) AS v FROM c{r} c LEFT JOIN m{r} m USING (cluster))""")
+    return ",".join(steps)
+
+
+@query(
+    "op13_centroid_clustering",
+    f"""
+    WITH v AS MATERIALIZED (
+      SELECT vec_id, row_number() OVER () AS row,
+        list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+      FROM embeddings
+      WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+    c0 AS MATERIALIZED (
+      SELECT row_number() OVER (ORDER BY sha256('3:' || vec_id), v) - 1 AS cluster, v
+      FROM v WHERE vec_id IS NOT NULL ORDER BY 1 LIMIT 8),
+    {_rounds(10)}
+    SELECT vec_id, CAST(cluster AS INTEGER) AS cluster, CAST(far AS BIGINT) AS distance,
+      CAST(sum(far) OVER (PARTITION BY cluster) AS BIGINT) AS cluster_inertia,
+      CAST(sum(far) OVER () AS BIGINT) AS inertia,
+      sha256(array_to_string(c.v, ',')) AS centroid_sha256
+    FROM p10 JOIN c10 c USING (cluster)
+    """,
+)
+def op13_centroid_clustering(spark: SparkSession, folder: str) -> DataFrame:
+    return centroids.cluster(table(spark, folder, "embeddings"), k=8, rounds=10)
