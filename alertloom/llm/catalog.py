@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, centroids, fingerprints, langid, mixing, neardup, shards, substrings, topk, toxicity, warc
+from . import bpe, centroids, fingerprints, langid, mixing, neardup, shards, substrings, topk, toxicity, variants, warc
 from .common import small_batches, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -250,3 +250,55 @@ def _rounds(n: int) -> str:
 )
 def op13_centroid_clustering(spark: SparkSession, folder: str) -> DataFrame:
     return centroids.cluster(table(spark, folder, "embeddings"), k=8, rounds=10)
+
+
+@query(
+    "op11_spelling_variants",
+    f"""
+    WITH RECURSIVE bits AS (
+      SELECT list_transform(range(256), lambda n: list_reduce(
+        list_prepend(CAST(n AS BIGINT), range(8)),
+        lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t),
+    runs AS (SELECT doc_id, unnest(regexp_extract_all({LOWER}, '[a-zÀ-ÿ]+')) AS run FROM documents),
+    tallies AS (
+      SELECT run, count(*) AS k, hex(encode(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || run)) AS x
+      FROM runs WHERE length(run) >= 6 GROUP BY doc_id, run),
+    hashed AS (
+      SELECT run, k, xor(4294967295, list_reduce(
+        list_prepend(CAST(4294967295 AS BIGINT), list_transform(range(length(x) // 2),
+          lambda i: CAST(instr('0123456789ABCDEF', x[2 * i + 1]) * 16 + instr('0123456789ABCDEF', x[2 * i + 2]) - 17
+            AS BIGINT))),
+        lambda c, b: xor(c >> 8, t[xor(c & 255, b) + 1]))) AS h
+      FROM tallies, bits),
+    spelt AS (
+      SELECT k, CASE WHEN h % 199 = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2)
+        ELSE run END AS word
+      FROM hashed),
+    v AS MATERIALIZED (
+      SELECT word, CAST(sum(k) AS BIGINT) AS n FROM spelt WHERE length(word) >= 6 GROUP BY word HAVING sum(k) >= 5),
+    parts AS (
+      SELECT word, n, unnest(list_distinct(list_append(list_transform(range(1, length(word) + 1),
+        lambda i: substr(word, 1, i - 1) || substr(word, i + 1)), word))) AS g
+      FROM v),
+    pairs AS (
+      SELECT DISTINCT a.word, a.n, b.word AS near, b.n AS near_n
+      FROM parts a JOIN parts b ON a.g = b.g AND a.word <> b.word
+      WHERE CASE length(a.word) - length(b.word) WHEN 1 THEN a.g = b.word WHEN -1 THEN a.g = a.word
+        WHEN 0 THEN list_sum(list_transform(range(1, length(a.word) + 1),
+          lambda i: CAST(substr(a.word, i, 1) <> substr(b.word, i, 1) AS INTEGER))) = 1 ELSE false END),
+    best AS (
+      SELECT word, count(*) AS n_near, first(near ORDER BY near_n DESC, near) AS near, max(near_n) AS near_n
+      FROM pairs GROUP BY word),
+    forms AS MATERIALIZED (
+      SELECT v.word, v.n, coalesce(n_near, 0) AS n_near,
+        CASE WHEN near_n >= 5 * v.n THEN near END AS form, CASE WHEN near_n >= 5 * v.n THEN near_n END AS form_n
+      FROM v LEFT JOIN best USING (word)),
+    walk AS (
+      SELECT word, word AS here FROM forms
+      UNION ALL SELECT w.word, f.form FROM walk w JOIN forms f ON f.word = w.here WHERE f.form IS NOT NULL)
+    SELECT f.word, f.form, w.here AS root, f.n, CAST(f.n_near AS BIGINT) AS n_near, f.form_n
+    FROM forms f JOIN walk w ON w.word = f.word JOIN forms l ON l.word = w.here AND l.form IS NULL
+    """,
+)
+def op11_spelling_variants(spark: SparkSession, folder: str) -> DataFrame:
+    return variants.group_variants(variants.count_words(table(spark, folder, "documents")))
