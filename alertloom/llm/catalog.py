@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, centroids, fingerprints, langid, mixing, neardup, shards, substrings, topk, toxicity, variants, warc
+from . import bpe, centroids, fingerprints, langid, lm, mixing, neardup, shards, substrings, topk, toxicity, variants, warc
 from .common import small_batches, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -302,3 +302,10 @@ def op13_centroid_clustering(spark: SparkSession, folder: str) -> DataFrame:
 )
 def op11_spelling_variants(spark: SparkSession, folder: str) -> DataFrame:
     return variants.group_variants(variants.count_words(table(spark, folder, "documents")))
+
+
+@query("op12_lm_scores")
+def op12_lm_scores(spark: SparkSession, folder: str) -> DataFrame:
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 1, F.lit(True))
+    out = lm.score(table(spark, folder, "documents"), ~held_out, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
+    return out.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")

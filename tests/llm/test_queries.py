@@ -33,9 +33,9 @@ def test_query(spark, duck, data_dir, name):
         assert got.num_rows == duck.sql("SELECT count(*) FROM documents").fetchall()[0][0]
 
 
-def test_eleven_queries():
-    assert len(catalog.QUERIES) == 11 and set(catalog.ORACLES) <= set(catalog.QUERIES)
-    assert {n.split("_")[0] for n in catalog.QUERIES} == {"pipeline", *(f"op{k}" for k in range(1, 11))}
+def test_fourteen_queries():
+    assert len(catalog.QUERIES) == 14 and set(catalog.ORACLES) <= set(catalog.QUERIES)
+    assert {n.split("_")[0] for n in catalog.QUERIES} == {"pipeline", *(f"op{k}" for k in range(1, 14))}
 
 
 def test_stages_decide_and_hand_on(spark, data_dir):
