@@ -272,23 +272,25 @@ def row_severity() -> Column:
 
 def alerts_page(rows: DataFrame, severity: str = "all", verdict: str = "all", sort_key: str = "time",
                 ascending: bool = False, page: int = 1, page_size: int = 20) -> DataFrame:
-    """One page of the filtered and sorted alert rows."""
+    """One page of the filtered and sorted alert rows; a page beyond the end is empty."""
+    if page < 1 or page_size < 1:
+        raise ValueError("page and page_size begin at 1")
     if severity != "all":
         rows = rows.filter(row_severity() == severity)
     if verdict != "all":
         rows = rows.filter(F.col("row_verdict") == verdict)
     key = F.col("risk" if sort_key == "risk" else "created_at")
-    # A page beyond the end shows the last one; the count is an aggregate, no rows are fetched.
-    pages = max(1, -(-rows.count() // page_size)) if page > 1 else 1
-    skip = (min(page, pages) - 1) * page_size
-    return rows.orderBy(key.asc() if ascending else key.desc(), "job_id").offset(skip).limit(page_size)
+    return rows.orderBy(key.asc() if ascending else key.desc(), "job_id").offset((page - 1) * page_size).limit(page_size)
 
 
 def job_page(jobs: DataFrame, reports: DataFrame, page: int = 1, page_size: int = 20) -> DataFrame:
-    """One page of the job list, newest first, with a report flag; only the page is joined."""
-    size = min(max(page_size, 1), 100)
-    skip = (max(page, 1) - 1) * size
-    items = jobs.orderBy(F.col("created_at").desc(), "id").offset(skip).limit(size)
+    """One page of the job list, newest first, with a report flag; only the page is joined.
+
+    The caller chooses the size of a page; a service that answers strangers bounds it before it calls.
+    """
+    if page < 1 or page_size < 1:
+        raise ValueError("page and page_size begin at 1")
+    items = jobs.orderBy(F.col("created_at").desc(), "id").offset((page - 1) * page_size).limit(page_size)
     return with_report_flag(items, reports).orderBy(F.col("created_at").desc(), "id")
 
 

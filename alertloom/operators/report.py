@@ -90,8 +90,8 @@ def summary(e: dict[str, Column], risk: Column, severity: Column) -> Column:
             F.when(analysis.isNotNull(), F.concat(
                 F.lit("- Email analyst: "), analysis["status"],
                 F.format_string(" (confidence %.2f) — ", analysis["confidence"]), analysis["summary"])),
-            F.when(F.size(activity) > 0, F.concat(
-                F.lit("- Correlated CloudTrail events: "), _str(F.size(activity)), F.lit(" (source IP matches an IOC)"))),
+            F.when(e["activity_total"] > 0, F.concat(
+                F.lit("- Correlated CloudTrail events: "), _str(e["activity_total"]), F.lit(" (source IP matches an IOC)"))),
         ),
         F.array(
             F.lit(""),

@@ -366,7 +366,7 @@ EVIDENCE_CTE = f"""{LOG_CTE}, {ITEM_CTE}, {INTEL_CTE}, {TIER1_CTE}, {_SEEDED}, {
   joined AS (SELECT job_id, pos, i.type, i.value, source, score, live FROM iocs i LEFT JOIN intel USING (type, value)),
   per_job AS (SELECT job_id, count(DISTINCT (type, value)) AS n_iocs, count(source) AS n_intel, max(score) AS max_intel,
     bool_or(type = 'Url') AS has_url FROM joined GROUP BY job_id),
-  per_act AS (SELECT job_id, count(*) AS n_activity FROM near GROUP BY job_id)"""
+  per_act AS (SELECT job_id, count(*) AS n_activity FROM (SELECT DISTINCT job_id, value FROM iocs WHERE type = 'Ip') i JOIN acts ON acts.source_ip = i.value GROUP BY job_id)"""
 
 
 def bundles(t: Lens) -> DataFrame:
@@ -374,7 +374,8 @@ def bundles(t: Lens) -> DataFrame:
     empty = t.spark.createDataFrame([], "job_id string, type string, value string")
     found = iocs.seed(item_iocs(t), empty)
     near = correlate.correlate_activity(found, item_activity(t), tie_break="event_id")
-    return correlate.evidence_bundles(suspicious_jobs(t), tier1_rows(t), found, part_intel(t), near)
+    totals = correlate.activity_totals(found, item_activity(t))
+    return correlate.evidence_bundles(suspicious_jobs(t), tier1_rows(t), found, part_intel(t), near, totals=totals)
 
 
 @query("j10_evidence_bundles", f"""WITH {EVIDENCE_CTE} SELECT tier1.job_id, file_type AS artifact_type, verdict AS tier1_verdict, risk_score AS rule_score,
@@ -386,7 +387,7 @@ def _(t):
     return bundles(t).select(
         "job_id", "artifact_type", "tier1_verdict", "rule_score", F.size("matched_rules").alias("n_rules"), F.size("iocs").alias("n_iocs"),
         F.aggregate("iocs", F.lit(0), lambda n, i: n + F.size(i["intel"])).alias("n_intel"),
-        max_intel(F.col("iocs")).alias("max_intel"), F.size("activity").alias("n_activity"), F.size("similar").alias("n_similar"),
+        max_intel(F.col("iocs")).alias("max_intel"), F.col("activity_total").cast("int").alias("n_activity"), F.size("similar").alias("n_similar"),
     )
 
 

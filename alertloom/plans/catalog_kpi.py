@@ -172,10 +172,10 @@ def _(t):
     return K.stats(t.jobs, t.reports, now()).select("total_jobs", "total_reports", "critical_high", "avg_risk_score", "last_24h_jobs")
 
 
-@query("k19_job_page", f"""WITH {JOB_CTE}, {REPORT_CTE}, p AS (SELECT id, status, created_at FROM jobs ORDER BY created_at DESC, id LIMIT 50 OFFSET 100)
+@query("k19_job_page", f"""WITH {JOB_CTE}, {REPORT_CTE}, p AS (SELECT id, status, created_at FROM jobs ORDER BY created_at DESC, id LIMIT 150 OFFSET 150)
   SELECT id, status, CAST((id IN (SELECT job_id FROM reports)) AS INT) AS has_report FROM p""")
 def _(t):
-    return K.job_page(t.jobs, t.reports, page=3, page_size=50).select("id", "status", F.col("has_report").cast("int").alias("has_report"))
+    return K.job_page(t.jobs, t.reports, page=2, page_size=150).select("id", "status", F.col("has_report").cast("int").alias("has_report"))
 
 
 _IDX = "greatest(coalesce(list_position([" + ", ".join(f"'{s}'" for s in STEP_ORDER) + "], current_step), 1) - 1, 0)::INT"

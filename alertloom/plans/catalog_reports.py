@@ -7,9 +7,11 @@ from pyspark.sql import functions as F
 
 from ..functions import prompts, responses, scoring, vectors
 from ..functions.email import TRUNCATED
+from ..operators import incident_vectors as V
 from ..operators import phishing_model as M
 from ..operators import report, similarity
-from ..session import materialize
+from ..operators.similar_index import SimilarIndex
+from ..session import materialize, scratch_path
 from .catalog_email import _KEYWORD_LIST, _TXT, MAIL_CTE
 from .catalog_intel import EVIDENCE_CTE, bundles, tier1_rows
 from .lens import REPORT_CTE, Lens, query
@@ -323,15 +325,81 @@ def _(t):
     return similarity.top_similar(_vectors(t, "query_id"), _vectors(t, "id"), 3)
 
 
-@query("m6_similar_incidents", f"""WITH {REPORT_CTE}, o AS (SELECT *, CAST(job_id AS BIGINT) AS j FROM reports), s AS (SELECT a.vec_id AS query_id, b.vec_id AS id, round({_COS}, 6) AS similarity FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id),
-  r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, id) AS rn FROM s)
-  SELECT query_id, id, similarity, o.severity, o.risk_score, o.summary AS excerpt FROM r JOIN o ON o.j = r.id WHERE rn <= 3""")
+@query("m6_similar_incidents", f"""WITH {REPORT_CTE}, o AS (SELECT *, CAST(job_id AS BIGINT) AS j FROM reports),
+  s AS (SELECT a.vec_id AS query_id, b.vec_id AS id, round({_COS}, 6) AS similarity, o.severity, o.risk_score, o.summary AS excerpt
+    FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id JOIN o ON o.j = b.vec_id)
+  SELECT query_id, id, similarity, severity, risk_score, excerpt FROM s QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, id) <= 3""")
 def _(t):
-    found = similarity.top_similar(_vectors(t, "query_id"), _vectors(t, "id"), 3)
+    """Every vector searches the stored index of the incidents that have a report."""
     reports = t.reports.withColumn("report_id", F.col("job_id").cast("bigint"))
+    corpus = _vectors(t, "id").join(reports.select(F.col("report_id").alias("id")), "id", "left_semi")
+    index = SimilarIndex(t.spark, scratch_path(t.spark, "incident-index"))
+    index.create(corpus)
+    index.append(corpus, 0)
+    found = index.search(_vectors(t, "query_id"), 3)
     return similarity.attach_reports(found, reports, tier1_rows(t)).select("query_id", "id", "similarity", "severity", "risk_score", "excerpt")
 
 
+_M4_TEXT = """texts AS (SELECT job_id, CASE WHEN vals IS NULL THEN verdict ELSE concat(verdict, chr(10), 'IOCs: ', vals) END AS text FROM tier1
+  LEFT JOIN (SELECT job_id, string_agg(value, ', ' ORDER BY pos, type, value) AS vals FROM iocs GROUP BY job_id) USING (job_id))"""
+_M5_TEXT = """questions AS (SELECT job_id, concat_ws(chr(10), array_to_string(matched_rules, chr(10)), vals) AS text FROM tier1
+  LEFT JOIN (SELECT job_id, string_agg(value, chr(10) ORDER BY pos, type, value) AS vals FROM iocs GROUP BY job_id) USING (job_id))"""
+
+
+def _buckets(texts: str, out: str) -> str:
+    """Signed counts (job_id, b, x) per bucket of the texts."""
+    return f"""{out} AS (SELECT job_id, CAST('0x' || substr(md5(term), 1, 8) AS BIGINT) % {V.DIMS} AS b,
+      sum(CASE WHEN substr(md5(term), 9, 1) >= '8' THEN -1 ELSE 1 END) AS x, count(*) AS n
+    FROM (SELECT job_id, unnest(regexp_extract_all(lower(text), '{V.TERM}')) AS term FROM {texts}) GROUP BY ALL)"""
+
+
+def _weighted(buckets: str, out: str) -> str:
+    """Unit vectors (job_id, b, w), their bucket weights fitted on the stored texts."""
+    return f"""{out} AS (SELECT job_id, b, w / sqrt(sum(w * w) OVER (PARTITION BY job_id)) AS w
+    FROM (SELECT job_id, b, x * (ln((1 + (SELECT count(*) FROM texts)) / (1 + coalesce(df, 0))) + 1) AS w
+      FROM {buckets} LEFT JOIN (SELECT b, count(*) AS df FROM stored_buckets GROUP BY b) d USING (b)) WHERE w <> 0)"""
+
+
+_VECTOR_CTE = f"{_EV}, {_M4_TEXT}, {_buckets('texts', 'stored_buckets')}, {_weighted('stored_buckets', 'stored_vectors')}"
+
+
+def _stored_texts(t: Lens) -> tuple[DataFrame, DataFrame]:
+    """(job_id, text) that is stored and that is asked for, of the suspicious jobs."""
+    b = materialize(bundles(t).select("job_id", "tier1_verdict", "matched_rules", F.transform("iocs", lambda i: i["value"]).alias("values")), "incident-texts")
+    stored = b.select("job_id", similarity.index_text(F.col("tier1_verdict"), F.col("values")).alias("text"))
+    asked = b.select("job_id", similarity.retrieval_text(F.col("matched_rules"), F.col("values"), F.lit(" ")).alias("text"))
+    return stored, asked
+
+
+@query("u2_incident_vectors", f"{_VECTOR_CTE} SELECT job_id, CAST(b AS INT) AS bucket, round(w, 6) AS weight FROM stored_vectors")
+def _(t):
+    """From index text to unit vectors: all buckets that are not 0."""
+    texts, _ = _stored_texts(t)
+    model = V.fit(texts)
+    out = model.vectors(texts, "job_id")
+    return out.select("job_id", F.posexplode("embedding").alias("bucket", "w")).where("w <> 0").select("job_id", "bucket", F.round("w", 6).alias("weight"))
+
+
+@query("m6_retrieved_incidents", f"""{_VECTOR_CTE}, {_M5_TEXT}, {_buckets('questions', 'asked_buckets')}, {_weighted('asked_buckets', 'asked')},
+  hits AS (SELECT a.job_id AS q, s.job_id AS id, sum(a.w * s.w) AS c FROM asked a JOIN stored_vectors s ON a.b = s.b AND a.job_id <> s.job_id GROUP BY ALL),
+  pairs AS (SELECT q.job_id AS query_id, i.job_id AS id, round(coalesce(c, 0), 6) + 0.0 AS similarity
+    FROM questions q JOIN texts i ON q.job_id <> i.job_id LEFT JOIN hits ON hits.q = q.job_id AND hits.id = i.job_id)
+  SELECT query_id, id, similarity, CAST(row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, id) AS INT) AS rn
+  FROM pairs QUALIFY rn <= 3""")
+def _(t):
+    """The whole way: texts of two batches become vectors in the stored index, every job asks with its rules and indicators."""
+    stored, asked = _stored_texts(t)
+    model = V.fit(stored)
+    index = SimilarIndex(t.spark, scratch_path(t.spark, "incident-index"))
+    rows = model.vectors(stored, "job_id").select(F.col("job_id").alias("id"), F.col("job_id").alias("owner"), "embedding")
+    index.create(rows)
+    half = F.pmod(F.xxhash64("id"), F.lit(2))
+    index.append(rows.where(half == 0), 0)
+    index.append(rows.where(half == 1), 1)
+    questions = model.vectors(asked, "job_id").select(F.col("job_id").alias("query_id"), F.col("job_id").alias("owner"), "embedding")
+    return index.search(questions, 3)
+
+
 _SCORE = "(doc_id % 100) / 100.0::DOUBLE"
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
 
@@ -123,9 +124,12 @@ class Tier2:
 
 def tier2(jobs: DataFrame, tier1_results: DataFrame, cache: DataFrame, feed: DataFrame, activity: DataFrame,
           at: Column, email_responses: DataFrame | None = None, synthesis_responses: DataFrame | None = None,
-          similar: DataFrame | None = None, require_email_analysis: bool = False) -> Tier2:
+          similar: DataFrame | Callable[..., DataFrame] | None = None,
+          require_email_analysis: bool = False, max_activity: int = correlate.MAX_ACTIVITY) -> Tier2:
     """Indicators, intel, correlation and reports of the suspicious jobs of a batch.
 
+    ``similar`` has (job_id, similar), or is a function that finds it for (pending, iocs, analyses). The
+    newest ``max_activity`` log rows of a job are listed; all of them are counted.
     Without model answers every job gets a deterministic report. With ``require_email_analysis`` mails
     without a usable analysis fail instead; jobs that fail are returned with their message.
     """
@@ -145,11 +149,12 @@ def tier2(jobs: DataFrame, tier1_results: DataFrame, cache: DataFrame, feed: Dat
     # Both are stored and read by correlation and reports: computed once.
     found = materialize(found, "tier2-iocs")
     looked_up = materialize(intel.enrich(found, cache, feed, at), "tier2-intel")
-    events = correlate.correlate_activity(found, activity)
+    events = correlate.correlate_activity(found, activity, max_activity)
+    near = similar(pending, found, analyses) if callable(similar) else similar
     bundles = correlate.evidence_bundles(
         jobs.join(pending.select(F.col("job_id").alias("id")), "id", "left_semi")
         .join(failed.select(F.col("job_id").alias("id")), "id", "left_anti"),
-        pending, found, looked_up, events, similar, analyses,
+        pending, found, looked_up, events, near, analyses, correlate.activity_totals(found, activity),
     )
     if synthesis_responses is None:
         reports = report.deterministic_reports(bundles, at)

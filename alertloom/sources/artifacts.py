@@ -87,12 +87,13 @@ def with_reject_reason(artifacts: DataFrame) -> DataFrame:
     )
 
 
-def split_intake(artifacts: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(accepted, quarantined). Quarantined rows keep their reason and drop the content."""
+def split_intake(artifacts: DataFrame, keep_content: bool = True) -> tuple[DataFrame, DataFrame]:
+    """(accepted, quarantined). Quarantined rows keep their reason, and their content unless the caller drops it."""
     checked = with_reject_reason(artifacts)
+    refused = checked.filter(F.col("reject_reason").isNotNull())
     return (
         checked.filter(F.col("reject_reason").isNull()).drop("reject_reason"),
-        checked.filter(F.col("reject_reason").isNotNull()).drop("content"),
+        refused if keep_content else refused.drop("content"),
     )
 
 

@@ -17,7 +17,8 @@ def limit_breaches(access: DataFrame, limit: int, width: str = "60 seconds", tim
     """Windows in which an address exceeded its number of requests: (window_start, ip, n, rejected).
 
     Works on a stream and on a table. Counting combines before the shuffle, so a busy address costs
-    one row per task and window.
+    one row per task and window. A stream in update mode tells a breach as soon as it happens and again whenever its
+    count grows, see ``latest``; in append mode a window comes once, when the watermark has passed it.
     """
     source = access.withWatermark(time, WATERMARK) if access.isStreaming else access
     counted = source.groupBy(F.window(time, width).alias("w"), F.col(ip).alias("source_ip")).agg(
@@ -28,6 +29,11 @@ def limit_breaches(access: DataFrame, limit: int, width: str = "60 seconds", tim
     )
 
 
+def latest(told: DataFrame) -> DataFrame:
+    """The last word on each window from the rows a stream told in update mode: counts only grow."""
+    return told.groupBy("window_start", "source_ip").agg(F.max("n").alias("n"), F.max("rejected").alias("rejected"))
+
+
 def rejected_requests(access: DataFrame, limit: int, seconds: int = 60, time: str = "ts",
                       ip: str = "source_ip", tie_break: str = "event_id") -> DataFrame:
     """The requests beyond the limit themselves (tables only): all but the first ones of their window.

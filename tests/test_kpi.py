@@ -1,5 +1,6 @@
 import datetime as dt
 
+import pytest
 from pyspark.sql import functions as F
 
 from alertloom.functions import scoring
@@ -52,9 +53,14 @@ def test_tactic_fallbacks(spark):
 
 
 def test_page_and_states(spark):
-    page = K.job_page(jobs(spark), reports(spark), page=0, page_size=2).collect()
+    page = K.job_page(jobs(spark), reports(spark), page=1, page_size=2).collect()
     assert [(r.id, r.has_report) for r in page] == [("q", False), ("a", False)]
     assert K.job_page(jobs(spark), reports(spark), page=2, page_size=1000).count() == 0
+    with pytest.raises(ValueError):
+        K.job_page(jobs(spark), reports(spark), page=0)
+    many = spark.range(150).select(
+        F.col("id").cast("string").alias("id"), F.lit("Eml").alias("file_type"), F.lit(T0).cast("timestamp").alias("created_at"))
+    assert K.job_page(many, reports(spark), page_size=140).count() == 140
     asked = spark.createDataFrame([("d1",), ("f",), ("q",), ("nope",)], "id string")
     assert {r.id: r.state for r in K.report_states(asked, jobs(spark), reports(spark)).collect()} == {
         "d1": "ready", "f": "failed", "q": "pending", "nope": "missing"}
@@ -89,7 +95,7 @@ def test_rows_and_pages(spark):
     assert (got["d2"].row_verdict, got["q"].row_verdict, got["f"].view_status) == ("MALICIOUS", "SAFE", "failed")
     assert [r.job_id for r in K.alerts_page(rows, sort_key="risk", page_size=2).collect()] == ["d1", "d2"]
     assert [r.job_id for r in K.alerts_page(rows, severity="low", ascending=True).collect()] == ["f", "a", "q"]
-    assert K.alerts_page(rows, page=99, page_size=2).count() == 1
+    assert K.alerts_page(rows, page=99, page_size=2).count() == 0
     assert K.findings_of_trace(findings, "Email Analyst").count() == 1 and K.findings_of_trace(findings, "Other").count() == 0
     r = K.risk_histogram(reports(spark)).first()
     assert [r[f"bin_{i}"] for i in range(5)] == [1, 0, 0, 1, 1]
