@@ -198,7 +198,7 @@ def has_ip_url(text: Column | str) -> Column:
 
 def sender_address(from_header: Column | str) -> Column:
     """First e-mail address in a From value, else null."""
-    return F.nullif(F.regexp_extract(as_col(from_header), network.EMAIL, 0), F.lit(""))
+    return F.nullif(F.regexp_extract(as_col(from_header), network.FAST_EMAIL, 2), F.lit(""))
 
 
 def sender_domain(address: Column | str) -> Column:

@@ -82,3 +82,41 @@ def test_version_six_addresses_against_a_validator(spark):
     df = spark.createDataFrame([(t, broad.sub(check, t)) for t in texts], "t string, want string")
     bad = df.select("t", "want", redact("t", "ipv6").alias("got")).filter("want <> got").limit(5).collect()
     assert bad == []
+
+
+def test_addresses_are_found_as_the_plain_pattern_finds_them(spark):
+    import random
+
+    from pyspark.sql import functions as F
+
+    from alertloom.functions import network
+
+    rng = random.Random(13)
+    alphabet = list("aZ9._%+-@@@.. ,éß_\n") + ["a@b.co", "x.y@z-1.org", "com", "@a.bc"]
+    texts = ["".join(rng.choices(alphabet, k=rng.randrange(30))) for _ in range(4000)]
+    texts += ["a@b.com.x@y.org", "..abc@d.ef", "éabc@d.ef", "é-abc@d.ef", "a@b.c", "a@b.com_", "a@b@c.de", "", "a@b.comé f@g.hi"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    rows = df.select(
+        "t", F.regexp_replace("t", F.lit(network.EMAIL), F.lit("[E]")).alias("want"),
+        F.regexp_replace("t", F.lit(network.FAST_EMAIL), F.lit("$1[E]")).alias("got"),
+        F.regexp_extract("t", network.EMAIL, 0).alias("first"), F.regexp_extract("t", network.FAST_EMAIL, 2).alias("fast"),
+        F.regexp_extract_all("t", F.lit(network.DOMAIN), F.lit(0)).alias("names"), network.all_domains("t").alias("fast_names"),
+    ).collect()
+    for r in rows:
+        assert (r.got, r.fast, r.fast_names) == (r.want, r.first, r.names), r.t
+    assert sum("[E]" in r.want for r in rows) > 500
+
+
+def test_hostile_megabytes_take_linear_time(spark):
+    import time
+
+    from pyspark.sql import functions as F
+
+    from alertloom.functions import email, network, pii
+
+    for text, names in (("a." * 5_000_000, 500_000), ("a" * 5_000_000, None), ("-" * 2_000_000, None), ("é" + "a" * 2_000_000, None), ("a@" * 2_000_000, None), ("a@b." * 500_000, 500_000)):
+        start = time.time()
+        df = spark.createDataFrame([(text,)], "t string").select(
+            F.length(pii.scrub("t")).alias("n"), email.sender_address("t").alias("s"), F.size(network.all_domains(F.substring("t", 1, names or len(text)))).alias("d"))
+        assert df.first()["n"] > 0
+        assert time.time() - start < 60
