@@ -158,6 +158,17 @@ def _next(vectors: DataFrame, centroids: list[list[int]], dims: int) -> list[lis
     return out
 
 
+def _starts(usable: DataFrame, k: int, salt: str) -> list[list[int]]:
+    """The vectors of the k smallest hashes. A bound on the first digits keeps what tasks send to about 4 k vectors."""
+    hashed = usable.where("id is not null").withColumn("h", F.sha2(F.concat(F.lit(salt), F.col("id").cast("string")), 256))
+    n = hashed.count()
+    for bound in (f"{min((1 << 32) - 1, (4 * k + 64) * (1 << 32) // max(n, 1)):08x}", "g"):
+        found = hashed.where(F.substring("h", 1, 8) <= bound).orderBy("h", "v").limit(k).select("v").collect()
+        if len(found) == min(k, n):
+            break
+    return [list(r["v"]) for r in found]
+
+
 def cluster(vectors: DataFrame, k: int = 8, rounds: int = 10, scale: int = 1024, dims: int = 64, salt: str = "3:",
             id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """(id, cluster, distance, cluster_inertia, inertia, centroid_sha256) of every vector that takes part."""
@@ -166,9 +177,7 @@ def cluster(vectors: DataFrame, k: int = 8, rounds: int = 10, scale: int = 1024,
     usable = materialize(
         vectors.select(F.col(id_col).alias("id"), quantised(F.col(vector_col), scale).alias("v"))
         .where(F.size("v") == dims), "centroids-vectors")
-    starts = usable.where("id is not null").orderBy(
-        F.sha2(F.concat(F.lit(salt), F.col("id").cast("string")), 256), "v").limit(k)
-    centroids = [list(r["v"]) for r in starts.collect()]
+    centroids = _starts(usable, k, salt)
     for _ in range(rounds if centroids else 0):
         moved = _next(usable, centroids, dims)
         if moved == centroids:
