@@ -7,10 +7,11 @@ from pyspark.sql import functions as F
 
 from ..session import materialize, scratch_path, spread
 from ..sources import sinks
+from ..streaming import job_states as J
 from ..streaming import windows
 from . import stages, triage
 from .catalog_email import _REPORT
-from .lens import JOB_CTE, LOG_CTE, REPORT_CTE, Lens, epoch_seconds, query
+from .lens import JOB_CTE, LOG_CTE, MAIL_EXPRS, REPORT_CTE, Lens, epoch_seconds, query
 
 
 def stream_of(t: Lens, table: str) -> DataFrame:
@@ -68,6 +69,28 @@ def _(t):
     return done.select("job_id", "risk_score", F.size("matched_rules").alias("n_rules"), "verdict")
 
 
+@query("t1_both_tiers", f"""{_REPORT}, both_tiers AS (SELECT artifact_id AS job_id, len(rules) > 0 AS bad FROM s JOIN (SELECT {MAIL_EXPRS['from_header']} AS from_header, doc_id FROM documents) ON artifact_id = CAST(doc_id AS STRING) WHERE from_header IS NOT NULL)
+  SELECT job_id, 'Done' AS status, CASE WHEN bad THEN 'done' ELSE 'tier1.done' END AS current_step, CAST(bad AS INT) AS reported, CAST(bad AS INT) AS stored, CAST(bad AS INT) AS prompts FROM both_tiers""")
+def _(t):
+    """The whole of ``process_batch``: mails arrive as files do, suspicious ones get intel, a report, a prompt and a vector."""
+    from ..streaming.triage_stream import JOBS, process_batch
+    root = scratch_path(t.spark, "both-tiers")
+    arriving = _StreamLens(t.spark, t.folder).raw_mails.select(
+        "artifact_id", F.concat("artifact_id", F.lit(".eml")).alias("file_name"), F.lit(".eml").alias("extension"), F.lit("Eml").alias("file_type"),
+        F.concat(F.lit("documents/"), "artifact_id").alias("path"), F.lit("2024-01-01").cast("timestamp").alias("created_at"),
+        F.octet_length("raw").cast("long").alias("length"), F.encode("raw", "UTF-8").alias("content"))
+    q = (
+        arriving.writeStream.foreachBatch(lambda batch, batch_id: process_batch(spread(batch), batch_id, root, None))
+        .option("checkpointLocation", scratch_path(t.spark, "both-tiers-checkpoint")).trigger(availableNow=True).start()
+    )
+    q.awaitTermination()
+    out = sinks.read_table(t.spark, root, "jobs", JOBS).select(F.col("id").alias("job_id"), "status", "current_step")
+    for name, table, rows in (("reported", "reports", "true"), ("stored", "incident_embeddings", "true"), ("prompts", "prompts", "kind = 'synthesis'")):
+        found = sinks.read_table(t.spark, root, table, "job_id string, kind string").where(rows).groupBy("job_id").agg(F.count("*").cast("int").alias(name))
+        out = out.join(found, "job_id", "left").fillna(0, [name])
+    return out
+
+
 @query("t2_redelivery", f"""WITH {JOB_CTE}, {REPORT_CTE} SELECT id, CASE WHEN current_step = 'tier2.synthesis_pending' THEN 'tier2.synthesis'
   WHEN file_type = 'Eml' THEN 'tier2.email_analysis' ELSE 'tier2.threat_intel' END AS enter_at FROM jobs
   WHERE status = 'Analyzing' AND id NOT IN (SELECT job_id FROM reports)""")
@@ -120,6 +143,61 @@ def _(t):
     return t.jobs.select("id", F.size(stages.path_for("file_type")).alias("n_steps"), stages.next_step("current_step").alias("next_step"))
 
 
+_EMAIL_OK = '{"status":"Phishing","confidence":0.9,"summary":"lure"}'
+_REPORT_OK = """```json
+{"risk_score":6.0,"severity":"High","summary_markdown":"s","summary":"s","mitre_techniques":["T1566"],"recommended_actions":["a"],"evidence_trail":[{"claim":"c","source":"s"}]}
+```"""
+_REPORT_BAD = _REPORT_OK.replace("High", "Low")
+# What a job gets by its number: (kind, answer, minutes after the job, batch). Batch 1 holds the jobs, but for case 4.
+_ANSWERS = {
+    1: [("email_analysis", _EMAIL_OK, 5, 2), ("synthesis", _REPORT_OK, 10, 2)],
+    2: [("email_analysis", "no idea", 5, 2), ("email_analysis", _EMAIL_OK, 10, 2), ("synthesis", _REPORT_BAD, 20, 3), ("synthesis", _REPORT_OK, 25, 3)],
+    3: [("email_analysis", "{", 5, 2), ("email_analysis", "", 6, 3), ("synthesis", "{}", 5, 2), ("synthesis", _REPORT_BAD, 6, 3)],
+    4: [("email_analysis", _EMAIL_OK, -2, 1), ("synthesis", _REPORT_OK, -1, 1)],
+    5: [("email_analysis", _EMAIL_OK, 5, 2)],
+    6: [("email_analysis", _EMAIL_OK, 5, 2), ("synthesis", _REPORT_BAD, 10, 3)],
+    7: [("email_analysis", _EMAIL_OK, 90, 3), ("synthesis", _REPORT_OK, 91, 3)],
+}
+
+
+@query("t5_resume", f"""WITH {JOB_CTE}, j AS (SELECT id, CAST(id AS BIGINT) % 8 AS k, file_type = 'Eml' AS mail FROM jobs)
+  SELECT id AS job_id, CASE WHEN k IN (1, 2, 4) THEN 'done' ELSE 'tier2.failed' END AS step,
+  CAST(CASE WHEN k IN (0, 7) THEN 1 WHEN k = 1 OR k = 4 OR k = 5 THEN CASE WHEN mail THEN 2 ELSE 1 END WHEN k = 2 THEN CASE WHEN mail THEN 4 ELSE 2 END
+    WHEN k = 3 THEN 2 ELSE CASE WHEN mail THEN 3 ELSE 2 END END AS BIGINT) AS prompts,
+  CASE WHEN k IN (1, 2, 4) THEN NULL WHEN k = 3 THEN CASE WHEN mail THEN 'No usable email analysis.' ELSE 'No answer satisfied the report contract.' END
+    WHEN k IN (0, 7) AND mail THEN 'No answer for email_analysis in time.' ELSE 'No answer for synthesis in time.' END AS error_message
+  FROM j""")
+def _(t):
+    """Jobs wait for answers that come in later batches, earlier, twice, broken, too late or never; jobs are redelivered."""
+    k = F.col("job_id").cast("bigint") % 8
+    jobs = t.jobs.select(F.col("id").alias("job_id"), "file_type", (
+        F.lit("2024-01-01").cast("timestamp") + F.make_dt_interval(secs=F.col("id").cast("bigint") % 60)).alias("created_at"))
+    path = scratch_path(t.spark, "messages")
+    def batch(n: int) -> DataFrame:
+        asked = J.job_messages(jobs if n == 2 else jobs.where(k != 4) if n == 1 else jobs.limit(0))
+        for kind in ("email_analysis", "synthesis"):
+            given = F.array().cast("array<struct<response:string,minutes:int>>")
+            for case, answers in _ANSWERS.items():
+                mine = [F.struct(F.lit(text).alias("response"), F.lit(m).alias("minutes")) for c, text, m, b in answers if (c, b) == (kind, n)]
+                given = F.when(k == case, F.array(*mine) if mine else given).otherwise(given) if mine else given
+            rows = jobs.select("job_id", "created_at", F.explode(given).alias("a")).select(
+                "job_id", "a.response", (F.col("created_at") + F.make_dt_interval(mins=F.col("a.minutes"))).alias("at"))
+            asked = asked.unionByName(J.answer_messages(rows, kind))
+        return asked
+    for n in (1, 2, 3):
+        batch(n).write.parquet(f"{path}/{n}")
+    # Time goes on: a later message lets the watermark pass the last deadlines.
+    J.job_messages(jobs.select(F.lit("later").alias("job_id"), "file_type", F.lit("2024-01-02").cast("timestamp").alias("created_at")).limit(1)).write.parquet(f"{path}/4")
+    moves = scratch_path(t.spark, "moves")
+    checkpoint = scratch_path(t.spark, "moves-checkpoint")
+    for n in (1, 2, 3, 4):  # the stream is stopped after every batch and resumes from its checkpoint
+        seen = "{" + ",".join(map(str, range(1, n + 1))) + "}"
+        stream = t.spark.readStream.schema(J.MESSAGE).parquet(f"{path}/{seen}")
+        q = J.run_jobs(stream).writeStream.format("parquet").option("path", moves).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+        q.awaitTermination()
+    return J.current_states(t.spark.read.schema(J.MOVE).parquet(moves)).where("job_id <> 'later'")
+
+
 _LIMIT = 2
 
 

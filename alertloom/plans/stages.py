@@ -61,16 +61,23 @@ def after_tier1(jobs: DataFrame, tier1_results: DataFrame, at: Column) -> DataFr
     )
 
 
-def after_tier2(jobs: DataFrame, reports: DataFrame, failed: DataFrame, at: Column) -> DataFrame:
-    """New state of jobs of the second tier."""
+def after_tier2(jobs: DataFrame, reports: DataFrame, failed: DataFrame, at: Column,
+                waiting: DataFrame | None = None) -> DataFrame:
+    """New state of jobs of the second tier; ``waiting`` (job_id) are those whose synthesis is to come."""
     joined = jobs.join(
         reports.select(F.col("job_id").alias("id"), F.lit(True).alias("reported")), "id", "left"
     ).join(failed.select(F.col("job_id").alias("id"), F.col("error_message").alias("failure")), "id", "left")
+    if waiting is None:
+        waits = F.lit(False)
+    else:
+        joined = joined.join(waiting.select(F.col("job_id").alias("id"), F.lit(True).alias("waits")), "id", "left")
+        waits = F.coalesce("waits", F.lit(False))
     ok, bad = F.col("reported"), F.col("failure").isNotNull()
     return joined.select(*[
         {
             "status": F.when(ok, "Done").when(bad, "Failed").otherwise(F.col("status")),
-            "current_step": F.when(ok, "done").when(bad, "tier2.failed").otherwise(F.col("current_step")),
+            "current_step": F.when(ok, "done").when(bad, "tier2.failed")
+            .when(waits, "tier2.synthesis_pending").otherwise(F.col("current_step")),
             "error_message": F.coalesce("failure", "error_message"),
             "finished_at": F.when(ok | bad, at).otherwise(F.col("finished_at")),
         }.get(c, F.col(c)).alias(c)

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.email import header, parse_eml, tool_output_json
 from ..functions.pii import scrub
-from ..functions.prompts import email_prompt
+from ..functions.prompts import email_prompt, synthesis_prompt
 from ..functions.scoring import ML_THRESHOLD
 from ..operators import correlate, intel, iocs, report
 from ..operators.email_checks import email_reports
@@ -108,6 +108,12 @@ def analyst_prompts(tier1_results: DataFrame) -> DataFrame:
     return m.select("job_id", email_prompt("scrubbed_payload", "matched_rules", tools).alias("prompt"))
 
 
+def synthesis_prompts(bundles: DataFrame) -> DataFrame:
+    """(job_id, prompt) for the final report of the jobs of a batch, similar incidents beside the evidence."""
+    evidence = F.to_json(F.struct(*[F.col(c) for c in bundles.columns if c != "similar"]))
+    return bundles.select("job_id", synthesis_prompt(evidence, F.col("similar")).alias("prompt"))
+
+
 def pending_tier2(tier1_results: DataFrame) -> DataFrame:
     return tier1_results.filter(F.col("verdict") == "Suspicious")
 
@@ -120,6 +126,7 @@ class Tier2:
     bundles: DataFrame
     reports: DataFrame
     failed: DataFrame
+    waiting: DataFrame
 
 
 def tier2(jobs: DataFrame, tier1_results: DataFrame, cache: DataFrame, feed: DataFrame, activity: DataFrame,
@@ -130,8 +137,10 @@ def tier2(jobs: DataFrame, tier1_results: DataFrame, cache: DataFrame, feed: Dat
 
     ``similar`` has (job_id, similar), or is a function that finds it for (pending, iocs, analyses). The
     newest ``max_activity`` log rows of a job are listed; all of them are counted.
-    Without model answers every job gets a deterministic report. With ``require_email_analysis`` mails
-    without a usable analysis fail instead; jobs that fail are returned with their message.
+    Without model answers every job gets a deterministic report. Where answers are given, mails whose attempts are all
+    unusable fail, as do jobs of which no synthesis attempt is; jobs that nobody has answered yet are returned as
+    waiting for their synthesis. With ``require_email_analysis`` mails without an answer fail as well. Jobs that fail
+    are returned with their message.
     """
     spark = jobs.sparkSession
     pending = pending_tier2(tier1_results)
@@ -142,9 +151,11 @@ def tier2(jobs: DataFrame, tier1_results: DataFrame, cache: DataFrame, feed: Dat
         outcomes = report.analysis_outcomes(email_responses)
         analyses = outcomes.filter("outcome = 'accepted'").select("job_id", "analysis")
         found = iocs.merge_model_iocs(found, iocs.analysis_iocs(analyses))
+        refused = pending.join(outcomes.filter("outcome = 'failed'").select("job_id"), "job_id", "left_semi")
+        failed = failed.unionByName(refused.select("job_id", F.lit("No usable email analysis.").alias("error_message")))
     if require_email_analysis:
         mails = pending.filter(F.col("artifact_type") == "Eml").select("job_id")
-        lacking = mails if analyses is None else mails.join(analyses.select("job_id"), "job_id", "left_anti")
+        lacking = mails if analyses is None else mails.join(outcomes.select("job_id"), "job_id", "left_anti")
         failed = failed.unionByName(lacking.withColumn("error_message", F.lit("No usable email analysis.")))
     # Both are stored and read by correlation and reports: computed once.
     found = materialize(found, "tier2-iocs")
@@ -156,6 +167,7 @@ def tier2(jobs: DataFrame, tier1_results: DataFrame, cache: DataFrame, feed: Dat
         .join(failed.select(F.col("job_id").alias("id")), "id", "left_anti"),
         pending, found, looked_up, events, near, analyses, correlate.activity_totals(found, activity),
     )
+    waiting = bundles.select("job_id").limit(0)
     if synthesis_responses is None:
         reports = report.deterministic_reports(bundles, at)
     else:
@@ -163,4 +175,5 @@ def tier2(jobs: DataFrame, tier1_results: DataFrame, cache: DataFrame, feed: Dat
         reports = outcomes.filter("outcome = 'accepted'").select("job_id", "report.*").withColumn("created_at", at)
         failed = failed.unionByName(outcomes.filter("outcome = 'failed'").select(
             "job_id", F.lit("No answer satisfied the report contract.").alias("error_message")))
-    return Tier2(found, looked_up, events, bundles, reports, failed)
+        waiting = bundles.select("job_id").join(outcomes.select("job_id"), "job_id", "left_anti")
+    return Tier2(found, looked_up, events, bundles, reports, failed, waiting)

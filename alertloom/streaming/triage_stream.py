@@ -6,11 +6,14 @@ and overwrites it on replay, and artifacts that another batch has finished are d
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..plans import stages, triage
+from ..plans.incident_memory import IncidentMemory
 from ..schemas import ACTIVITY, INTEL, INTEL_FEED, REPORT
 from ..session import materialize, scratch_scope
 from ..sources import sinks
@@ -34,15 +37,22 @@ def artifact_stream(spark: SparkSession, folder: str, files_per_trigger: int = 1
 
 
 def process_batch(batch: DataFrame, batch_id: int, root: str, pack: RulePack | None,
-                  cache: DataFrame | None = None, feed: DataFrame | None = None,
-                  activity: DataFrame | None = None) -> None:
-    """Both tiers of one micro-batch, written to the result tables below ``root``."""
+                  cache: DataFrame | None = None, feed: DataFrame | None = None, activity: DataFrame | None = None,
+                  classifier: Callable[[DataFrame], DataFrame] | None = None, email_answers: DataFrame | None = None,
+                  synthesis_answers: DataFrame | None = None, version: str = "1") -> None:
+    """Both tiers of one micro-batch, written to the result tables below ``root``.
+
+    ``classifier`` turns (artifact_id, text) of scrubbed mails into (artifact_id, ml_score). Answers are tables
+    (job_id, attempt, response); the prompts of the batch are written to ``prompts``. Earlier incidents are found and
+    the batch's own are stored under ``version`` of the vectoriser.
+    """
     with scratch_scope(batch.sparkSession):
-        _process(batch, batch_id, root, pack, cache, feed, activity)
+        _process(batch, batch_id, root, pack, cache, feed, activity, classifier, email_answers, synthesis_answers, version)
 
 
 def _process(batch: DataFrame, batch_id: int, root: str, pack: RulePack | None, cache: DataFrame | None,
-             feed: DataFrame | None, activity: DataFrame | None) -> None:
+             feed: DataFrame | None, activity: DataFrame | None, classifier: Callable[[DataFrame], DataFrame] | None,
+             email_answers: DataFrame | None, synthesis_answers: DataFrame | None, version: str) -> None:
     spark = batch.sparkSession
     known = sinks.read_other_batches(spark, root, "tier1_results", triage.TIER1, batch_id).select(
         F.col("job_id").alias("artifact_id")
@@ -62,7 +72,8 @@ def _process(batch: DataFrame, batch_id: int, root: str, pack: RulePack | None,
     now = F.lit(spark.range(1).select(F.current_timestamp()).first()[0])
 
     present = [r["file_type"] for r in accepted.select("file_type").distinct().collect()]  # three at most
-    results = triage.tier1(texts, pack, file_types=present)
+    ml_scores = classifier(triage.classifier_inputs(texts)) if classifier is not None and "Eml" in present else None
+    results = triage.tier1(texts, pack, ml_scores, file_types=present)
     sinks.write_batch(results, root, "tier1_results", batch_id)
     # Read back what was written: the second tier works on the stored rows, not on a recomputation.
     stored = spark.read.schema(triage.TIER1).parquet(
@@ -77,23 +88,31 @@ def _process(batch: DataFrame, batch_id: int, root: str, pack: RulePack | None,
         *[c.split()[0] for c in JOBS.split(", ")]
     ), "stream-jobs")
     empty = lambda schema: spark.createDataFrame([], schema)
+    memory = IncidentMemory(spark, root, version)
     earlier = sinks.read_other_batches(spark, root, "threat_intel", INTEL, batch_id)
     done = triage.tier2(
         jobs, stored, earlier if cache is None else earlier.unionByName(cache),
         feed if feed is not None else empty(INTEL_FEED),
-        activity if activity is not None else empty(ACTIVITY), now,
+        activity if activity is not None else empty(ACTIVITY), now, email_answers, synthesis_answers,
+        memory.similar(batch_id),
     )
+    # Read by the reports, the prompts and what waits.
+    done.bundles = materialize(done.bundles, "stream-bundles")
     intel_new = done.intel.filter(~F.col("cached")).drop("cached")
     sinks.write_batch(done.iocs, root, "iocs", batch_id)
     sinks.write_batch(intel_new, root, "threat_intel", batch_id)
     sinks.write_batch(done.reports, root, "reports", batch_id)
     reports = spark.read.schema(REPORT).parquet(f"{sinks.table_path(root, 'reports')}/batch_id={batch_id}")
-    sinks.write_batch(stages.after_tier2(jobs, reports, done.failed, now), root, "jobs", batch_id)
+    memory.remember(reports, spark.read.schema(IOC_ROWS).parquet(f"{sinks.table_path(root, 'iocs')}/batch_id={batch_id}"), batch_id)
+    sinks.write_batch(
+        triage.analyst_prompts(stored).withColumn("kind", F.lit("email_analysis"))
+        .unionByName(triage.synthesis_prompts(done.bundles).withColumn("kind", F.lit("synthesis"))), root, "prompts", batch_id)
+    sinks.write_batch(stages.after_tier2(jobs, reports, done.failed, now, done.waiting), root, "jobs", batch_id)
 
 
 def start_triage(spark: SparkSession, folder: str, root: str, checkpoint: str, pack: RulePack | None = None,
-                 available_now: bool = False, **sources: DataFrame) -> StreamingQuery:
-    """Start the stream; ``available_now`` processes what is there and stops."""
+                 available_now: bool = False, **sources) -> StreamingQuery:
+    """Start the stream; ``available_now`` processes what is there and stops. ``sources`` go to ``process_batch``."""
     writer = artifact_stream(spark, folder).writeStream.option("checkpointLocation", checkpoint)
     writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="30 seconds")
     return writer.foreachBatch(

@@ -114,3 +114,73 @@ def test_sink_replay(spark, tmp_path):
     assert sinks.read_table(spark, str(tmp_path), "iocs", "job_id string").count() == 6
     assert sinks.read_other_batches(spark, str(tmp_path), "iocs", "job_id string", 1).count() == 3
     assert sinks.read_table(spark, str(tmp_path), "none", "job_id string").count() == 0
+
+
+def test_jobs_wait_for_answers_over_batches(spark, tmp_path):
+    from alertloom.streaming import job_states as J
+
+    m = lambda *rows: spark.createDataFrame([(j, k, f, u, None, T0 + dt.timedelta(minutes=t)) for j, k, f, u, t in rows], J.MESSAGE)
+    batches = [
+        m(("a", "job", "Eml", None, 0), ("b", "job", "Csv", None, 0), ("c", "synthesis", None, True, 1), ("d", "job", "Csv", None, 0), (None, "job", "Csv", None, 0)),
+        m(("a", "email_analysis", None, False, 5), ("b", "synthesis", None, True, 6), ("c", "job", "Csv", None, 7), ("a", "job", "Eml", None, 8)),
+        m(("a", "email_analysis", None, True, 20), ("b", "synthesis", None, False, 20), ("d", "synthesis", None, True, 61)),
+        m(("z", "job", "Csv", None, 300)),
+    ]
+    for n, b in enumerate(batches):
+        b.coalesce(1).write.parquet(str(tmp_path / f"in/{n}"))
+        stream = spark.readStream.schema(J.MESSAGE).parquet(str(tmp_path / "in/*"))
+        q = J.run_jobs(stream).writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+        q.awaitTermination()
+    moves = spark.read.schema(J.MOVE).parquet(str(tmp_path / "out"))
+    now = {r.job_id: (r.step, r.prompts, r.error_message) for r in J.current_states(moves).collect()}
+    assert now == {
+        "a": ("tier2.failed", 3, "No answer for synthesis in time."), "b": ("done", 1, None), "c": ("done", 1, None),
+        "d": ("tier2.failed", 1, "No answer for synthesis in time."), "z": ("tier2.synthesis_pending", 1, None)}
+    assert [r.attempt for r in moves.where("job_id = 'a'").orderBy("ord").collect()] == [1, 2, 1, None]
+
+
+def test_answers_are_judged_outside_of_the_state(spark):
+    from alertloom.streaming import job_states as J
+
+    good = '{"risk_score":6.0,"severity":"High","summary_markdown":"s","mitre_techniques":["T1566"],"evidence_trail":[{"claim":"c","source":"s"}]}'
+    rows = spark.createDataFrame([("a", good, T0), ("b", good.replace("High", "Low"), T0), ("c", None, T0)], "job_id string, response string, at timestamp")
+    got = {r.job_id: (r.usable, len(r.violations)) for r in J.answer_messages(rows, "synthesis").collect()}
+    assert got["a"] == (True, 0) and not got["b"][0] and got["b"][1] == 1 and got["c"] == (False, 1)
+
+
+def test_a_batch_with_a_classifier_answers_and_earlier_incidents(spark, tmp_path):
+    inbox, root = tmp_path / "in", str(tmp_path / "out")
+    inbox.mkdir()
+    names = ["one.eml", "two.eml", "three.eml"]
+    for n in names:
+        (inbox / n).write_text(BAD.replace("see", n))
+    read = lambda pattern: S.describe(spark.read.format("binaryFile").load(str(inbox / pattern)))
+    S.process_batch(read("one.eml"), 0, root, load_rules())
+    first = table(spark, root, "jobs").first()
+    assert first.current_step == "done"
+    embedded = table(spark, root, "incident_embeddings").collect()
+    assert [(r.job_id, r.version, len(r.embedding)) for r in embedded] == [(first.id, "1", 384)]
+
+    # The second batch: a quiet mail that only the classifier suspects, one job unanswered, one answered badly twice.
+    (inbox / "quiet.eml").write_text(GOOD)
+    ids = {r.file_name: r.artifact_id for r in S.describe(spark.read.format("binaryFile").load(str(inbox))).select("file_name", "artifact_id").collect()}
+    answer = lambda name, n, text: (ids[name], n, text)
+    good = '{"risk_score":6.0,"severity":"High","summary_markdown":"told","mitre_techniques":["T1566"],"evidence_trail":[{"claim":"c","source":"s"}]}'
+    kind = "job_id string, attempt int, response string"
+    S.process_batch(
+        read("{two,three,quiet}.eml"), 1, root, load_rules(),
+        classifier=lambda texts: texts.select("artifact_id", F.when(F.col("text").contains("lunch"), 0.9).otherwise(0.1).alias("ml_score")),
+        email_answers=spark.createDataFrame([answer("three.eml", 1, "no"), answer("three.eml", 2, "{")], kind),
+        synthesis_answers=spark.createDataFrame([answer("two.eml", 1, "x"), answer("two.eml", 2, good), answer("three.eml", 1, good)], kind))
+    jobs = {r.file_name: (r.status, r.current_step, r.error_message) for r in table(spark, root, "jobs").collect()}
+    assert jobs["two.eml"] == ("Done", "done", None)
+    assert jobs["three.eml"] == ("Failed", "tier2.failed", "No usable email analysis.")
+    assert jobs["quiet.eml"] == ("Analyzing", "tier2.synthesis_pending", None)
+    prompts = {(r.job_id, r.kind): r.prompt for r in table(spark, root, "prompts").where("batch_id = 1").collect()}
+    assert set(prompts) == {(ids[n], "email_analysis") for n in ("two.eml", "three.eml", "quiet.eml")} | {(ids[n], "synthesis") for n in ("two.eml", "quiet.eml")}
+    told = prompts[(ids["two.eml"], "synthesis")]
+    assert "Similar past incidents" in told and "similarity 0." in told
+    assert "lunch" in prompts[(ids["quiet.eml"], "email_analysis")]
+    reports = {r.job_id: r.summary for r in table(spark, root, "reports").collect()}
+    assert reports[ids["two.eml"]] == "told" and len(reports) == 2
+    assert table(spark, root, "incident_embeddings").count() == 2
