@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import email as E
 from ..functions import network as N
-from ..functions import pii
+from ..functions import pii, sql
 from ..operators.email_checks import email_reports
 from ..sources.artifacts import reject_reason, unsupported_reports, with_reject_reason
 from ..session import spread
@@ -241,6 +241,35 @@ def _(t):
     )
 
 
+@query("u4_parse_eml", f"""{_MAIL} SELECT artifact_id, from_header AS sender, subject, body AS body_text, concat('<m', artifact_id, '@example.org>') AS message_id, auth_header AS auth,
+  CAST(len({_HDRIPS}) AS INT) AS n_header_ips FROM d""")
+def _(t):
+    """``parse_eml`` as an SQL function that returns a struct."""
+    sql.register(t.spark)
+    return t.raw_mails.selectExpr("artifact_id", "parse_eml(raw) AS p").select(
+        "artifact_id", "p.sender", "p.subject", F.col("p.bodyText").alias("body_text"), F.col("p.metadata.messageId").alias("message_id"),
+        F.col("p.metadata.authenticationResults").alias("auth"), F.size("p.headerIps").alias("n_header_ips"))
+
+
+@query("u4_network_entities", rf"""{_MAIL}, u AS (SELECT artifact_id, txt, regexp_extract_all(txt, '{_URL}') AS all_urls, {_IPS} AS ips FROM d),
+ v AS (SELECT *, list_transform(all_urls, lambda x: lower(x)) AS low,
+   list_concat(list_filter(list_transform(all_urls, lambda x: lower(regexp_extract(x, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/:?#]*)', 1))), lambda x: x <> ''),
+   regexp_extract_all(txt, '{_DOMAIN}')) AS names FROM u),
+ w AS (SELECT *, list_transform(names, lambda x: upper(x)) AS up FROM v),
+ x AS (SELECT artifact_id, list_filter(all_urls, lambda x, i: list_position(low, lower(x)) = i) AS urls,
+   list_transform(list_sort(list_distinct(up)), lambda x: names[list_position(up, x)]) AS domains, ips FROM w)
+ SELECT artifact_id, kind, CAST(pos AS INT) AS pos, value FROM (
+   SELECT artifact_id, 'url' AS kind, unnest(range(len(urls))) AS pos, unnest(urls) AS value FROM x
+   UNION ALL SELECT artifact_id, 'domain', unnest(range(len(domains))), unnest(domains) FROM x
+   UNION ALL SELECT artifact_id, 'ip', unnest(range(len(ips))), unnest(ips) FROM x)""")
+def _(t):
+    """``extract_network_entities`` as an SQL function that returns a table, beside every mail."""
+    sql.register(t.spark)
+    return t.spark.sql(
+        "SELECT artifact_id, e.kind, e.pos, e.value FROM {mails} m, LATERAL extract_network_entities(m.text) e",
+        mails=_mail_text(t).select("artifact_id", "text"))
+
+
 @query("e20_tool_output", f"""{_MAIL} SELECT artifact_id, from_header AS sender, subject,
   CAST(len({_IPS}) AS INT) AS n_ips FROM d""")
 def _(t):

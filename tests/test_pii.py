@@ -54,6 +54,26 @@ def test_sql_functions_agree(spark):
     assert tuple(row) == ("evil.xyz", ["https://a.b/c,", "http://d"], ["1.2.3.4"], ["a.example"], "Critical")
 
 
+def test_sql_functions_of_mails_and_entities(spark):
+    from pyspark.sql import functions as F
+
+    from alertloom.functions import email, network
+
+    register(spark)
+    mails = [
+        "From: a <A@b.org>\r\nbroken\r\nReceived: x ([1.2.3.4])\r\n\tby y 5.6.7.8\r\nRECEIVED: z 1.2.3.4\r\nSubject:\u00a0 hi: there \r\n\r\nbody\r\n\r\nmore",
+        "no header", "", None, " folded: first\nDate: d\n\nx", "X-Originating-IP: [9.9.9.9]\n\nHTTP://A.b/c http://a.B/C see a.b and A.B 1.1.1.1 1.1.1.1"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(mails)], "i int, t string")
+    m = email.parse_eml("t")
+    rows = df.select("i", F.expr("parse_eml(t)").alias("got"), m.alias("m")).select("i", "got", email.parsed_email("m.headers", F.col("m.body")).alias("want")).collect()
+    assert all(r.got == r.want for r in rows) and rows[0].got.subject == "hi: there" and len(rows[0].got.headerIps) == 2
+    found = spark.sql("SELECT i, e.* FROM {df} d, LATERAL extract_network_entities(d.t) e", df=df).collect()
+    want = {r.i: r.n for r in df.where("t is not null").select("i", network.network_entities("t").alias("n")).collect()}
+    for i, n in want.items():
+        for kind, values in (("url", n.urls), ("domain", n.domains), ("ip", n.ips)):
+            assert [r.value for r in sorted(found, key=lambda r: r.pos) if (r.i, r.kind) == (i, kind)] == values
+
+
 @pytest.mark.parametrize("text", ["x" * 20_000, "1:" * 3_000, "a.b-" * 3_000, "4111 " * 2_000])
 def test_scrub_survives_long_runs(spark, one, text):
     assert one(scrub, text) is not None
