@@ -12,14 +12,19 @@ contents, which lists the files of successful tasks only, so files of lost tasks
 Paths are resolved by pyarrow's file systems (local or mounted folders, and the object stores it knows), on the
 executors; use a folder that all of them see.
 
-Defined cases: null payloads are empty, null URIs leave the header out, line breaks in header values become blanks. A
-truncated last record ends its file. An empty table gives an archive without records.
+Defined cases: null payloads are empty, null URIs leave the header out, line breaks in header values become blanks. An
+empty table gives an archive without records. Archives of others: ``.warc.gz`` files are read member by member, forward
+and as one part each. A record begins with a line ``WARC/``; where none is, or where a length is negative, no number or
+reaches beyond the file, reading goes on at the next such line, so a damaged record costs itself only. A gzip member
+that breaks off ends its file.
 """
 
 from __future__ import annotations
 
 import json
+import sys
 import uuid
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -95,6 +100,50 @@ def parse_headers(block: bytes) -> dict[str, str]:
     return out
 
 
+class Unzipped:
+    """Forward access to a gzip file of any number of members. What lies before the last mark is dropped."""
+
+    def __init__(self, raw):
+        self.raw, self.inflate = raw, zlib.decompressobj(31)
+        self.held, self.start, self.place, self.marked, self.over = bytearray(), 0, 0, 0, False
+
+    def size(self) -> int:
+        return sys.maxsize  # known at the end only
+
+    def mark(self, at: int) -> None:
+        self.marked = at
+        self._drop()
+
+    def seek(self, at: int) -> None:
+        self.place = at
+
+    def _drop(self) -> None:
+        gone = min(self.marked - self.start, len(self.held))
+        if gone > 0:
+            del self.held[:gone]
+            self.start += gone
+
+    def _more(self) -> None:
+        data = self.inflate.unused_data if self.inflate.eof else b""
+        if self.inflate.eof:
+            self.inflate = zlib.decompressobj(31)
+        data = data or self.raw.read(1 << 16)
+        if not data:
+            self.over = True
+            return
+        try:
+            self.held += self.inflate.decompress(data)
+        except zlib.error:
+            self.over = True
+
+    def read(self, n: int) -> bytes:
+        while not self.over and self.start + len(self.held) < self.place + n:
+            self._more()
+            self._drop()
+        at = self.place - self.start
+        return bytes(self.held[at:at + n]) if at >= 0 else b""
+
+
 class WarcReader(DataSourceReader):
     def __init__(self, schema: StructType, path: str):
         self.path = path
@@ -129,7 +178,7 @@ class WarcReader(DataSourceReader):
                 listed = json.loads(file.read())
         except FileNotFoundError:
             found = fs.get_file_info(pafs.FileSelector(root, recursive=True))
-            return [Part(f.path, 0, None) for f in found if f.path.endswith(".warc")] or [Part("", 0, 0)]
+            return [Part(f.path, 0, None) for f in found if f.path.endswith((".warc", ".warc.gz"))] or [Part("", 0, 0)]
         parts = [Part(f"{root}/{x['name']}", a, b)
                  for x in listed for a, b in zip(x["starts"], [*x["starts"][1:], x["size"]])]
         return parts or [Part("", 0, 0)]
@@ -151,22 +200,37 @@ class WarcReader(DataSourceReader):
             return
         fs, _ = _open(self.path)
         payloads = "payload" in self.columns
-        with fs.open_input_file(partition.path) as file:
-            end = file.size() if partition.end is None else partition.end
-            at = partition.start
-            while at < end:
-                head = _until_break(file, at, end)
-                if head is None:
-                    return
-                headers = parse_headers(head)
-                length = int(headers.get("content-length", 0))
-                body = at + len(head) + len(_BREAK)
-                at = body + length + len(_BREAK)
-                if not self._keeps(headers):
-                    continue
-                yield self._row(file, headers, body, length, payloads)
-
-    def _row(self, file, headers: dict[str, str], body: int, length: int, payloads: bool) -> tuple:
+        if partition.path.endswith(".gz"):
+            with fs.open_input_stream(partition.path, compression=None) as raw:
+                yield from self._records(Unzipped(raw), 0, None, payloads)
+        else:
+            with fs.open_input_file(partition.path) as file:
+                yield from self._records(file, partition.start, partition.end, payloads)
+
+    def _records(self, file, at: int, end: int | None, payloads: bool) -> Iterator[tuple]:
+        whole = file.size()
+        end = whole if end is None else end
+        mark = getattr(file, "mark", lambda at: None)
+        while at < end:
+            mark(at)
+            head = _until_break(file, at, end) if _begins(file, at) else None
+            headers = parse_headers(head) if head is not None else {}
+            given = headers.get("content-length", "0")
+            body = at + len(head or b"") + len(_BREAK)
+            length = int(given) if given.isascii() and given.isdigit() and len(given) < 19 else -1
+            if head is None or length < 0 or body + length > whole:
+                at = _next_begin(file, at + 1, end, mark)
+                continue
+            at = body + length + len(_BREAK)
+            if not self._keeps(headers):
+                continue
+            row = self._row(file, headers, body, length, payloads)
+            if row is None:
+                return
+            yield row
+
+    def _row(self, file, headers: dict[str, str], body: int, length: int, payloads: bool) -> tuple | None:
+        """The row of a record, None if its payload breaks off."""
         http, start = {}, body
         if headers.get("content-type", "").startswith("application/http"):
             inner = _until_break(file, body, body + length)
@@ -179,9 +243,32 @@ class WarcReader(DataSourceReader):
         if payloads:
             file.seek(start)
             values["payload"] = file.read(body + length - start)
+            if len(values["payload"]) < body + length - start:
+                return None
         return tuple(values[c] for c in self.columns)
 
 
+def _begins(file, at: int) -> bool:
+    file.seek(at)
+    return file.read(5) == b"WARC/"
+
+
+def _next_begin(file, at: int, end: int, mark) -> int:
+    """Where the next line begins that starts a record, or the end."""
+    size = 1 << 16
+    while at < end:
+        mark(at)
+        file.seek(at)
+        block = file.read(min(size, end - at))
+        found = block.find(b"\nWARC/")
+        if found >= 0:
+            return at + found + 1
+        if len(block) < min(size, end - at) or len(block) <= 6:
+            return end
+        at += len(block) - 6
+    return end
+
+
 def _until_break(file, at: int, end: int) -> bytes | None:
     """The bytes before the next empty line."""
     size = 1024

@@ -337,6 +337,42 @@ def test_the_walk_stops_early_where_the_bound_allows():
 # 7 WARC
 
 
+def test_warc_reads_archives_of_others(spark, tmp_path):
+    import gzip
+
+    warc.register(spark)
+
+    def made(n, length=None, version="WARC/1.0"):
+        body = f"HTTP/1.1 200 OK\r\n\r\npayload {n}".encode()
+        head = f"{version}\r\nWARC-Type: response\r\nWARC-Record-ID: <{n}>\r\nContent-Type: application/http\r\nContent-Length: {length if length is not None else len(body)}"
+        return head.encode() + b"\r\n\r\n" + body + b"\r\n\r\n"
+
+    def read(name, data):
+        folder = tmp_path / name.replace(".", "-")
+        folder.mkdir()
+        (folder / name).write_bytes(data)
+        out = spark.read.format("warc").load(str(folder)).collect()
+        assert spark.read.format("warc").load(str(folder / name)).count() == len(out)
+        assert spark.read.format("warc").load(str(folder)).where("record_type = 'other'").count() == 0
+        return [(r.record_id, bytes(r.payload).decode()) for r in sorted(out, key=lambda r: r.record_id)]
+
+    good = lambda *ns: [(f"<{n}>", f"payload {n}") for n in ns]
+    members = b"".join(gzip.compress(made(n)) for n in range(5))
+    assert read("members.warc.gz", members) == good(*range(5))
+    assert read("one.warc.gz", gzip.compress(b"".join(made(n) for n in range(3)))) == good(*range(3))
+    assert read("cut.warc.gz", members[:-9]) == good(*range(4)) or read("cut2.warc.gz", members[:-40]) == good(*range(4))
+    big = [made(n).replace(b"payload", b"payload" + b"x" * 300_000) for n in range(3)]
+    assert [r[0] for r in read("big.warc.gz", b"".join(map(gzip.compress, big)))] == ["<0>", "<1>", "<2>"]
+    assert read("minus.warc", made(0) + made(1, "-5") + made(2)) == good(0, 2)
+    assert read("text.warc", made(0) + made(1, "x89") + made(2)) == good(0, 2)
+    assert read("long.warc", made(0) + made(1, 10**9) + made(2)) == good(0, 2)
+    assert read("huge.warc", made(0) + made(1, 10**40) + made(2)) == good(0, 2)
+    assert read("noise.warc", b"garbage\r\n\r\nmore\r\n" + made(0) + b"\x00" * 200_000 + b"\r\n" + made(1)) == good(0, 1)
+    assert read("version.warc", made(0) + made(1, version="HTTP/1.1") + made(2)) == good(0, 2)
+    assert read("truncated.warc", made(0) + made(1)[:-12]) == good(0)
+    assert read("empty.warc", b"") == [] and read("empty.warc.gz", b"") == []
+
+
 def test_warc_round_trip_and_predicates(spark, tmp_path):
     big = "<p>" + "x" * 200
     rows = [(1, "http://a/1", big), (2, "http://b/ 2\r\n", big), (3, None, "short"), (4, "u", "short"), (5, "u", None),
