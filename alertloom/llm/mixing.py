@@ -120,3 +120,29 @@ def mix(
         *(F.col(f"`{c}`") for c in docs.columns if c not in new), F.col("_topic").alias("topic"),
         F.col("_tokens").alias("n_tokens"), (F.col("probability") / budget).alias("token_weight"), "probability",
         (draw < F.col("probability")).alias("selected"))
+
+
+def fulfilment(mixed: DataFrame, budget: float = 0.7, alpha: float = 0.7,
+               targets: dict[str, dict[str, float]] | None = None) -> DataFrame:
+    """(dimension, value, tokens, wanted, reached): what each target asked for and what raking gave, from ``mix``'s rows.
+
+    ``reached`` is below ``wanted`` where a value has too few tokens, above it where others could not take their share,
+    and anywhere if targets contradict each other, so that scaling had not settled after its JOBS * ROUNDS rounds.
+    """
+    out = None
+    for d in DIMENSIONS:
+        values = mixed.groupBy(F.coalesce(F.col(d), F.lit(NONE)).alias("value")).agg(
+            F.sum("n_tokens").alias("tokens"), F.sum(F.col("n_tokens") * F.col("probability")).alias("reached"))
+        given = (targets or {}).get(d)
+        if given:
+            pairs = [F.lit(x) for item in given.items() for x in (item[0], float(item[1]) / sum(given.values()))]
+            lift = F.coalesce(F.try_element_at(F.create_map(*pairs), F.col("value")), F.lit(0.0))
+            whole = values.agg(F.sum("tokens").alias("all"), F.lit(1.0).alias("lifts"))
+        else:
+            lift = F.pow(F.col("tokens").cast("double"), F.lit(alpha))
+            whole = values.agg(F.sum("tokens").alias("all"), F.sum(lift).alias("lifts"))
+        # One row beside the values of a dimension.
+        rows = values.join(F.broadcast(whole)).select(
+            F.lit(d).alias("dimension"), "value", "tokens", (lift / F.col("lifts") * budget * F.col("all")).alias("wanted"), "reached")
+        out = rows if out is None else out.unionByName(rows)
+    return out

@@ -136,12 +136,65 @@ def test_raking_meets_targets_and_never_exceeds_tokens(spark):
     given = mixing.mix(frame, budget=0.3, targets={"lang": {"a": 3, "b": 1}}).toPandas()
     mass = (given.n_tokens * given.probability).groupby(given.lang).sum()
     assert abs(mass["a"] / mass["b"] - 3) < 0.05
-    # Unequal cells by a plain loop.
-    cells = given.assign(s=given.source.fillna("-"), t=given.topic).groupby(["s", "lang", "t"], dropna=False)
-    assert cells.probability.nunique().max() == 1
     assert mixing.mix(frame.limit(0)).count() == 0
 
 
+def plain_rake(cells, budget, alpha, targets):
+    """{cell: (tokens, mass)} by a plain loop over the same steps."""
+    total = sum(cells.values())
+    wants = []
+    for d in range(3):
+        held = defaultdict(int)
+        for cell, n in cells.items():
+            held[cell[d]] += n
+        given = (targets or {}).get(mixing.DIMENSIONS[d])
+        share = {v: given.get(v, 0) / sum(given.values()) for v in held} if given else {v: n**alpha for v, n in held.items()}
+        scale = 1 if given else sum(share.values())
+        wants.append({v: x / scale * budget * total for v, x in share.items()})
+    mass = {cell: n * budget for cell, n in cells.items()}
+    for _ in range(mixing.JOBS):
+        before = dict(mass)
+        for _ in range(mixing.ROUNDS):
+            for d in range(4):
+                have = defaultdict(float)
+                for cell, m in mass.items():
+                    have[cell[d] if d < 3 else None] += m
+                for cell, m in mass.items():
+                    want = wants[d][cell[d]] if d < 3 else budget * total
+                    got = have[cell[d] if d < 3 else None]
+                    mass[cell] = min(cells[cell], m * want / got if got > 0 else m)
+        if max(abs(mass[c] - before[c]) / max(n, 1) for c, n in cells.items()) < mixing.CLOSE:
+            break
+    return mass
+
+
+@pytest.mark.parametrize("targets", [None, {"lang": {"a": 1, "b": 1}}, {"lang": {"a": 1, "c": 5}, "source": {"s1": 9, "s2": 1}}])
+def test_raking_equals_a_plain_loop_with_full_cells_and_unmet_targets(spark, targets):
+    rng = random.Random(61)
+    rows = [(i, " ".join(["w"] * rng.randrange(1, 40)) + rng.choice(["", " a@b", " | x"]), rng.choices("ab", [49, 1])[0],
+             rng.choice(["s1", "s2", None]), 0) for i in range(600)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n long")
+    out = mixing.mix(frame, budget=0.6, alpha=0.5, targets=targets)
+    found = out.collect()
+    cells = defaultdict(int)
+    for r in found:
+        cells[r["source"] or mixing.NONE, r["lang"], r["topic"]] += r["n_tokens"]
+    mass = plain_rake(cells, 0.6, 0.5, targets)
+    for r in found:
+        cell = (r["source"] or mixing.NONE, r["lang"], r["topic"])
+        assert abs(r["probability"] - mass[cell] / cells[cell]) < 1e-6
+    told = {(r["dimension"], r["value"]): r for r in mixing.fulfilment(out, 0.6, 0.5, targets).collect()}
+    total = sum(cells.values())
+    for d, name in enumerate(mixing.DIMENSIONS):
+        for value in {c[d] for c in cells}:
+            r = told[name, value]
+            assert r["tokens"] == sum(n for c, n in cells.items() if c[d] == value)
+            assert abs(r["reached"] - sum(m for c, m in mass.items() if c[d] == value)) < 1e-6 * total
+    if targets and "c" not in targets["lang"]:  # b has too few tokens, and the report says so
+        assert abs(told["lang", "b"]["wanted"] - 0.3 * total) < 1e-6 * total
+        assert told["lang", "b"]["reached"] <= told["lang", "b"]["tokens"] < told["lang", "b"]["wanted"]
+
+
 # 4 Near-duplicates
 
 
