@@ -7,10 +7,12 @@ from pyspark.sql import functions as F
 
 from ..session import materialize, scratch_path, spread
 from ..sources import sinks
+from ..streaming import intel_cache as C
 from ..streaming import job_states as J
 from ..streaming import windows
 from . import stages, triage
 from .catalog_email import _REPORT
+from .catalog_intel import _LOOK
 from .lens import JOB_CTE, LOG_CTE, MAIL_EXPRS, REPORT_CTE, Lens, epoch_seconds, query
 
 
@@ -134,6 +136,30 @@ def _(t):
     return stages.after_tier1(t.jobs, results, now).select("id", "status", "current_step", "error_message")
 
 
+@query("t4_broken_artifacts", f"""{_REPORT}, broken AS (SELECT artifact_id AS id, len(rules) > 0 AS bad, CAST(artifact_id AS BIGINT) % 6 AS k FROM s
+    JOIN (SELECT {MAIL_EXPRS['from_header']} AS from_header, doc_id FROM documents) ON artifact_id = CAST(doc_id AS STRING) WHERE from_header IS NOT NULL)
+  SELECT id, CASE WHEN k IN (1, 2, 3) THEN 'Failed' ELSE 'Done' END AS status,
+  CASE WHEN k IN (1, 2, 3) THEN 'tier1.failed' WHEN bad THEN 'done' ELSE 'tier1.done' END AS current_step,
+  CASE k WHEN 1 THEN 'The content could not be read.' WHEN 2 THEN 'The content has no readable text.' WHEN 3 THEN 'The content broke off after 40 of 1000 bytes.' END AS error_message
+  FROM broken WHERE k <> 4""")
+def _(t):
+    """Unreadable, unintelligible, cut and refused files among good ones in one ``process_batch``: each is a row with its message."""
+    from ..streaming.triage_stream import JOBS, process_batch
+    root = scratch_path(t.spark, "broken")
+    k = F.col("artifact_id").cast("bigint") % 6
+    whole = F.encode("raw", "UTF-8")
+    content = (
+        F.when(k == 1, F.lit(None).cast("binary")).when(k == 2, F.lit(b": \xff\xfe\xff \n")).when(k == 3, F.substring(whole, 1, 40))
+        .when(k == 4, F.lit(b"MZ\x00")).otherwise(whole))
+    mails = t.raw_mails.join(t.mails.where("from_header is not null").select(F.col("doc_id").cast("string").alias("artifact_id")), "artifact_id", "left_semi")
+    files = mails.select(
+        "artifact_id", F.concat("artifact_id", F.lit(".eml")).alias("file_name"), F.lit(".eml").alias("extension"), F.lit("Eml").alias("file_type"),
+        F.concat(F.lit("documents/"), "artifact_id").alias("path"), F.lit("2024-01-01").cast("timestamp").alias("created_at"),
+        F.when(k == 3, 1000).when(k == 1, 17).otherwise(F.octet_length(content)).cast("long").alias("length"), content.alias("content"))
+    process_batch(files, 0, root, None)
+    return sinks.read_table(t.spark, root, "jobs", JOBS).select("id", "status", "current_step", "error_message")
+
+
 _STEPS = "['tier2.email_analysis', 'tier2.threat_intel', 'tier2.synthesis_pending', 'tier2.synthesis', 'done']"
 
 
@@ -230,6 +256,20 @@ def _(t):
     return r.select(epoch_seconds("window_end").alias("window_end"), "n")
 
 
+@query("t8_cache_stream", f"""WITH {LOG_CTE}, {_LOOK} SELECT event_id, arg_max(c.malicious_score, c.looked_up_at) AS malicious_score, CAST(arg_max(c.from_live_api, c.looked_up_at) AS INT) AS from_live_api
+  FROM asks a JOIN cache c ON a.value = c.value AND c.looked_up_at <= a.at AND c.looked_up_at > a.at - INTERVAL 24 HOUR GROUP BY event_id""")
+def _(t):
+    """The lookups of ``j6_cache_as_of`` with the cache as state of a stream: those that find an answer."""
+    from .catalog_intel import cache
+    live = _StreamLens(t.spark, t.folder)
+    asks = live.logs.filter("event_type = 'click'").select(
+        F.col("event_id").alias("lookup_id"), F.lit("Ip").alias("type"), F.col("source_ip").alias("value"), F.lit("VirusTotal").alias("source"),
+        F.col("ts").cast("timestamp").alias("at"))
+    known = cache(live).withColumn("looked_up_at", F.col("looked_up_at").cast("timestamp"))
+    found = run_to_table(C.run_cache(C.answers(known).unionByName(C.lookups(asks))), "cache")
+    return found.select(F.col("lookup_id").alias("event_id"), "malicious_score", F.col("from_live_api").cast("int").alias("from_live_api"))
+
+
 @query("t8_cache_expiry", f"""WITH {LOG_CTE} SELECT CAST(ts AS DATE)::STRING AS day, count(DISTINCT source_ip) AS n_cached FROM logs
   WHERE event_type IN ('view', 'signup') AND source_ip <> '' GROUP BY ALL""")
 def _(t):

@@ -107,6 +107,16 @@ def as_text(artifacts: DataFrame) -> DataFrame:
     return artifacts.withColumn("raw", raw).drop("content")
 
 
+def read_error(content: Column | str, length: Column | str) -> Column:
+    """Why an accepted artifact cannot be worked on, null when it can: one bad file is one failed job, not a failed batch."""
+    c, n = as_col(content), as_col(length)
+    return (
+        F.when(c.isNull(), "The content could not be read.")
+        .when(F.octet_length(c) < n, F.format_string("The content broke off after %d of %d bytes.", F.octet_length(c), n))
+        .when((n > 0) & ~F.rlike(F.make_valid_utf8(c.cast("string")), F.lit(r"[\p{L}\p{N}]")), "The content has no readable text.")
+    )
+
+
 def unsupported_reports(artifacts: DataFrame, keep: list[str] | None = None) -> DataFrame:
     """Rule reports of types without checks: escalated rather than dropped."""
     kind = F.col("file_type")

@@ -17,7 +17,7 @@ from ..plans.incident_memory import IncidentMemory
 from ..schemas import ACTIVITY, INTEL, INTEL_FEED, REPORT
 from ..session import materialize, scratch_scope
 from ..sources import sinks
-from ..sources.artifacts import BINARY_SCHEMA, as_text, describe, split_intake
+from ..sources.artifacts import BINARY_SCHEMA, as_text, describe, read_error, split_intake
 from ..sources.rule_pack import RulePack
 
 IOC_ROWS = "job_id string, type string, value string, extracted_by string, pos int"
@@ -67,7 +67,9 @@ def _process(batch: DataFrame, batch_id: int, root: str, pack: RulePack | None,
     fresh = materialize(batch.join(ids, "artifact_id", "left_semi"), "stream-batch")
     accepted, rejected = split_intake(fresh)
     sinks.write_batch(rejected, root, "quarantine", batch_id)
-    texts = as_text(accepted)
+    # Value or error per artifact: what cannot be read becomes a failed job with its message.
+    accepted = accepted.withColumn("read_error", read_error("content", "length"))
+    texts = as_text(accepted.where("read_error is null").drop("read_error"))
     # One moment for the whole batch: each write would otherwise see its own.
     now = F.lit(spark.range(1).select(F.current_timestamp()).first()[0])
 
@@ -81,7 +83,7 @@ def _process(batch: DataFrame, batch_id: int, root: str, pack: RulePack | None,
     )
     jobs = accepted.select(
         F.col("artifact_id").alias("id"), "file_name", "file_type", F.lit("Filtering").alias("status"),
-        F.lit("tier1.filtering").alias("current_step"), F.lit(None).cast("string").alias("error_message"),
+        F.lit("tier1.filtering").alias("current_step"), F.col("read_error").alias("error_message"),
         "created_at", now.alias("started_at"), F.lit(None).cast("timestamp").alias("finished_at"),
     )
     jobs = materialize(stages.after_tier1(jobs, stored, now).select(

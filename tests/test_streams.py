@@ -184,3 +184,30 @@ def test_a_batch_with_a_classifier_answers_and_earlier_incidents(spark, tmp_path
     reports = {r.job_id: r.summary for r in table(spark, root, "reports").collect()}
     assert reports[ids["two.eml"]] == "told" and len(reports) == 2
     assert table(spark, root, "incident_embeddings").count() == 2
+
+
+def test_the_cache_of_a_stream_answers_as_the_table_does(spark, tmp_path):
+    import random
+
+    from alertloom.operators import intel
+    from alertloom.streaming import intel_cache as C
+
+    rng = random.Random(21)
+    at = lambda h: T0 + dt.timedelta(hours=h)
+    # A third of everything is about one address; some answers are exactly as old as the limit.
+    known = [("Ip", rng.choice(["hot", "hot", "b", "c"]), "VirusTotal", round(rng.random(), 3), rng.random() < 0.5, at(rng.randrange(0, 96))) for _ in range(120)]
+    known += [("Ip", "edge", "VirusTotal", 0.5, True, at(0)), ("Ip", None, "VirusTotal", 0.9, True, at(1))]
+    asked = [(i, "Ip", rng.choice(["hot", "b", "none"]), "VirusTotal", at(rng.randrange(0, 120) + 0.5)) for i in range(80)]
+    asked += [(900, "Ip", "edge", "VirusTotal", at(24)), (901, "Ip", "edge", "VirusTotal", at(23.99)), (902, "Ip", "edge", "VirusTotal", at(0))]
+    cache = spark.createDataFrame(known, "type string, value string, source string, malicious_score double, from_live_api boolean, looked_up_at timestamp")
+    asks = spark.createDataFrame(asked, "lookup_id long, type string, value string, source string, at timestamp")
+    messages = C.answers(cache).unionByName(C.lookups(asks)).orderBy("at", F.col("lookup_id").isNotNull())
+    # In time order over several batches.
+    for n, (low, high) in enumerate([(-1, 30), (30, 31), (31, 80), (80, 999)]):
+        messages.where((F.col("at") > F.lit(at(low))) & (F.col("at") <= F.lit(at(high)))).coalesce(1).write.parquet(str(tmp_path / f"in/{n}"))
+        stream = spark.readStream.schema(C.MESSAGE).parquet(str(tmp_path / "in/*"))
+        C.run_cache(stream).writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start().awaitTermination()
+    got = {r.lookup_id: (r.malicious_score, r.from_live_api, r.looked_up_at) for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+    table_form = intel.cached_as_of(asks, cache.where("value is not null")).where("looked_up_at is not null").collect()
+    assert got == {r.lookup_id: (r.malicious_score, r.from_live_api, r.looked_up_at) for r in table_form}
+    assert 900 not in got and {901, 902} <= set(got) and len(got) > 50
