@@ -83,9 +83,9 @@ def cached_as_of(lookups: DataFrame, cache: DataFrame, hours: float = CACHE_HOUR
         stored.unionByName(carried).withColumn("ask", no_ask)
         .unionByName(asked.withColumn("hit", no_hit))
     )
-    # A cache row of the same instant counts as present, hence rows with a hit sort first.
+    # A cache row of the same instant counts as present, hence rows with a hit sort first, the largest of them last.
     upto = (
-        Window.partitionBy(*KEY, "bucket").orderBy("t", F.col("hit").isNull())
+        Window.partitionBy(*KEY, "bucket").orderBy("t", F.col("hit").isNull(), "hit")
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
     answered = timeline.withColumn("hit", F.last("hit", ignorenulls=True).over(upto)).filter(
