@@ -287,7 +287,3 @@ def tool_output_json(headers: Column | str, body: Column | str, payload: Column
         ),
         keep,
     )
-
-
-def blank_to_null(col: Column | str) -> Column:
-    return F.when(~is_blank(col), as_col(col))

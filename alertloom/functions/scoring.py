@@ -95,6 +95,7 @@ def report_violations(
     risk: Column, severity: Column, mitre: Column, n_evidence: Column
 ) -> Column:
     """Contract violations of a report, empty when it is acceptable."""
+    # The wording of the violations.
     bad_score = F.isnan(risk) | (risk < 0) | (risk > 10)
     expected = severity_band(risk)
     first = (

@@ -475,9 +475,3 @@ def fallback_view(rows: DataFrame, traces: DataFrame) -> DataFrame:
         F.floor(F.col("risk") * 100 + 0.5).cast("int").alias("static_risk_score"),
         seconds.alias("duration_seconds"),
     )
-
-
-def latest_job(jobs: DataFrame) -> DataFrame:
-    return jobs.orderBy(F.col("created_at").desc(), "id").limit(1)
-
-

@@ -157,12 +157,6 @@ def matched_rules(pack: RulePack, fields: FieldLookup | None = None) -> Column:
     return arrays[0] if len(arrays) == 1 else F.concat(*arrays)
 
 
-def rule_titles(spark, pack: RulePack) -> DataFrame:
-    """(slug, title, level), as small as the pack."""
-    rows = [(r.slug, r.title, r.level) for r in pack.rules]
-    return spark.createDataFrame(rows, "slug string, title string, level string")
-
-
 def load_errors(spark, pack: RulePack) -> DataFrame:
     return spark.createDataFrame(list(pack.load_errors), "file string, error string")
 

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 WATERMARK = "10 minutes"
+SALTS = 32
 
 
 def limit_breaches(access: DataFrame, limit: int, width: str = "60 seconds", time: str = "ts",
@@ -39,21 +40,25 @@ def rejected_requests(access: DataFrame, limit: int, seconds: int = 60, time: st
     """The requests beyond the limit themselves (tables only): all but the first ones of their window.
 
     An address may send a third of all requests in one window. The first ``limit`` are therefore found
-    per salt and then among these few, and every request is compared with the last admitted one.
+    per salt and then among these few, and every request is compared with the last admitted one, again per salt.
     """
     slot = F.floor(F.unix_seconds(F.col(time).cast("timestamp")) / seconds)
     rows = access.withColumn("slot", slot)
+    salt = F.pmod(F.xxhash64(tie_break), F.lit(SALTS)).cast("int")
     nth = lambda *keys: F.row_number().over(Window.partitionBy(*keys).orderBy(time, tie_break))
     admitted = (
         rows.select(ip, "slot", time, tie_break)
-        .withColumn("salt", F.pmod(F.xxhash64(tie_break), F.lit(32)))
+        .withColumn("salt", salt)
         .withColumn("nth", nth(ip, "slot", "salt")).filter(F.col("nth") <= limit)
         .withColumn("nth", nth(ip, "slot")).filter(F.col("nth") <= limit)
     )
     last = admitted.groupBy(ip, "slot").agg(
         F.max(F.struct(time, tie_break)).alias("last"), F.count("*").alias("admitted")
     ).filter(F.col("admitted") == limit)
-    return rows.join(last, [ip, "slot"]).filter(F.struct(time, tie_break) > F.col("last")).select(*access.columns)
+    # Only windows that reached the limit are copied, once per salt.
+    last = last.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return rows.withColumn("salt", salt).join(last, [ip, "slot", "salt"]).filter(
+        F.struct(time, tie_break) > F.col("last")).select(*access.columns)
 
 
 def rolling_counts(jobs: DataFrame, time: str = "created_at", width: str = "24 hours",
