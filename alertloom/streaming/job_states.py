@@ -14,6 +14,7 @@ from __future__ import annotations
 import datetime as dt
 import json
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -64,19 +65,20 @@ class JobMachine(StatefulProcessor):
         self.handle = handle
         self.job = handle.getValueState("job", "state string")
 
-    def _timer(self, at_ms: int) -> None:
-        for old in list(self.handle.listTimers()):
-            self.handle.deleteTimer(old[0] if isinstance(old, tuple) else old)
+    def _timer(self, job: dict, at_ms: int) -> None:
+        if job.get("timer") is not None:
+            self.handle.deleteTimer(job["timer"])
+        job["timer"] = at_ms
         self.handle.registerTimer(at_ms)
 
     def _wait(self, job: dict, kind: str, attempt: int, at: pd.Timestamp) -> tuple:
         job |= {"step": _WAITS[kind], "wait": kind, "attempt": attempt, "until": int((at + self.patience).timestamp() * 1000)}
-        self._timer(job["until"])
+        self._timer(job, job["until"])
         return job["step"], kind, attempt, None, at
 
     def _end(self, job: dict, step: str, error: str | None, at: pd.Timestamp) -> tuple:
         job |= {"step": step, "wait": None, "early": []}
-        self._timer(int((at + self.forget_after).timestamp() * 1000))
+        self._timer(job, int((at + self.forget_after).timestamp() * 1000))
         return step, None, None, error, at
 
     def _late(self, job: dict) -> tuple:
@@ -95,8 +97,8 @@ class JobMachine(StatefulProcessor):
         else:
             yield self._end(job, "tier2.failed", _FAILED[kind], at)
 
-    def _moves(self, job: dict, messages: pd.DataFrame):
-        for m in messages.itertuples(index=False):
+    def _moves(self, job: dict, messages: list):
+        for m in messages:
             if m.kind == "job":
                 if job.get("step"):
                     continue  # redelivered
@@ -111,7 +113,7 @@ class JobMachine(StatefulProcessor):
                 early = job.setdefault("early", [])
                 if sum(k == m.kind for k, _, _ in early) < self.attempts:  # no more than these can count
                     early.append((m.kind, bool(m.usable), int(m.at.timestamp() * 1000)))
-                self._timer(int((m.at + self.forget_after).timestamp() * 1000))
+                self._timer(job, int((m.at + self.forget_after).timestamp() * 1000))
             else:
                 yield from self._answer(job, m.kind, bool(m.usable), m.at)
 
@@ -120,23 +122,29 @@ class JobMachine(StatefulProcessor):
         for step, prompt, attempt, error, at in moves:
             job["ord"] = job.get("ord", 0) + 1
             rows.append((key, job["ord"], step, prompt, attempt, error, at))
-        out = pd.DataFrame(rows, columns=["job_id", "ord", "step", "prompt", "attempt", "error_message", "at"])
-        out["attempt"] = out["attempt"].astype("Int32")
-        return out.astype({"ord": "int32"})
+        cols = list(zip(*rows)) or [()] * 7
+        return pd.DataFrame({
+            "job_id": cols[0], "ord": np.array(cols[1], np.int32), "step": cols[2], "prompt": cols[3],
+            "attempt": pd.array(cols[4], "Int32"), "error_message": cols[5], "at": cols[6]})
 
     def _load(self) -> dict:
         return json.loads(self.job.get()[0]) if self.job.exists() else {}
 
     def handleInputRows(self, key, rows, timerValues):
         job = self._load()
-        parts = [r for r in rows]
-        messages = pd.concat(parts).sort_values(["at", "kind", "usable"], kind="stable")
+        before = json.dumps(job)
+        messages = sorted(
+            (m for part in rows for m in part.itertuples(index=False)), key=lambda m: (m.at, m.kind, bool(m.usable)))
         out = self._tell(key[0], job, self._moves(job, messages))
-        self.job.update((json.dumps(job),))
-        yield out
+        after = json.dumps(job)
+        if after != before:
+            self.job.update((after,))
+        if len(out):
+            yield out
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
         job = self._load()
+        job["timer"] = None  # it has just fired
         if job.get("wait"):
             out = self._tell(key[0], job, [self._late(job)])
             self.job.update((json.dumps(job),))
