@@ -142,3 +142,11 @@ def test_correlation_with_a_hot_address(spark):
         want = sorted((e for e, ip in rows if ip in ips), reverse=True)[:20]
         assert [e for _, e in sorted(got[job])] == want
     assert "z" not in got
+
+
+def test_every_intel_row_of_a_value_counts(spark):
+    found = spark.createDataFrame([("j", "Ip", "1.1.1.1", "Rule", 0)], "job_id string, type string, value string, extracted_by string, pos int")
+    rows = [("Ip", "1.1.1.1", "VirusTotal", 0.25, False)] * 2 + [("Ip", "1.1.1.1", "AbuseIpDb", s, True) for s in (0.3, 0.1)]
+    known = spark.createDataFrame(rows, "type string, value string, source string, malicious_score double, from_live_api boolean")
+    nested = correlate.intel_of_iocs(found, known).first().intel
+    assert [(r.source, r.malicious_score) for r in nested] == [("AbuseIpDb", 0.1), ("AbuseIpDb", 0.3), ("VirusTotal", 0.25), ("VirusTotal", 0.25)]
