@@ -17,9 +17,10 @@ from .lens import JOB_CTE, LOG_CTE, MAIL_EXPRS, REPORT_CTE, Lens, epoch_seconds,
 
 
 def stream_of(t: Lens, table: str) -> DataFrame:
-    """One of the given tables as a file stream."""
+    """One of the given tables as a file stream, be it a file or a folder of files."""
     schema = t.table(table).schema
-    return t.spark.readStream.schema(schema).option("pathGlobFilter", f"{table}.parquet").parquet(t.folder)
+    # A pattern, since only that lets a stream read a single file; a filter on names would find no files in a folder.
+    return t.spark.readStream.schema(schema).parquet(f"{t.folder}/{table}.parque[t]")
 
 
 def run_to_table(df: DataFrame, name: str, mode: str = "append") -> DataFrame:

@@ -211,3 +211,14 @@ def test_the_cache_of_a_stream_answers_as_the_table_does(spark, tmp_path):
     table_form = intel.cached_as_of(asks, cache.where("value is not null")).where("looked_up_at is not null").collect()
     assert got == {r.lookup_id: (r.malicious_score, r.from_live_api, r.looked_up_at) for r in table_form}
     assert 900 not in got and {901, 902} <= set(got) and len(got) > 50
+
+
+def test_a_table_is_streamed_from_a_file_and_from_a_folder(spark, data_dir, tmp_path):
+    from alertloom.plans.catalog_streams import run_to_table, stream_of
+    from alertloom.plans.lens import Lens
+
+    whole = spark.read.parquet(f"{data_dir}/labels.parquet")
+    whole.repartition(3).write.parquet(f"{tmp_path}/labels.parquet")
+    whole.write.parquet(f"{tmp_path}/labels.parquet.old")
+    for folder in (data_dir, str(tmp_path)):
+        assert run_to_table(stream_of(Lens(spark, folder), "labels"), "labels").count() == whole.count()
