@@ -197,8 +197,8 @@ _ANSWERS = {
 def _(t):
     """Jobs wait for answers that come in later batches, earlier, twice, broken, too late or never; jobs are redelivered."""
     k = F.col("job_id").cast("bigint") % 8
-    jobs = t.jobs.select(F.col("id").alias("job_id"), "file_type", (
-        F.lit("2024-01-01").cast("timestamp") + F.make_dt_interval(secs=F.col("id").cast("bigint") % 60)).alias("created_at"))
+    jobs = spread(t.jobs.select(F.col("id").alias("job_id"), "file_type", (
+        F.lit("2024-01-01").cast("timestamp") + F.make_dt_interval(secs=F.col("id").cast("bigint") % 60)).alias("created_at")))
     path = scratch_path(t.spark, "messages")
     def batch(n: int) -> DataFrame:
         asked = J.job_messages(jobs if n == 2 else jobs.where(k != 4) if n == 1 else jobs.limit(0))

@@ -5,8 +5,10 @@ A suspicious job asks for what its path needs: mails for an analysis first, all
 from there. An unusable first answer asks again, a second one ends the job, and so does a deadline without an answer.
 Answers that come before their job are kept until it arrives; redelivered jobs and further answers change nothing.
 
-State is one value per job, keyed and sharded by job id; ended jobs keep their end only, so that redeliveries are known,
-until ``forget_after`` has passed. Time is event time: deadlines fall when the watermark passes them.
+Jobs are dealt to SHARDS shards by a hash of their id. State is one value per shard with the jobs in it, and one timer
+for the earliest of their deadlines: a batch calls the state store per shard, not several times per job. Ended jobs keep
+their end only, so that redeliveries are known, until ``forget_after`` has passed. Time is event time: deadlines fall
+when the watermark passes them.
 """
 
 from __future__ import annotations
@@ -16,17 +18,20 @@ import json
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from ..functions import responses, scoring
+from ..functions.text import let
 
 #: Messages: ``kind`` is job, email_analysis or synthesis; ``usable`` and ``violations`` say what an answer is worth.
 MESSAGE = "job_id string, kind string, file_type string, usable boolean, violations array<string>, at timestamp"
 #: What a job did: the step it is at, which prompt it sent (null: none) and which attempt that is, and why it failed.
 MOVE = "job_id string, ord int, step string, prompt string, attempt int, error_message string, at timestamp"
 WATERMARK = "10 minutes"
+#: Fixed for the life of a checkpoint.
+SHARDS = 1024
 STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 _WAITS = {"email_analysis": "tier2.email_analysis", "synthesis": "tier2.synthesis_pending"}
@@ -43,33 +48,31 @@ def job_messages(jobs: DataFrame, at: str = "created_at") -> DataFrame:
 
 def answer_messages(answers: DataFrame, kind: str, at: str = "at") -> DataFrame:
     """Model answers (job_id, response, at) as messages; they are parsed and validated here, outside of any state."""
+    # Each answer is parsed once: what is made of it hangs on one bound value.
     if kind == "email_analysis":
-        usable: Column = responses.email_analysis("response").isNotNull()
-        violations = F.array().cast("array<string>")
+        worth = F.struct(responses.email_analysis("response").isNotNull().alias("usable"), F.array().cast("array<string>").alias("violations"))
     else:
-        r = responses.synthesis("response")
-        violations = F.when(r.isNull(), F.array(F.lit("The response is not the JSON object asked for."))).otherwise(
-            scoring.report_violations(r["risk_score"], r["severity"], r["mitre"], F.size(r["evidence"])))
-        usable = F.size(violations) == 0
+        violations = let(responses.synthesis("response"), lambda r: F.when(
+            r.isNull(), F.array(F.lit("The response is not the JSON object asked for."))).otherwise(
+            scoring.report_violations(r["risk_score"], r["severity"], r["mitre"], F.size(r["evidence"]))))
+        worth = let(violations, lambda v: F.struct((F.size(v) == 0).alias("usable"), v.alias("violations")))
     return answers.select("job_id", F.lit(kind).alias("kind"), F.lit(None).cast("string").alias("file_type"),
-                          usable.alias("usable"), violations.alias("violations"), F.col(at).alias("at"))
+                          worth.alias("worth"), F.col(at).alias("at")).select(
+        "job_id", "kind", "file_type", "worth.usable", "worth.violations", "at")
 
 
 class JobMachine(StatefulProcessor):
-    """One job: {"step", "wait", "attempt", "ord", "early"}."""
+    """The jobs of a shard, each {"step", "wait", "attempt", "ord", "early", "timer"}."""
 
     def __init__(self, patience: dt.timedelta, forget_after: dt.timedelta, attempts: int = 2):
         self.patience, self.forget_after, self.attempts = patience, forget_after, attempts
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.job = handle.getValueState("job", "state string")
+        self.shard = handle.getValueState("shard", "state string")
 
     def _timer(self, job: dict, at_ms: int) -> None:
-        if job.get("timer") is not None:
-            self.handle.deleteTimer(job["timer"])
         job["timer"] = at_ms
-        self.handle.registerTimer(at_ms)
 
     def _wait(self, job: dict, kind: str, attempt: int, at: pd.Timestamp) -> tuple:
         job |= {"step": _WAITS[kind], "wait": kind, "attempt": attempt, "until": int((at + self.patience).timestamp() * 1000)}
@@ -117,50 +120,80 @@ class JobMachine(StatefulProcessor):
             else:
                 yield from self._answer(job, m.kind, bool(m.usable), m.at)
 
-    def _tell(self, key: str, job: dict, moves) -> pd.DataFrame:
+    def _tell(self, key: str, job: dict, moves) -> list[tuple]:
         rows = []
         for step, prompt, attempt, error, at in moves:
             job["ord"] = job.get("ord", 0) + 1
             rows.append((key, job["ord"], step, prompt, attempt, error, at))
-        cols = list(zip(*rows)) or [()] * 7
+        return rows
+
+    def _frame(self, rows: list[tuple]) -> pd.DataFrame:
+        cols = list(zip(*rows))
         return pd.DataFrame({
             "job_id": cols[0], "ord": np.array(cols[1], np.int32), "step": cols[2], "prompt": cols[3],
             "attempt": pd.array(cols[4], "Int32"), "error_message": cols[5], "at": cols[6]})
 
-    def _load(self) -> dict:
-        return json.loads(self.job.get()[0]) if self.job.exists() else {}
+    def _load(self) -> tuple[str, dict]:
+        text = self.shard.get()[0] if self.shard.exists() else "{}"
+        return text, json.loads(text)
+
+    def _store(self, before: str, jobs: dict, timer: int | None) -> None:
+        """Keep the jobs, and a timer for the first deadline instead of ``timer``."""
+        after = json.dumps(jobs)
+        if not jobs:
+            self.shard.clear()
+        elif after != before:
+            self.shard.update((after,))
+        first = _first(jobs)
+        if first != timer:
+            if timer is not None:
+                self.handle.deleteTimer(timer)
+            if first is not None:
+                self.handle.registerTimer(first)
 
     def handleInputRows(self, key, rows, timerValues):
-        job = self._load()
-        before = json.dumps(job)
-        messages = sorted(
-            (m for part in rows for m in part.itertuples(index=False)), key=lambda m: (m.at, m.kind, bool(m.usable)))
-        out = self._tell(key[0], job, self._moves(job, messages))
-        after = json.dumps(job)
-        if after != before:
-            self.job.update((after,))
-        if len(out):
-            yield out
+        before, jobs = self._load()
+        timer, out = _first(jobs), []
+        messages: dict[str, list] = {}
+        for part in rows:
+            for m in part.itertuples(index=False):
+                messages.setdefault(m.job_id, []).append(m)
+        for job_id, mine in messages.items():
+            mine.sort(key=lambda m: (m.at, m.kind, bool(m.usable)))
+            job = jobs.setdefault(job_id, {})
+            out += self._tell(job_id, job, self._moves(job, mine))
+        self._store(before, jobs, timer)
+        if out:
+            yield self._frame(out)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
-        job = self._load()
-        job["timer"] = None  # it has just fired
-        if job.get("wait"):
-            out = self._tell(key[0], job, [self._late(job)])
-            self.job.update((json.dumps(job),))
-            yield out
-        else:
-            self.job.clear()
+        fired = expiredTimerInfo.getExpiryTimeInMs()
+        now = max(fired, timerValues.getCurrentWatermarkInMs())
+        before, jobs = self._load()
+        out = []
+        for job_id in [j for j, job in jobs.items() if job["timer"] <= now]:
+            if jobs[job_id].get("wait"):
+                out += self._tell(job_id, jobs[job_id], [self._late(jobs[job_id])])
+            else:
+                del jobs[job_id]
+        self._store(before, jobs, None)  # the timer has just fired
+        if out:
+            yield self._frame(out)
 
     def close(self) -> None:
         pass
 
 
+def _first(jobs: dict) -> int | None:
+    return min((job["timer"] for job in jobs.values()), default=None)
+
+
 def run_jobs(messages: DataFrame, patience: dt.timedelta = dt.timedelta(hours=1),
              forget_after: dt.timedelta = dt.timedelta(days=7)) -> DataFrame:
     """Moves of all jobs from a stream of messages."""
     messages.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
-    return messages.where("job_id is not null and at is not null").withWatermark("at", WATERMARK).groupBy("job_id").transformWithStateInPandas(
+    usable = messages.where("job_id is not null and at is not null").withColumn("shard", F.pmod(F.xxhash64("job_id"), F.lit(SHARDS)))
+    return usable.withWatermark("at", WATERMARK).groupBy("shard").transformWithStateInPandas(
         statefulProcessor=JobMachine(patience, forget_after), outputStructType=MOVE, outputMode="append", timeMode="EventTime")
 
 

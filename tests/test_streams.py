@@ -222,3 +222,81 @@ def test_a_table_is_streamed_from_a_file_and_from_a_folder(spark, data_dir, tmp_
     whole.write.parquet(f"{tmp_path}/labels.parquet.old")
     for folder in (data_dir, str(tmp_path)):
         assert run_to_table(stream_of(Lens(spark, folder), "labels"), "labels").count() == whole.count()
+
+
+class FakeHandle:
+    """A state store that counts what it is asked for."""
+
+    def __init__(self):
+        self.calls, self.value, self.timers = 0, None, set()
+
+    def getValueState(self, name, schema):
+        return self
+
+    def exists(self):
+        self.calls += 1
+        return self.value is not None
+
+    def get(self):
+        self.calls += 1
+        return self.value
+
+    def update(self, value):
+        self.calls += 1
+        self.value = value
+
+    def clear(self):
+        self.value = None
+
+    def registerTimer(self, at):
+        self.calls += 1
+        self.timers.add(at)
+
+    def deleteTimer(self, at):
+        self.timers.discard(at)
+
+    def listTimers(self):
+        return iter(self.timers)
+
+
+def test_many_jobs_of_a_shard_are_a_few_calls_to_the_store():
+    import pandas as pd
+
+    from alertloom.streaming import job_states as J
+
+    handle, machine = FakeHandle(), J.JobMachine(dt.timedelta(hours=1), dt.timedelta(days=7))
+    machine.init(handle)
+    at = [pd.Timestamp("2026-03-01") + pd.Timedelta(seconds=i) for i in range(500)]
+    jobs = pd.DataFrame({"job_id": [str(i) for i in range(500)], "kind": "job", "file_type": "Csv", "usable": None, "violations": None, "at": at})
+    moves = pd.concat(list(machine.handleInputRows((1,), iter([jobs]), None)))
+    assert len(moves) == 500 and handle.calls <= 4 and len(handle.timers) == 1
+    first = min(handle.timers)
+
+    class At:
+        getExpiryTimeInMs = getCurrentWatermarkInMs = staticmethod(lambda: first + 2000)
+
+    handle.timers.clear()  # as the engine does with a timer that fires
+    late = pd.concat(list(machine.handleExpiredTimer((1,), At, At)))
+    assert sorted(late["job_id"]) == ["0", "1", "2"] and set(late["step"]) == {"tier2.failed"}
+    assert handle.timers == {first + 3000}
+
+
+def test_a_busy_address_is_looked_up_without_going_through_all_answers():
+    import time
+
+    import pandas as pd
+
+    from alertloom.streaming import intel_cache as C
+
+    n, begin = 40_000, pd.Timestamp("2026-03-01")
+    at = [begin + pd.Timedelta(milliseconds=i) for i in range(n)]
+    rows = pd.DataFrame({"at": at, "malicious_score": [float(i) if i % 2 == 0 else None for i in range(n)],
+                         "from_live_api": [True if i % 2 == 0 else None for i in range(n)],
+                         "lookup_id": [None if i % 2 == 0 else i for i in range(n)]})
+    handle, cache = FakeHandle(), C.Cache(int(C.TTL.total_seconds() * 1e6))
+    cache.init(handle)
+    period = int(begin.timestamp() // C.TTL.total_seconds())
+    start = time.process_time()
+    out = next(cache.handleInputRows(("Ip", "1.1.1.1", "VirusTotal", period), iter([rows]), None))
+    assert time.process_time() - start < 5
+    assert len(out) == n // 2 and list(out["malicious_score"]) == [float(i - 1) for i in out["lookup_id"]]
