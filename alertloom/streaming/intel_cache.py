@@ -15,6 +15,7 @@ from __future__ import annotations
 import json
 from datetime import timedelta
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -54,15 +55,14 @@ class Cache(StatefulProcessor):
         period = int(key[3])
         batch = pd.concat(list(rows))
         batch = batch.assign(us=batch["at"].astype("datetime64[us]").astype("int64"), ask=batch["lookup_id"].notna())
-        out = []
-        for m in batch.sort_values(["us", "ask"], kind="stable").itertuples(index=False):
-            if not m.ask:
-                kept.append([m.us, m.malicious_score, bool(m.from_live_api)])
-                kept.sort(key=lambda a: (a[0], a[1]))
-                continue
-            seen = [a for a in kept if m.us - self.ttl < a[0] <= m.us]
-            if seen:
-                out.append((int(m.lookup_id), *key[:3], seen[-1][1], seen[-1][2], pd.Timestamp(seen[-1][0], unit="us")))
+        told = batch[~batch["ask"]].sort_values("us", kind="stable")
+        kept += [[us, score, bool(live)] for us, score, live in zip(told["us"].tolist(), told["malicious_score"].tolist(), told["from_live_api"])]
+        kept.sort(key=lambda a: (a[0], a[1]))
+        # The newest answer at each lookup: later ones of the batch are sorted behind it.
+        asked = batch[batch["ask"]].sort_values("us", kind="stable")
+        at = np.searchsorted(np.array([a[0] for a in kept], np.int64), asked["us"].to_numpy(np.int64), side="right") - 1
+        out = [(int(ask), *key[:3], kept[i][1], kept[i][2], pd.Timestamp(kept[i][0], unit="us"))
+               for ask, us, i in zip(asked["lookup_id"].tolist(), asked["us"].tolist(), at.tolist()) if i >= 0 and kept[i][0] > us - self.ttl]
         # Of the answers before the period only the newest can still be the newest of a lookup.
         begin = period * self.ttl
         old = [a for a in kept if a[0] < begin]
