@@ -12,15 +12,15 @@ URL = r"""(?iU)https?://[^\s"'<>\]\)]+"""
 IPV4 = r"(?U)\b(?:\d{1,3}\.){3}\d{1,3}\b"
 DOMAIN = r"(?:[a-zA-Z0-9](?:[a-zA-Z0-9\-]{0,61}[a-zA-Z0-9])?\.)+[a-zA-Z]{2,}"
 EMAIL = r"(?U)\b[A-Za-z0-9._%+\-]+@[A-Za-z0-9.\-]+\.[A-Za-z]{2,}\b"
-# The same hits, found faster: a label of 63 characters at most must be followed by a dot, which one look ahead decides
-# without trying every shorter label. A name has 127 labels at most; without that bound the matcher's stack grows with
-# a hostile text.
-FAST_DOMAIN = r"(?=[a-zA-Z0-9\-]{1,63}+\.)" + DOMAIN.replace(r"\.)+", r"\.){1,127}")
+# The same hits, found faster: a label of 63 characters at most must be followed by a dot and a letter or digit, which
+# one look ahead decides without trying every shorter label; so the last word of a sentence is no candidate. A name has
+# 127 labels at most; without that bound the matcher's stack grows with a hostile text.
+FAST_DOMAIN = r"(?=[a-zA-Z0-9\-]{1,63}+\.[a-zA-Z0-9])" + DOMAIN.replace(r"\.)+", r"\.){1,127}")
 # The same hits of EMAIL in linear time. All word boundaries of a run of name characters share the sign behind the run
 # and what follows it, so only the first boundary of a run needs a try: at the beginning of the run or where the last
-# hit ended. Group 1 is what precedes the boundary, group 2 the address.
+# hit ended. The sign is looked for before any boundary. Group 1 is what precedes the boundary, group 2 the address.
 FAST_EMAIL = (
-    r"(?U)(?:(?<![A-Za-z0-9._%+\-])|\G)((?:(?!\b)[A-Za-z0-9._%+\-])*+)"
+    r"(?U)(?:(?<![A-Za-z0-9._%+\-])|\G)(?=[A-Za-z0-9._%+\-]++@)((?:(?!\b)[A-Za-z0-9._%+\-])*+)"
     r"(\b[A-Za-z0-9._%+\-]++@[A-Za-z0-9.\-]+\.[A-Za-z]{2,}\b)"
 )
 IP_URL = r"(?iU)https?://\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}"

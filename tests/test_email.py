@@ -167,3 +167,40 @@ def test_lookup_paths(spark):
     assert [r.p for r in got[:4]] == [r[2] for r in rows[:4]]
     import base64
     assert got[4].p == "urls/" + base64.urlsafe_b64encode(rows[4][1].encode()).decode().rstrip("=")
+
+
+def test_keyword_rules_are_found_as_the_plain_patterns_find_them(spark):
+    import random
+
+    from pyspark.sql import functions as F
+
+    from alertloom.functions import email
+
+    rng = random.Random(17)
+    words = sorted({w for groups in email._GUARDS.values() for g in groups for w in g})
+    words += "act action log sign in see open date of birth you have won to the your this here mother's logs é a".split()
+    signs = [" ", "  ", "\n", "-", "", "\u00a0", "é", ". ", "s "]
+    texts = ["".join(rng.choice(words) + rng.choice(signs) for _ in range(rng.randrange(1, 40))) for _ in range(2000)]
+    texts += ["éurgent", "urgenté", "_act now", "act\u00a0now", "xurgent urgent", "ssn", "a\u0301urgent", "Log In to your", "HTTPS://1.2.3.4", "within 24 hours", ""]
+    texts += [p[2:].replace("(", "").split("|")[0].replace(r"\s+", " ") for _, p in email.PHISHING_RULES]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    plain = [F.rlike(F.lower("t"), F.lit("(?dU)" + p)).alias(n) for n, p in email.PHISHING_RULES]
+    fast = [F.rlike(F.lower("t"), F.lit("(?dU)" + email.fast_rule(p))) for _, p in email.PHISHING_RULES]
+    rows = df.select("t", F.struct(*plain).alias("want"), F.array(*fast).alias("got"), email.keyword_rules("t").alias("names")).collect()
+    for r in rows:
+        assert list(r.want) == r.got, r.t
+        assert [n for n, hit in r.want.asDict().items() if hit] == r.names, r.t
+    assert all(any(r.want[n] for r in rows) for n, _ in email.PHISHING_RULES)
+    assert all(email.fast_rule(p).startswith(("(?=", "http")) for _, p in email.PHISHING_RULES)
+
+
+def test_sentence_ends_are_no_names(spark):
+    from pyspark.sql import functions as F
+
+    from alertloom.functions import network
+
+    texts = ["at the end. a.b-c.de. Next.to x-.y.zz 3.5 a..bc a.-b.cd a." + "b" * 64 + ".ef", "end.", ".", "a.b.", "x" * 70 + ".com", "1.a2.c3.com9.org"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    for r in df.select("t", F.regexp_extract_all("t", F.lit(network.DOMAIN), F.lit(0)).alias("want"), network.all_domains("t").alias("got")).collect():
+        assert r.want == r.got, r.t
+    assert r"\.[a-zA-Z0-9])" in network.FAST_DOMAIN
