@@ -29,6 +29,12 @@ IPV4 = (
     r"(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])\b"
 )
 PHONE = r"(?U)(?=[+(\d])(?<!\d)(?:\+?\d{1,3}[\s\-])?(?:\(?\d{2,4}\)?[\s\-])?\d{3,4}[\s\-]\d{4}(?!\d)"
+# Phone numbers as an engine without look-around finds them: the sign on either side belongs to the hit, so of two
+# numbers with one sign between them the second is found in part or not at all. Digits and white space are ASCII.
+PHONE_CONSUMING = (
+    r"(?=[^0-9]?[+(0-9])(^|[^0-9])(?:\+?[0-9]{1,3}[\t\n\f\r \-])?(?:\(?[0-9]{2,4}\)?[\t\n\f\r \-])?"
+    r"[0-9]{3,4}[\t\n\f\r \-][0-9]{4}(\z|[^0-9])"
+)
 ACCOUNT_ID = r"""(?iU)((?:account[_\-\s]?(?:id)?|arn:aws)[:\s"']*)\d{12}\b"""
 
 RULES: list[tuple[str, str, str]] = [
@@ -42,18 +48,19 @@ RULES: list[tuple[str, str, str]] = [
     ("phone", PHONE, "[REDACTED_PHONE]"),
     ("account_id", ACCOUNT_ID, "$1[REDACTED_ACCOUNT_ID]"),
 ]
-_BY_NAME = {name: (pattern, replacement) for name, pattern, replacement in RULES}
+# The rules as the SQL of the registered queries states them.
+SQL_RULES = [(n, PHONE_CONSUMING, "$1[REDACTED_PHONE]$2") if n == "phone" else (n, p, r) for n, p, r in RULES]
 
 
-def redact(col: Column | str, kind: str) -> Column:
+def redact(col: Column | str, kind: str, rules: list[tuple[str, str, str]] = RULES) -> Column:
     """Apply a single redaction rule."""
-    pattern, replacement = _BY_NAME[kind]
+    pattern, replacement = next((p, r) for name, p, r in rules if name == kind)
     return F.regexp_replace(as_col(col), F.lit(pattern), F.lit(replacement))
 
 
-def scrub(col: Column | str) -> Column:
+def scrub(col: Column | str, rules: list[tuple[str, str, str]] = RULES) -> Column:
     """Apply every rule in order; null becomes the empty string."""
     out = F.coalesce(as_col(col), F.lit(""))
-    for name, _, _ in RULES:
-        out = redact(out, name)
+    for name, _, _ in rules:
+        out = redact(out, name, rules)
     return out
