@@ -200,27 +200,33 @@ class Network:
             f["h"].T @ d_g, d_g.sum(axis=0), f["h"].T @ d_inner, at_group[:, :INNER], f["inner"].T @ d_m,
             at_group[:, INNER:]]
 
-    def train(self, windows: np.ndarray, weight: np.ndarray, rate: float, seed: int, batch: int = 128) -> None:
-        """One pass of Adam over the windows in random order."""
+    def train(self, windows: np.ndarray, weight: np.ndarray, rate: float, seed: int, batch: int = 128,
+              state: list | None = None) -> list:
+        """One pass of Adam over the windows in random order; goes on from ``state``, what an earlier pass returned."""
         order = np.random.default_rng(seed).permutation(len(windows))
-        state = [(np.zeros_like(p), np.zeros_like(p)) for p in self.parameters()]
+        done, moments = state or (0, [(np.zeros_like(p), np.zeros_like(p)) for p in self.parameters()])
         steps = -(-len(order) // batch)
         for t in range(steps):
             pick = order[t * batch:(t + 1) * batch]
-            now = np.float32(rate * min(1, (t + 1) / 8))  # the first steps are small, the moments are not known yet
-            for p, g, (m, v) in zip(self.parameters(), self.gradients(windows[pick], weight[pick]), state):
+            step = done + t + 1
+            now = np.float32(rate * min(1, step / 8))  # the first steps are small, the moments are not known yet
+            fade = np.float32(1 / (1 - 0.9 ** step)), np.float32(1 / (1 - 0.99 ** step))
+            for p, g, (m, v) in zip(self.parameters(), self.gradients(windows[pick], weight[pick]), moments):
                 m += np.float32(0.1) * (g - m)
                 v += np.float32(0.01) * (g * g - v)
-                fade = np.float32(1 / (1 - 0.9 ** (t + 1))), np.float32(1 / (1 - 0.99 ** (t + 1)))
                 p -= now * (m * fade[0]) / (np.sqrt(v * fade[1]) + np.float32(1e-7))
+        return [done + steps, moments]
 
 
 def _add_rows(ids: np.ndarray, rows: np.ndarray, size: int) -> np.ndarray:
     """Sums of the rows by id."""
-    wide = rows.shape[1]
-    out = np.zeros(size * wide, np.float32)
-    np.add.at(out, (ids.astype(np.int64)[:, None] * wide + np.arange(wide)).ravel(), rows.ravel())
-    return out.reshape(size, wide)
+    out = np.zeros((size, rows.shape[1]), np.float32)
+    if len(ids):
+        order = np.argsort(ids.astype(np.int16), kind="stable")
+        ids = ids[order]
+        first = np.flatnonzero(np.concatenate([[True], ids[1:] != ids[:-1]]))
+        out[ids[first]] = np.add.reduceat(rows[order], first, axis=0)
+    return out
 
 
 def blocks(sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

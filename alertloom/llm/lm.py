@@ -7,10 +7,10 @@
 2. Words become ids of a public tokenizer. The vocabulary of the network has the 256 bytes, the end of a text and the ids
    most frequent in the training documents, counted over all of them; other ids are spelt as their bytes. The ids of
    all texts are written once.
-3. The network is fitted on a bounded sample of windows (WARM) first. Then every round each task goes on from the
-   shared weights over its part of the training windows, and the weights of all tasks are averaged. A round takes one
-   of FOLDS parts of all training windows, another one each time, or LEAST windows if that is more: what is learned
-   from grows with the corpus, and a small corpus is gone through as a whole every time.
+3. Classes come from the pairs of neighbouring ids in all training documents. The network starts from a fit of WARM
+   windows. Then every round each task goes on from the shared weights over its part of the training windows, and the
+   weights of all tasks are averaged. The rounds take disjoint parts of the training windows (ROUNDS), which together
+   are all of them; a small corpus is gone through LEAST windows, or as a whole, every time.
 4. Overlapping windows score each token of every text once (attention.py).
 
 A-Z are lower-cased; words are runs ``[^\\x20\\x09-\\x0D]+``, white space only separates them; the end of a text is a
@@ -42,8 +42,9 @@ from . import attention, textscan
 HOT, HOT_IDS = 1 << 17, 16
 #: Windows of the first fit.
 WARM = 16_384
-#: Rounds over the corpus; the part of its windows that one takes, and how many at least.
-ROUNDS, FOLDS, LEAST = 4, 128, 1 << 17
+#: Where the part of each round over the corpus begins, of PARTS, and how many windows it takes at least. Weights are
+#: averaged early while they still move far.
+ROUNDS, LEAST = (0, 1 << 14, 1 << 16, 1 << 18), 1 << 17
 #: Step of the first fit, and what it shrinks by every round.
 RATE, SHRINK = 0.015, 0.7
 #: Parts that hashes tell apart.
@@ -249,25 +250,50 @@ def _streams(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def _chosen(batch: pa.RecordBatch, low: int, count: int):
-    """(hash, window, weight) of the blocks whose hash falls into ``count`` of PARTS from ``low`` on."""
+    """Slices (hash, window, weight) of the blocks whose hash falls into ``count`` of PARTS from ``low`` on."""
     stream, begins, sizes = _streams(batch.column("ids"))
     text, nth = attention.blocks(sizes)
     row = batch.column("row").to_numpy().astype(np.uint64)
     key = textscan.mix(textscan.mix(row[text]) + nth.astype(np.uint64))
-    pick = (key - np.uint64(low)) % np.uint64(PARTS) < np.uint64(count)
-    return key[pick], *attention.cut(stream, begins, sizes, text[pick], nth[pick])
+    pick = np.flatnonzero((key - np.uint64(low)) % np.uint64(PARTS) < np.uint64(count))
+    for at in range(0, len(pick), SLICE):
+        mine = pick[at:at + SLICE]
+        yield key[mine], *attention.cut(stream, begins, sizes, text[mine], nth[mine])
+
+
+def _pairs(train: DataFrame) -> np.ndarray:
+    """How often each id (column) follows another or the beginning (row), in all training documents."""
+    size = attention.SIZE
+
+    def count(batches):
+        total = np.zeros((size + 1) * size, np.int64)
+        for batch in batches:
+            stream, begins, sizes = _streams(batch.column("ids"))
+            for at in range(0, len(sizes), SLICE):
+                lead, n = begins[at:at + SLICE], sizes[at:at + SLICE]
+                ids = ragged(stream, lead, n).astype(np.int64)
+                before = np.concatenate([[attention.BEGIN], ids[:-1]])
+                before[(np.cumsum(n) - n)[n > 0]] = attention.BEGIN
+                total += np.bincount(before * size + ids, minlength=len(total))
+        pair = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(pair.astype(np.int32)), pa.array(total[pair])], names=["pair", "n"])
+
+    table = train.select("ids").mapInArrow(count, "pair int, n long").groupBy("pair").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros((size + 1) * size, np.float32)  # SIZE * SIZE numbers at most reach the driver
+    out[table.column("pair").to_numpy()] = table.column("n").to_numpy()
+    return out.reshape(size + 1, size)
 
 
 def _warm(train: DataFrame, blocks: int) -> tuple[np.ndarray, np.ndarray]:
-    """At most WARM windows, chosen by hash from everywhere."""
+    """At most WARM windows, chosen by hash from everywhere: where the fit starts."""
     count = max(1, PARTS * 2 * WARM // blocks) if blocks > 2 * WARM else PARTS
 
     def pick(batches):
         for batch in batches:
-            key, windows, weight = _chosen(batch, 0, count)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(key.view(np.int64)), pa.array([w.tobytes() for w in windows], pa.binary()),
-                 pa.array([w.tobytes() for w in weight], pa.binary())], names=["key", "w", "k"])
+            for key, windows, weight in _chosen(batch, 0, count):
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(key.view(np.int64)), pa.array([w.tobytes() for w in windows], pa.binary()),
+                     pa.array([w.tobytes() for w in weight], pa.binary())], names=["key", "w", "k"])
 
     rows = train.mapInArrow(pick, "key long, w binary, k binary").orderBy("key", "w").limit(WARM).collect()
     join = lambda c, kind, wide: np.frombuffer(b"".join(bytes(r[c]) for r in rows), kind).reshape(-1, wide)
@@ -278,22 +304,25 @@ def _round(train: DataFrame, net: attention.Network, places: np.ndarray, nth: in
     """Weights after each task went on from ``net`` over its windows of the round, averaged by their number."""
     shared = train.sparkSession.sparkContext.broadcast((net, places))
     rate = RATE * SHRINK**nth
-    count = min(PARTS, max(PARTS // FOLDS, PARTS * LEAST // blocks))
+    low, end = (*ROUNDS, PARTS)[nth:nth + 2]
+    count = min(PARTS, max(end - low, PARTS * LEAST // blocks))
 
     def learn(batches):
         net, places = shared.value
-        found = [_chosen(b, nth * count, count)[1:] for b in batches]
-        windows = np.concatenate([f[0] for f in found]) if found else np.zeros((0, attention.SPAN), np.int16)
-        if not len(windows):
-            return
         net.set([p.copy() for p in net.parameters()])
-        net.train(places[windows], np.concatenate([f[1] for f in found]), rate, nth)
-        flat = np.concatenate([p.ravel() for p in net.parameters()]).astype(np.float64) * len(windows)
+        state, n, last = None, 0, 0
+        for batch in batches:
+            for _, windows, weight in _chosen(batch, low, count):
+                state = net.train(places[windows], weight, rate, nth, state=state)
+                n, last = n + len(windows), int(windows[0, -1])
+        if not n:
+            return
+        flat = np.concatenate([p.ravel() for p in net.parameters()]).astype(np.float64) * n
         parts = [flat[at:at + PART] for at in range(0, len(flat), PART)]
-        salt = int(textscan.mix(np.array([len(windows)], np.uint64) + windows[0, -1].astype(np.uint64))[0] % np.uint64(64))
+        salt = int(textscan.mix(np.array([n + last], np.uint64))[0] % np.uint64(64))
         yield pa.RecordBatch.from_arrays(
             [pa.array(np.arange(len(parts)), pa.int32()), pa.array([salt] * len(parts), pa.int32()),
-             pa.array([len(windows)] * len(parts), pa.int64()), pa.array(parts, pa.list_(pa.float64()))],
+             pa.array([n] * len(parts), pa.int64()), pa.array(parts, pa.list_(pa.float64()))],
             names=["part", "salt", "n", "v"])
 
     def add(table: pa.Table) -> pa.Table:
@@ -321,9 +350,7 @@ def fit(encoded: DataFrame, counts: np.ndarray) -> tuple[attention.Network, np.n
     train = encoded.where("train").select("row", "ids")
     blocks = train.agg(F.sum(F.ceil(F.octet_length("ids") / (2 * attention.STEP)))).first()[0] or 0
     windows, weight = _warm(train, blocks)
-    pairs = np.zeros((attention.SIZE + 1, attention.SIZE), np.float32)
-    last = attention.KEYS - attention.STEP
-    np.add.at(pairs, (windows[:, last:-1][weight], windows[:, last + 1:][weight]), 1)
+    pairs = _pairs(train)
     order = attention.classes(pairs, pairs.sum(axis=0))
     places = np.append(order, attention.BEGIN).astype(np.int16)
     placed = np.zeros(attention.SIZE)
@@ -331,7 +358,7 @@ def fit(encoded: DataFrame, counts: np.ndarray) -> tuple[attention.Network, np.n
     net = attention.Network(placed)
     if len(windows):
         net.train(places[windows], weight, RATE, 0)
-    for k in range(ROUNDS if blocks else 0):
+    for k in range(len(ROUNDS) if blocks else 0):
         net.set(_round(train, net, places, k, blocks))
     return net, places
 

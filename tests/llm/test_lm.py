@@ -139,3 +139,39 @@ def test_nothing_to_learn_from_and_no_rows(spark):
     assert out[1]["train_tokens"] == 0 and out[1]["n_known"] == 0 and out[1]["n_tokens"] == 3
     assert out[2]["n_tokens"] == 1 and out[2]["base_score"] == 0 and out[1]["score"] < out[2]["score"] < 0
     assert lm.score(frame.limit(0), F.lit(True), VOCAB).count() == 0
+
+
+def test_rounds_take_every_training_window_and_pairs_are_counted_in_all():
+    """Of a corpus too large to be gone through every time, each window is in exactly one round."""
+    import pyarrow as pa
+
+    rng = np.random.default_rng(3)
+    texts = [rng.integers(0, attention.SIZE, n).astype(np.int16) for n in [0, 1, 17, 40_000, 300_000]]
+    batch = pa.RecordBatch.from_arrays(
+        [pa.array(range(len(texts)), pa.int64()), pa.array([t.tobytes() for t in texts], pa.binary())], names=["row", "ids"])
+    bounds = [*lm.ROUNDS, lm.PARTS]
+    assert bounds[0] == 0 and bounds == sorted(bounds)
+    keys = [k for a, b in zip(bounds, bounds[1:]) for key, _, _ in lm._chosen(batch, a, b - a) for k in key]
+    assert sorted(keys) == sorted(k for key, _, _ in lm._chosen(batch, 0, lm.PARTS) for k in key)
+    assert len(keys) == sum(-(-len(t) // attention.STEP) for t in texts)
+
+
+def test_pairs_of_ids_are_those_of_all_training_documents(spark):
+    texts = [[5, 5, 7], [], [7], [1, 2, 3, 4] * 30]
+    rows = [(i, bytearray(np.array(t, np.int16).tobytes())) for i, t in enumerate(texts)]
+    got = lm._pairs(spark.createDataFrame(rows, "row long, ids binary").repartition(3))
+    want = np.zeros_like(got)
+    for t in texts:
+        for a, b in zip([attention.BEGIN, *t], t):
+            want[a, b] += 1
+    assert (got == want).all()
+
+
+def test_a_fit_that_goes_on_equals_one_that_was_not_cut():
+    rng = np.random.default_rng(4)
+    windows = rng.integers(0, attention.SIZE, (512, attention.SPAN)).astype(np.int16)
+    weight = np.ones((512, attention.STEP), bool)
+    state, net = None, attention.Network(np.ones(attention.SIZE))
+    for at in (0, 256):
+        state = net.train(windows[at:at + 256], weight[at:at + 256], 0.01, 1, state=state)
+    assert state[0] == 4 and any(m.any() for m, _ in state[1])
