@@ -23,7 +23,7 @@ SPAN = KEYS + 1
 WIDTH = 32
 SIZE = WIDTH * WIDTH
 BEGIN = SIZE
-HEAD, HIDDEN, INNER = 16, 48, 32
+HEAD, HIDDEN, INNER = 8, 24, 16
 #: Windows that go through the network together; their arrays fit into the cache.
 CHUNK = 96
 #: Logits are bounded, so that exponentials need no maximum.
@@ -57,8 +57,9 @@ class Network:
     NAMES = ("query", "key", "value", "now", "before", "distance", "mix", "bias", "group", "group_bias", "inner",
              "inner_of", "member", "member_bias")
 
-    def __init__(self, counts: np.ndarray, seed: int = 5):
-        """``counts`` has the occurrences of every id; they are where the biases of the output start."""
+    def __init__(self, counts: np.ndarray, seed: int = 5, pairs: np.ndarray | None = None):
+        """``counts`` has the occurrences of every id; they are where the biases of the output start. With ``pairs``, how
+        often each id (column) follows another (row), the logarithms of these odds are added to the logits."""
         rng = np.random.default_rng(seed)
         normal = lambda *shape, scale: rng.normal(0, scale, shape).astype(np.float32)
         ids = SIZE + 1
@@ -73,6 +74,15 @@ class Network:
         grid = counts.reshape(WIDTH, WIDTH) + 0.5
         self.group_bias = np.log(grid.sum(axis=1) / grid.sum()).astype(np.float32)
         self.member_bias = np.log(grid / grid.sum(axis=1, keepdims=True)).astype(np.float32)
+        self.next_group = self.next_member = None
+        if pairs is not None:
+            # Witten-Bell: what was seen after an id, and as much of all ids as it has different followers.
+            kinds = np.maximum((pairs > 0).sum(axis=1, keepdims=True), 1)
+            odds = (pairs + kinds * (grid.ravel() / grid.sum())).reshape(ids, WIDTH, WIDTH)
+            of_group = odds.sum(axis=2)
+            self.next_group = np.log(of_group / of_group.sum(axis=1, keepdims=True)).astype(np.float32)
+            self.next_member = np.log(odds / of_group[:, :, None]).astype(np.float32).reshape(-1, WIDTH)
+            self.group_bias, self.member_bias = np.zeros_like(self.group_bias), np.zeros_like(self.member_bias)
 
     def parameters(self) -> list[np.ndarray]:
         return [getattr(self, n) for n in self.NAMES]
@@ -86,118 +96,120 @@ class Network:
         apart = (np.arange(STEP) + KEYS - STEP)[:, None] - np.arange(KEYS)[None]
         return apart, np.where(apart < 0, np.float32(-1e4), self.distance[np.maximum(apart, 0)])
 
-    def _forward(self, windows: np.ndarray) -> dict:
-        keys, now = windows[:, :KEYS], windows[:, KEYS - STEP:KEYS]
-        before, target = windows[:, KEYS - STEP - 1:KEYS - 1].ravel(), windows[:, KEYS - STEP + 1:].ravel()
-        q, k, v = self.query.take(now, axis=0), self.key.take(keys, axis=0), self.value.take(keys, axis=0)
-        a = q @ k.transpose(0, 2, 1)
+    def _tables(self) -> list[np.ndarray]:
+        """What is looked up together, side by side: by key, by the current id, and by class."""
+        join = lambda *x: np.concatenate(x, axis=1)
+        return [join(self.key, self.value), join(self.query, self.now + self.bias), join(self.inner_of, self.member_bias)]
+
+    def _forward(self, windows: np.ndarray, tables: list[np.ndarray], kept: dict) -> dict:
+        """The layers for some windows; ``g`` and ``m`` are exponentials of logits, ``picked`` the logits of the targets.
+
+        The arrays are those in ``kept`` where they are there: fresh ones would cost as much as the arithmetic.
+        """
+        b, kind = len(windows), self.query.dtype
+        r = b * STEP
+
+        def new(name, *shape):
+            if name not in kept or len(kept[name]) < shape[0]:
+                kept[name] = np.empty(shape, kind)
+            return kept[name][:shape[0]]
+
+        def take(table, ids, name):
+            return np.take(table, ids, axis=0, out=new(name, *ids.shape, table.shape[1]), mode="clip")
+
+        by_key, by_now, by_group = tables
+        w = windows.astype(np.int64)
+        keys, now = np.ascontiguousarray(w[:, :KEYS]), np.ascontiguousarray(w[:, KEYS - STEP:KEYS])
+        before, target = w[:, KEYS - STEP - 1:KEYS - 1].ravel(), w[:, KEYS - STEP + 1:].ravel()
+        kv, qn = take(by_key, keys, "kv"), take(by_now, now, "qn")
+        q, k, v = qn[:, :, :HEAD], kv[:, :, :HEAD], kv[:, :, HEAD:]
+        a = np.matmul(q, k.transpose(0, 2, 1), out=new("a", b, STEP, KEYS))
         a += self._mask()[1]
-        np.exp(np.minimum(a, TOP, out=a), out=a)
-        a /= a.sum(axis=2, keepdims=True)
-        seen = (a @ v).reshape(-1, HEAD)
-        h = seen @ self.mix
-        h += self.now.take(now.ravel(), axis=0)
-        h += self.before.take(before, axis=0)
-        h += self.bias
+        if a.max(initial=0) > TOP:
+            np.minimum(a, TOP, out=a)
+        np.exp(a, out=a)
+        total = a.reshape(r, KEYS) @ np.ones(KEYS, kind)
+        seen = np.matmul(a, v, out=new("seen", b, STEP, HEAD)).reshape(r, HEAD)
+        seen /= total[:, None]
+        now = now.ravel()
+        h = np.matmul(seen, self.mix, out=new("h", r, HIDDEN))
+        h += qn.reshape(r, -1)[:, HEAD:]
+        h += take(self.before, before, "before")
         np.maximum(h, 0, out=h)
-        group, member = np.divmod(target, WIDTH)
-        g = h @ self.group
-        g += self.group_bias
-        np.minimum(g, TOP, out=g)
-        inner = h @ self.inner
-        inner += self.inner_of.take(group, axis=0)
+        group, member = target // WIDTH, target % WIDTH
+        inner = np.matmul(h, self.inner, out=new("inner", r, INNER))
+        of_group = take(by_group, group, "of_group")
+        inner += of_group[:, :INNER]
         np.maximum(inner, 0, out=inner)
-        m = inner @ self.member
-        m += self.member_bias.take(group, axis=0)
-        np.minimum(m, TOP, out=m)
-        return {"keys": keys, "now": now, "before": before, "q": q, "k": k, "v": v, "a": a, "seen": seen, "h": h,
-                "group": group, "member": member, "g": g, "inner": inner, "m": m}
+        g = np.matmul(h, self.group, out=new("g", r, WIDTH))
+        m = np.matmul(inner, self.member, out=new("m", r, WIDTH))
+        g += self.group_bias
+        if self.next_group is not None:
+            g += take(self.next_group, now, "next")
+            m += take(self.next_member, now * WIDTH + group, "next")
+        m += of_group[:, INNER:]
+        wide = np.arange(r) * WIDTH
+        at_group, at_member = wide + group, wide + member
+        high = max(g.max(initial=0), m.max(initial=0)) >= TOP
+        over = (g >= TOP, m >= TOP) if high else None
+        for x in (g, m) if high else ():
+            np.minimum(x, TOP, out=x)
+        picked = g.ravel()[at_group] + m.ravel()[at_member]
+        np.exp(g, out=g)
+        np.exp(m, out=m)
+        ones = np.ones(WIDTH, kind)
+        return {"keys": keys, "now": now, "before": before, "q": q, "k": k, "v": v, "a": a, "total": total, "seen": seen,
+                "h": h, "group": group, "inner": inner, "g": g, "m": m, "g_sum": g @ ones, "m_sum": m @ ones,
+                "at_group": at_group, "at_member": at_member, "picked": picked, "over": over}
 
     def log10(self, windows: np.ndarray) -> np.ndarray:
-        """(windows, STEP): the logarithm of each target's probability.
-
-        The same as ``_forward``, in arrays that are used again: fresh ones would cost as much as the arithmetic.
-        """
-        out = np.empty((len(windows), STEP), np.float32)
-        size = min(CHUNK, max(len(windows), 1))
-        n = size * STEP
-        kind = self.query.dtype
-        new = lambda *shape: np.empty(shape, kind)
-        q, k, v, a = new(size, STEP, HEAD), new(size, KEYS, HEAD), new(size, KEYS, HEAD), new(size, STEP, KEYS)
-        kt = new(size, HEAD, KEYS)
-        seen, h, part = new(size, STEP, HEAD), new(n, HIDDEN), new(n, HIDDEN)
-        g, inner, inner_part, m, m_part = new(n, WIDTH), new(n, INNER), new(n, INNER), new(n, WIDTH), new(n, WIDTH)
-        ones, mask = np.ones(KEYS, kind), self._mask()[1]
-        wide = np.arange(n) * WIDTH
-        take = lambda table, ids, to: np.take(table, ids, axis=0, out=to, mode="clip")
-        for at in range(0, len(windows), size):
-            w = windows[at:at + size].astype(np.int64)
-            b = len(w)
-            r = b * STEP
-            now = np.ascontiguousarray(w[:, KEYS - STEP:KEYS])
-            before, target = w[:, KEYS - STEP - 1:KEYS - 1].ravel(), w[:, KEYS - STEP + 1:].ravel()
-            take(self.query, now, q[:b])
-            keys = np.ascontiguousarray(w[:, :KEYS])
-            take(self.key, keys, k[:b])
-            take(self.value, keys, v[:b])
-            kt[:b] = k[:b].transpose(0, 2, 1)
-            x = np.matmul(q[:b], kt[:b], out=a[:b])
-            x += mask
-            np.exp(x, out=x)
-            s = np.matmul(x, v[:b], out=seen[:b])
-            s /= (x.reshape(r, KEYS) @ ones).reshape(b, STEP, 1)
-            np.matmul(s.reshape(r, HEAD), self.mix, out=h[:r])
-            for table, ids in ((self.now, now.ravel()), (self.before, before)):
-                h[:r] += take(table, ids, part[:r])
-            h[:r] += self.bias
-            np.maximum(h[:r], 0, out=h[:r])
-            group, member = target // WIDTH, target % WIDTH
-            np.matmul(h[:r], self.group, out=g[:r])
-            g[:r] += self.group_bias
-            np.matmul(h[:r], self.inner, out=inner[:r])
-            inner[:r] += take(self.inner_of, group, inner_part[:r])
-            np.maximum(inner[:r], 0, out=inner[:r])
-            np.matmul(inner[:r], self.member, out=m[:r])
-            m[:r] += take(self.member_bias, group, m_part[:r])
-            picked = g.ravel()[wide[:r] + group] + m.ravel()[wide[:r] + member]
-            total = (np.exp(g[:r], out=g[:r]) @ ones[:WIDTH]) * (np.exp(m[:r], out=m[:r]) @ ones[:WIDTH])
-            logs = picked - np.log(total)
-            if not np.isfinite(logs).all():  # logits too large for plain exponentials
-                f = self._forward(w)
-                rows = np.arange(r)
-                logs = f["g"][rows, group] + f["m"][rows, member] - np.log(np.exp(f["g"]).sum(axis=1) * np.exp(f["m"]).sum(axis=1))
-            out[at:at + b] = (logs * np.float32(1 / np.log(10))).reshape(b, STEP)
+        """(windows, STEP): the logarithm of each target's probability."""
+        out, tables, kept = np.empty((len(windows), STEP), np.float32), self._tables(), {}
+        for at in range(0, len(windows), CHUNK):
+            f = self._forward(windows[at:at + CHUNK], tables, kept)
+            logs = f["picked"] - np.log(f["g_sum"] * f["m_sum"])
+            out[at:at + CHUNK] = (logs * np.float32(1 / np.log(10))).reshape(-1, STEP)
         return out
 
-    def gradients(self, windows: np.ndarray, weight: np.ndarray) -> list[np.ndarray]:
-        """Of the mean negative log-likelihood over the targets of weight 1."""
-        f = self._forward(windows)
-        n, rows = len(windows), np.arange(len(windows) * STEP)
-        scale = (weight.ravel() / max(weight.sum(), 1)).astype(np.float32)[:, None]
-        d_g = np.exp(f["g"])
-        d_g /= d_g.sum(axis=1, keepdims=True)
-        d_g[rows, f["group"]] -= 1
-        d_g *= scale * (f["g"] < TOP)
-        d_m = np.exp(f["m"])
-        d_m /= d_m.sum(axis=1, keepdims=True)
-        d_m[rows, f["member"]] -= 1
-        d_m *= scale * (f["m"] < TOP)
-        d_inner = (d_m @ self.member.T) * (f["inner"] > 0)
-        d_h = (d_g @ self.group.T + d_inner @ self.inner.T) * (f["h"] > 0)
-        d_seen = (d_h @ self.mix.T).reshape(n, STEP, HEAD)
+    def gradients(self, windows: np.ndarray, weight: np.ndarray, kept: dict | None = None) -> list[np.ndarray]:
+        """Of the mean negative log-likelihood over the targets of weight 1; ``kept`` has arrays to be used again."""
+        f = self._forward(windows, self._tables(), {} if kept is None else kept)
+        n = len(windows)
+        scale = (weight.ravel() / max(weight.sum(), 1)).astype(np.float32)
+        d_g, d_m = f["g"], f["m"]
+        for d, total, at in ((d_g, f["g_sum"], f["at_group"]), (d_m, f["m_sum"], f["at_member"])):
+            d *= (scale / total)[:, None]
+            d.ravel()[at] -= scale
+        if f["over"]:
+            d_g[f["over"][0]] = 0
+            d_m[f["over"][1]] = 0
+        ones = np.ones(n * STEP, d_g.dtype)
+        d_inner = d_m @ self.member.T
+        d_inner *= f["inner"] > 0
+        d_h = d_g @ self.group.T
+        d_h += d_inner @ self.inner.T
+        d_h *= f["h"] > 0
+        d_seen = d_h @ self.mix.T
+        # What the weights of the keys pass on, less its mean under these weights.
+        mean = np.einsum("ij,ij->i", d_seen, f["seen"])
+        d_seen /= f["total"][:, None]
+        mean /= f["total"]
+        d_seen, a = d_seen.reshape(n, STEP, HEAD), f["a"]
         d_a = d_seen @ f["v"].transpose(0, 2, 1)
-        d_a = f["a"] * (d_a - (d_a * f["a"]).sum(axis=2, keepdims=True))
+        d_a -= mean.reshape(n, STEP, 1)
+        d_a *= a
         apart, _ = self._mask()
         d_distance = np.bincount(np.maximum(apart, 0).ravel(), (d_a.sum(axis=0) * (apart >= 0)).ravel(), KEYS)
-        by_id = lambda ids, rows, size: _add_rows(ids.ravel(), rows.reshape(-1, rows.shape[-1]), size)
-        at_query = by_id(f["now"], np.concatenate([(d_a @ f["k"]).reshape(-1, HEAD), d_h], axis=1), SIZE + 1)
-        at_key = by_id(f["keys"], np.concatenate(
-            [d_a.transpose(0, 2, 1) @ f["q"], f["a"].transpose(0, 2, 1) @ d_seen], axis=2), SIZE + 1)
-        at_group = by_id(f["group"], np.concatenate([d_inner, d_m], axis=1), WIDTH)
+        at_query = _add_rows(f["now"], [(d_a @ f["k"]).reshape(-1, HEAD), d_h], SIZE + 1)
+        d_kv = np.empty((n, KEYS, 2 * HEAD), d_a.dtype)
+        np.matmul(d_a.transpose(0, 2, 1), f["q"], out=d_kv[:, :, :HEAD])
+        np.matmul(a.transpose(0, 2, 1), d_seen, out=d_kv[:, :, HEAD:])
+        at_key = _add_rows(f["keys"].ravel(), [d_kv.reshape(-1, 2 * HEAD)], SIZE + 1)
+        at_group = _add_rows(f["group"], [d_inner, d_m], WIDTH)
         return [
             at_query[:, :HEAD], at_key[:, :HEAD], at_key[:, HEAD:], at_query[:, HEAD:],
-            by_id(f["before"], d_h, SIZE + 1), d_distance.astype(np.float32), f["seen"].T @ d_h, d_h.sum(axis=0),
-            f["h"].T @ d_g, d_g.sum(axis=0), f["h"].T @ d_inner, at_group[:, :INNER], f["inner"].T @ d_m,
+            _add_rows(f["before"], [d_h], SIZE + 1), d_distance.astype(np.float32), f["seen"].T @ d_h, ones @ d_h,
+            f["h"].T @ d_g, ones @ d_g, f["h"].T @ d_inner, at_group[:, :INNER], f["inner"].T @ d_m,
             at_group[:, INNER:]]
 
     def train(self, windows: np.ndarray, weight: np.ndarray, rate: float, seed: int, batch: int = 128,
@@ -205,27 +217,38 @@ class Network:
         """One pass of Adam over the windows in random order; goes on from ``state``, what an earlier pass returned."""
         order = np.random.default_rng(seed).permutation(len(windows))
         done, moments = state or (0, [(np.zeros_like(p), np.zeros_like(p)) for p in self.parameters()])
-        steps = -(-len(order) // batch)
+        steps, kept = -(-len(order) // batch), {}
         for t in range(steps):
             pick = order[t * batch:(t + 1) * batch]
             step = done + t + 1
             now = np.float32(rate * min(1, step / 8))  # the first steps are small, the moments are not known yet
             fade = np.float32(1 / (1 - 0.9 ** step)), np.float32(1 / (1 - 0.99 ** step))
-            for p, g, (m, v) in zip(self.parameters(), self.gradients(windows[pick], weight[pick]), moments):
-                m += np.float32(0.1) * (g - m)
-                v += np.float32(0.01) * (g * g - v)
-                p -= now * (m * fade[0]) / (np.sqrt(v * fade[1]) + np.float32(1e-7))
+            for p, g, (m, v) in zip(self.parameters(), self.gradients(windows[pick], weight[pick], kept), moments):
+                m *= np.float32(0.9)
+                m += np.float32(0.1) * g
+                v *= np.float32(0.99)
+                g = np.multiply(g, g)
+                g *= np.float32(0.01)
+                v += g
+                np.sqrt(np.multiply(v, fade[1], out=g), out=g)
+                g += np.float32(1e-7)
+                np.divide(m, g, out=g)
+                g *= now * fade[0]
+                p -= g
         return [done + steps, moments]
 
 
-def _add_rows(ids: np.ndarray, rows: np.ndarray, size: int) -> np.ndarray:
-    """Sums of the rows by id."""
-    out = np.zeros((size, rows.shape[1]), np.float32)
+def _add_rows(ids: np.ndarray, parts: list[np.ndarray], size: int) -> np.ndarray:
+    """Sums of the rows by id, of the parts side by side."""
+    out = np.zeros((size, sum(p.shape[1] for p in parts)), np.float32)
     if len(ids):
         order = np.argsort(ids.astype(np.int16), kind="stable")
         ids = ids[order]
         first = np.flatnonzero(np.concatenate([[True], ids[1:] != ids[:-1]]))
-        out[ids[first]] = np.add.reduceat(rows[order], first, axis=0)
+        at = 0
+        for p in parts:
+            out[ids[first], at:at + p.shape[1]] = np.add.reduceat(p.take(order, axis=0), first, axis=0)
+            at += p.shape[1]
     return out
 
 

@@ -7,10 +7,11 @@
 2. Words become ids of a public tokenizer. The vocabulary of the network has the 256 bytes, the end of a text and the ids
    most frequent in the training documents, counted over all of them; other ids are spelt as their bytes. The ids of
    all texts are written once.
-3. Classes come from the pairs of neighbouring ids in all training documents. The network starts from a fit of WARM
-   windows. Then every round each task goes on from the shared weights over its part of the training windows, and the
-   weights of all tasks are averaged. The rounds take disjoint parts of the training windows (ROUNDS), which together
-   are all of them; a small corpus is gone through LEAST windows, or as a whole, every time.
+3. Classes, and the odds that the network starts from and adds to, come from the pairs of neighbouring ids in all
+   training documents. The network starts from a fit of WARM windows. Then every round each task goes on from the shared
+   weights over its part of the training windows, and the weights of all tasks are averaged. The rounds take disjoint
+   parts of the training windows (ROUNDS), which together are all of them; a small corpus is gone through LEAST windows,
+   or as a whole, every time.
 4. Overlapping windows score each token of every text once (attention.py).
 
 A-Z are lower-cased; words are runs ``[^\\x20\\x09-\\x0D]+``, white space only separates them; the end of a text is a
@@ -47,6 +48,8 @@ WARM = 16_384
 ROUNDS, LEAST = (0, 1 << 14, 1 << 16, 1 << 18), 1 << 17
 #: Step of the first fit, and what it shrinks by every round.
 RATE, SHRINK = 0.015, 0.7
+#: Windows of a step over a part of the corpus: a step costs some milliseconds beside what its windows cost.
+BATCH = 512
 #: Parts that hashes tell apart.
 PARTS = 1 << 20
 #: Characters of a word that are turned into ids together.
@@ -306,14 +309,15 @@ def _round(train: DataFrame, net: attention.Network, places: np.ndarray, nth: in
     rate = RATE * SHRINK**nth
     low, end = (*ROUNDS, PARTS)[nth:nth + 2]
     count = min(PARTS, max(end - low, PARTS * LEAST // blocks))
+    batch = BATCH if count < PARTS else 128  # a small corpus has few steps
 
     def learn(batches):
         net, places = shared.value
         net.set([p.copy() for p in net.parameters()])
         state, n, last = None, 0, 0
-        for batch in batches:
-            for _, windows, weight in _chosen(batch, low, count):
-                state = net.train(places[windows], weight, rate, nth, state=state)
+        for rows in batches:
+            for _, windows, weight in _chosen(rows, low, count):
+                state = net.train(places[windows], weight, rate, nth, batch, state)
                 n, last = n + len(windows), int(windows[0, -1])
         if not n:
             return
@@ -353,9 +357,10 @@ def fit(encoded: DataFrame, counts: np.ndarray) -> tuple[attention.Network, np.n
     pairs = _pairs(train)
     order = attention.classes(pairs, pairs.sum(axis=0))
     places = np.append(order, attention.BEGIN).astype(np.int16)
+    inverse = np.argsort(places)
     placed = np.zeros(attention.SIZE)
     placed[order] = counts
-    net = attention.Network(placed)
+    net = attention.Network(placed, pairs=pairs[inverse][:, inverse[:-1]])
     if len(windows):
         net.train(places[windows], weight, RATE, 0)
     for k in range(len(ROUNDS) if blocks else 0):

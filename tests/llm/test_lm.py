@@ -175,3 +175,54 @@ def test_a_fit_that_goes_on_equals_one_that_was_not_cut():
     for at in (0, 256):
         state = net.train(windows[at:at + 256], weight[at:at + 256], 0.01, 1, state=state)
     assert state[0] == 4 and any(m.any() for m, _ in state[1])
+
+
+def test_pairs_are_the_odds_that_a_network_starts_from():
+    """Without any fit, what follows an id is as likely as it was counted, whatever the classes are."""
+    rng = np.random.default_rng(9)
+    pairs = np.zeros((attention.SIZE + 1, attention.SIZE))
+    pairs[3, [10, 900]] = 3000, 1000
+    pairs[attention.BEGIN, 5] = 50
+    n = attention.Network(np.ones(attention.SIZE), pairs=pairs)
+    n.set([np.zeros_like(p) for p in n.parameters()])
+    windows = rng.integers(0, attention.SIZE, (4, attention.SPAN)).astype(np.int16)
+    windows[:, attention.KEYS - 1:] = [(3, 10), (3, 900), (3, 11), (attention.BEGIN, 5)]
+    got = 10.0 ** n.log10(windows)[:, -1]
+    want = [3000 / 4002, 1000 / 4002, 2 / 4002 / attention.SIZE, 50 / 51]
+    assert np.allclose(got, want, rtol=2e-3, atol=1e-9)
+
+
+def test_gradients_are_the_slopes_of_the_loss_with_pairs():
+    rng = np.random.default_rng(10)
+    windows = rng.integers(0, attention.SIZE, (5, attention.SPAN)).astype(np.int16)
+    weight = rng.random((5, attention.STEP)) < 0.8
+    pairs = rng.poisson(0.05, (attention.SIZE + 1, attention.SIZE))
+    n = attention.Network(pairs.sum(axis=0), pairs=pairs)
+    n.set([(p + rng.normal(0, 0.1, p.shape)).astype(np.float64) for p in n.parameters()])
+    n.next_group, n.next_member = n.next_group.astype(np.float64), n.next_member.astype(np.float64)
+    loss = lambda: -(n.log10(windows).astype(np.float64) * weight).sum() / weight.sum() * math.log(10)
+    for name, g in zip(n.NAMES, n.gradients(windows, weight)):
+        p = getattr(n, name)
+        at = np.unravel_index(np.abs(g).argmax(), g.shape)
+        kept = p[at]
+        p[at] = kept + 1e-2
+        up = loss()
+        p[at] = kept - 1e-2
+        down = loss()
+        p[at] = kept
+        assert abs((up - down) / 2e-2 - g[at]) < 0.05 * abs(g[at]) + 2e-4, name
+
+
+def test_the_fit_places_pairs_as_it_places_ids(spark):
+    """Ids that always follow each other are likely before anything is learned, in whatever places the classes put them."""
+    rng = random.Random(11)
+    cycle = rng.sample(range(attention.SIZE), 40)
+    rows = [(i, bytearray(np.array([cycle[(i + k) % 40] for k in range(33)], np.int16).tobytes()), True) for i in range(40)]
+    counts = np.bincount([k for _, b, _ in rows for k in np.frombuffer(b, np.int16)], minlength=attention.SIZE)
+    net, places = lm.fit(spark.createDataFrame(rows, "row long, ids binary, train boolean"), counts)
+    assert sorted(places) == list(range(attention.SIZE + 1))
+    nexts = {cycle[i]: cycle[(i + 1) % 40] for i in range(40)}
+    for now, after in nexts.items():
+        at, group = places[now], places[after] // attention.WIDTH
+        odds = net.next_group[at, group] + net.next_member[at * attention.WIDTH + group, places[after] % attention.WIDTH]
+        assert odds > math.log(0.8)
