@@ -150,3 +150,19 @@ def test_every_intel_row_of_a_value_counts(spark):
     known = spark.createDataFrame(rows, "type string, value string, source string, malicious_score double, from_live_api boolean")
     nested = correlate.intel_of_iocs(found, known).first().intel
     assert [(r.source, r.malicious_score) for r in nested] == [("AbuseIpDb", 0.1), ("AbuseIpDb", 0.3), ("VirusTotal", 0.25), ("VirusTotal", 0.25)]
+
+
+def test_equal_answers_travel_once_and_are_all_reported(spark):
+    from alertloom.operators import report
+
+    found = spark.createDataFrame([("j", "Ip", "1.1.1.1", "Rule", 0), ("j", "Hash", "ab", "Rule", 1)], "job_id string, type string, value string, extracted_by string, pos int")
+    rows = [("Ip", "1.1.1.1", "VirusTotal", 0.255, True)] * 500 + [("Ip", "1.1.1.1", "AbuseIpDb", s, live) for s in (0.3, 0.1) for live in (True, False)] * 3
+    known = spark.createDataFrame(rows, "type string, value string, source string, malicious_score double, from_live_api boolean")
+    jobs = spark.createDataFrame([("j", "f", "Csv")], "id string, file_name string, file_type string")
+    tier1 = spark.createDataFrame([("j", "Suspicious", 40, ["access_denied:x"], None)], "job_id string, verdict string, risk_score int, matched_rules array<string>, ml_score double")
+    log = spark.createDataFrame([], "job_id string, rn int, event_time timestamp, event_name string, source_ip string, user_identity string, aws_region string")
+    both = [correlate.evidence_bundles(jobs, tier1, found, known, log, runs=runs) for runs in (False, True)]
+    assert [len(b.first().iocs[0].intel) for b in both] == [512, 5]
+    assert both[1].select(report.intel_rows(F.col("iocs"), runs=True)).first()[0] == 512
+    every, once = ([r.asDict(True) for r in report.deterministic_reports(b, F.lit(None)).collect()] for b in both)
+    assert every == once and len(once[0]["evidence"]) == 514 and once[0]["summary"].count("VirusTotal score") == 500
